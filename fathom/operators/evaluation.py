@@ -45,9 +45,11 @@ def confusion_long(
     df: DataFrame, label: str = "grade_label", prediction: str = "grade_prediction"
 ) -> DataFrame:
     """Rows per (actual, predicted) grade letter, only the pairs that occur."""
+    # Counting by code first keeps the decoding off the rows.
+    codes = df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
     return (
-        df.groupBy(decode_grade(label).alias("actual"), decode_grade(prediction).alias("predicted"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        codes.groupBy(decode_grade(label).alias("actual"), decode_grade(prediction).alias("predicted"))
+        .agg(F.sum("n").alias("n"))
         .orderBy("actual", "predicted")
     )
 
@@ -59,11 +61,10 @@ def confusion_dense(
     labels: Sequence[str] = tuple(domain.GRADES),
 ) -> DataFrame:
     """One row per actual label, one column per predicted label, zero where nothing fell."""
-    actual, predicted = decode_grade(label), decode_grade(prediction)
     counts = (
-        df.select(actual.alias("actual"), predicted.alias("predicted"))
+        confusion_long(df, label, prediction)
         .groupBy("actual")
-        .agg(*(F.count(F.when(F.col("predicted") == p, 1)).alias(f"predicted_{p}") for p in labels))
+        .agg(*(F.sum(F.when(F.col("predicted") == p, F.col("n"))).alias(f"predicted_{p}") for p in labels))
     )
     rows = df.sparkSession.createDataFrame([(x,) for x in labels], "actual string")
     return rows.join(F.broadcast(counts), "actual", "left").na.fill(0).orderBy("actual")
@@ -83,7 +84,7 @@ def roc_points(
         F.count(F.when(F.col(label) == 1, 1)).alias("positives"),
         F.count(F.when(F.col(label) != 1, 1)).alias("negatives"),
     )
-    cuts = known.select(value.alias("score")).approxQuantile("score", [i / slices for i in range(1, slices)], 0.001)
+    cuts = known.select(value.alias("score")).approxQuantile("score", [i / slices for i in range(1, slices)], 0.2 / slices)
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(edges) == 2:
         edges.insert(1, 0.0)
