@@ -60,14 +60,25 @@ def confusion_dense(
     prediction: str = "grade_prediction",
     labels: Sequence[str] = tuple(domain.GRADES),
 ) -> DataFrame:
-    """One row per actual label, one column per predicted label, zero where nothing fell."""
-    counts = (
-        confusion_long(df, label, prediction)
-        .groupBy("actual")
-        .agg(*(F.sum(F.when(F.col("predicted") == p, F.col("n"))).alias(f"predicted_{p}") for p in labels))
-    )
-    rows = df.sparkSession.createDataFrame([(x,) for x in labels], "actual string")
-    return rows.join(F.broadcast(counts), "actual", "left").na.fill(0).orderBy("actual")
+    """One row per actual label, one column per predicted label, zero where nothing fell.
+
+    ``labels`` are the names of the class codes 0, 1, 2 and so on.
+    """
+    codes = df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
+    cells = {
+        (i, j): F.sum(F.when((F.col(label) == i) & (F.col(prediction) == j), F.col("n")))
+        for i in range(len(labels))
+        for j in range(len(labels))
+    }
+    wide = codes.agg(*(F.coalesce(total, F.lit(0)).alias(f"n{i}_{j}") for (i, j), total in cells.items()))
+    rows = [
+        F.struct(
+            F.lit(name).alias("actual"),
+            *(F.col(f"n{i}_{j}").alias(f"predicted_{other}") for j, other in enumerate(labels)),
+        )
+        for i, name in enumerate(labels)
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def roc_points(

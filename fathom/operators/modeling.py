@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -160,8 +161,15 @@ class ModelPlan:
     def label(self) -> str:
         return STATUS_LABEL if self.layout == "status" else GRADE_LABEL
 
+    def stages(self) -> tuple[list, list]:
+        """Stages up to the assembled columns, and those that learn from the vector."""
+        stages = feature_stages(self.layout, **self.options)
+        cut = next(i for i, s in enumerate(stages) if isinstance(s, VectorAssembler)) + 1
+        return stages[:cut], [*stages[cut:], self.classifier]
+
     def pipeline(self) -> Pipeline:
-        return Pipeline(stages=[*feature_stages(self.layout, **self.options), self.classifier])
+        made, learned = self.stages()
+        return Pipeline(stages=[*made, *learned])
 
 
 def status_forest(seed: int, trees: int = 100, depth: int = 10, **options) -> ModelPlan:
@@ -201,11 +209,29 @@ def training_rows(df: DataFrame, plan: ModelPlan, key: str | None = "id") -> Dat
     label = F.col(STATUS_LABEL).cast("double") if plan.layout == "status" else encode_grade("loan_grade")
     keys = [key] if key and key in df.columns else []
     rows = df.select(*keys, *domain.RAW_FEATURES, label.alias(plan.label))
-    return durable(rows.filter(F.col(plan.label).isNotNull()), "training")
+    written = durable(rows.filter(F.col(plan.label).isNotNull()), "training")
+    # A table with fewer splits than cores is small; spread it, or the fit leaves cores idle.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return written if written.rdd.getNumPartitions() >= cores else written.repartition(cores)
+
+
+def _vectors(rows: DataFrame, plan: ModelPlan, made: list, keep: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame]:
+    """Fitted feature stages and their persisted output: a learner reads it once per iteration."""
+    maker = Pipeline(stages=made).fit(rows)
+    vector = maker.stages[-1].getOutputCol()
+    vectors = maker.transform(rows).select(vector, plan.label, *keep)
+    return maker, vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train(df: DataFrame, plan: ModelPlan) -> PipelineModel:
-    return plan.pipeline().fit(training_rows(df, plan, key=None))
+    """Fit the plan; the result scores raw loan rows."""
+    made, learned = plan.stages()
+    maker, vectors = _vectors(training_rows(df, plan, key=None), plan, made)
+    try:
+        learner = Pipeline(stages=learned).fit(vectors)
+    finally:
+        vectors.unpersist()
+    return PipelineModel([*maker.stages, *learner.stages])
 
 
 # --- prediction ----------------------------------------------------------------
@@ -269,18 +295,22 @@ def cross_validate(
     A row's fold follows from its key and the seed, so folds do not move with the partitioning.
     """
     evaluator = evaluator or (status_evaluator() if plan.layout == "status" else grade_evaluator())
+    made, learned = plan.stages()
     rows = with_fold(training_rows(df, plan, key), seed, folds, key)
-    pipeline = plan.pipeline()
+    _, vectors = _vectors(rows, plan, made, keep=["fold"])
 
     def run(job: tuple[int, int]) -> tuple[int, int, float]:
         place, fold = job
         chosen = {plan.classifier.getParam(n): v for n, v in settings[place].items()}
-        model = pipeline.fit(rows.filter(F.col("fold") != fold), chosen)
-        return place, fold, evaluator.evaluate(model.transform(rows.filter(F.col("fold") == fold)))
+        model = Pipeline(stages=learned).fit(vectors.filter(F.col("fold") != fold), chosen)
+        return place, fold, evaluator.evaluate(model.transform(vectors.filter(F.col("fold") == fold)))
 
     jobs = [(place, fold) for place in range(len(settings)) for fold in range(folds)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(run, jobs))
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            results = list(pool.map(run, jobs))
+    finally:
+        vectors.unpersist()
     frame = df.sparkSession.createDataFrame(
         [(json.dumps(settings[p], sort_keys=True), f, float(m)) for p, f, m in results],
         "setting string, fold int, metric double",

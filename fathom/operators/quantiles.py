@@ -147,71 +147,85 @@ def _narrow(base, wide, group_by, accuracy) -> bool:
     return narrower
 
 
-def _with_brackets(base, columns, probabilities, group_by, targets) -> DataFrame:
-    """Attach the bracket ends as columns: literals, or a small broadcast table per group."""
-    ends = {(t["group"], t["column"], t["p"]): (t["lo"], t["hi"]) for t in targets}
-    slots = [(f"_{i}_{j}", c, p) for i, c in enumerate(columns) for j, p in enumerate(probabilities)]
-    if group_by is None:
-        literals = {}
-        for slot, c, p in slots:
-            lo, hi = ends.get((None, c, p), (None, None))
-            literals |= {f"lo{slot}": F.lit(lo).cast("double"), f"hi{slot}": F.lit(hi).cast("double")}
-        return base.withColumns({"grp": F.lit(None).cast("int")} | literals)
-    groups = {t["group"] for t in targets}
-    rows = [(g, *(e for _, c, p in slots for e in ends.get((g, c, p), (None, None)))) for g in groups]
-    kind = base.schema[group_by].dataType.simpleString()
-    fields = [f"lo{slot} double, hi{slot} double" for slot, _, _ in slots]
-    table = base.sparkSession.createDataFrame(rows, ", ".join([f"grp {kind}", *fields]))
-    return base.join(F.broadcast(table), base[group_by].eqNullSafe(table["grp"]))
+def _with_targets(df, columns, probabilities, grouped, targets, fields) -> DataFrame:
+    """Attach ``<field><j>`` of probability ``j``: an array with one entry per column.
+
+    Literals without a group; with one, a broadcast table of at most ``MAX_GROUPS`` rows.
+    """
+    known = {(t["group"], t["column"], t["p"]): t for t in targets}
+    slots = [(f, j, p) for f in fields for j, p in enumerate(probabilities)]
+
+    def entries(group, name, p):
+        return [known.get((group, c, p), {}).get(name) for c in columns]
+
+    if not grouped:
+        arrays = {
+            f"{f}{j}": F.array(*(F.lit(e).cast("double") for e in entries(None, f, p))) for f, j, p in slots
+        }
+        return df.withColumns(arrays)
+    rows = [
+        (g, *([None if e is None else float(e) for e in entries(g, f, p)] for f, j, p in slots))
+        for g in {t["group"] for t in targets}
+    ]
+    kind = df.schema["grp"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(
+        rows, ", ".join([f"grp {kind}", *(f"{f}{j} array<double>" for f, j, _ in slots)])
+    )
+    return (
+        df.alias("d")
+        .join(F.broadcast(table).alias("t"), F.col("d.grp").eqNullSafe(F.col("t.grp")))
+        .select("d.*", *(f"t.{f}{j}" for f, j, _ in slots))
+    )
 
 
 def _rank_candidates(base, columns, probabilities, group_by, sketch, targets):
     """Count rows per candidate value and per gap between brackets, then pick the ranks."""
-    kind = base.schema[group_by].dataType.simpleString() if group_by else "int"
-    wanted = base.sparkSession.createDataFrame(
-        [(t["group"], t["column"], float(t["p"]), t.get("rank")) for t in sketch],
-        f"grp {kind}, column_name string, p double, rank long",
-    )
-    cells = []
-    for i, c in enumerate(columns):
-        value, slots = F.col(c), [f"_{i}_{j}" for j in range(len(probabilities))]
-        inside = F.lit(False)
-        for slot in slots:
-            inside = inside | F.coalesce(value.between(F.col(f"lo{slot}"), F.col(f"hi{slot}")), F.lit(False))
-        # A value between brackets only counts toward the ranks of the next bracket up.
-        ups = [F.when(F.col(f"lo{slot}") > value, F.col(f"lo{slot}")) for slot in slots]
-        next_up = F.least(*ups, F.lit(None).cast("double"))
-        cells.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.when(inside, value).otherwise(next_up).alias("value"),
-                (~inside).alias("gap"),
-            )
+    group = F.col(group_by) if group_by else F.lit(None).cast("int")
+    cells = [F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)]
+    long = base.select(group.alias("grp"), F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
+    bounded = _with_targets(long, columns, probabilities, bool(group_by), targets, ("lo", "hi"))
+
+    places, value = range(len(probabilities)), F.col("v")
+    inside = F.lit(False)
+    for j in places:
+        inside = inside | F.coalesce(
+            value.between(F.col(f"lo{j}")[F.col("i")], F.col(f"hi{j}")[F.col("i")]), F.lit(False)
         )
+    # A value between brackets only counts toward the ranks of the next bracket up.
+    ups = [F.when(F.col(f"lo{j}")[F.col("i")] > value, F.col(f"lo{j}")[F.col("i")]) for j in places]
+    next_up = F.least(*ups, F.lit(None).cast("double"))
     counts = (
-        _with_brackets(base, columns, probabilities, group_by, targets)
-        .select("grp", F.inline(F.array(*cells)))
+        bounded.select("grp", "i", "v", next_up.alias("up"), inside.alias("inside"))
+        .select("grp", "i", F.when(F.col("inside"), value).otherwise(F.col("up")).alias("value"), "inside")
         .filter(F.col("value").isNotNull())
-        .groupBy("grp", "column_name", "value", "gap")
+        .groupBy("grp", "i", "value", "inside")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upward = (
-        Window.partitionBy("grp", "column_name")
-        .orderBy(F.col("value"), F.col("gap").desc())
+        Window.partitionBy("grp", "i")
+        .orderBy("value", "inside")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    reached = counts.withColumn("reached", F.sum("n").over(upward)).alias("r")
-    here = F.col("r.grp").eqNullSafe(F.col("w.grp")) & (F.col("r.column_name") == F.col("w.column_name"))
-    hit = F.min(F.when(F.col("reached") >= F.col("rank"), F.struct("value", (~F.col("gap")).alias("exact"))))
-    value = F.when(F.col("hit.exact") | F.col("hit").isNull(), F.col("hit.value")).otherwise(
+    reached = counts.withColumn("reached", F.sum("n").over(upward))
+    ranked = _with_targets(reached, columns, probabilities, bool(group_by), targets, ("rank",))
+    hits = [
+        F.min(F.when(F.col("reached") >= F.col(f"rank{j}")[F.col("i")], F.struct("value", "inside")))
+        for j in places
+    ]
+    found = ranked.groupBy("grp", "i").agg(*(h.alias(f"hit{j}") for j, h in zip(places, hits)))
+    quantiles = F.array(
+        *(F.struct(F.lit(float(p)).alias("p"), F.col(f"hit{j}").alias("hit")) for j, p in enumerate(probabilities))
+    )
+    names = F.array(*(F.lit(c) for c in columns))
+    checked = F.when(F.col("hit.inside"), F.col("hit.value")).otherwise(
         F.raise_error(F.lit("a quantile fell outside its bracket"))
     )
-    result = (
-        reached.join(F.broadcast(wanted).alias("w"), here, "right")
-        .groupBy("w.grp", "w.column_name", "w.p")
-        .agg(hit.alias("hit"))
-        .select("grp", "column_name", "p", value.alias("value"))
+    result = found.select("grp", names[F.col("i")].alias("column_name"), F.inline(quantiles)).select(
+        "grp", "column_name", "p", checked.alias("value")
     )
+    empty = [(t["group"], t["column"], float(t["p"]), None) for t in sketch if not t["n"]]
+    if empty:
+        result = result.unionByName(base.sparkSession.createDataFrame(empty, result.schema))
     return result.withColumnRenamed("grp", group_by) if group_by else result.drop("grp")
 
 
