@@ -75,7 +75,7 @@ def top_purpose(df: DataFrame) -> DataFrame:
 
 def grade_distribution(df: DataFrame) -> DataFrame:
     """Whole percent of each grade within a user's accepted and rejected loans."""
-    shares = share_within(_decided(df), ["username", "status"], "loan_grade")
+    shares = share_within(_decided(df), ["username", "status"], "loan_grade", ordered=False)
     return shares.withColumn("percent", round_half_up(F.col("percentage")).cast("long")).select(
         "username", "status", "loan_grade", F.col("count").alias("n"), "percent"
     )
@@ -83,7 +83,8 @@ def grade_distribution(df: DataFrame) -> DataFrame:
 
 def purpose_distribution(df: DataFrame) -> DataFrame:
     """Share of each purpose within a user's accepted and rejected loans."""
-    shares = share_within(_decided(df), ["username", "status"], "intent")
+    # The purpose is free text, so a user may have very many.
+    shares = share_within(_decided(df), ["username", "status"], "intent", method="join", ordered=False)
     return shares.select("username", "status", "intent", F.col("count").alias("n"), "percentage")
 
 

@@ -10,6 +10,8 @@ from fathom import domain
 from fathom.functions.codes import onehot_fixed
 from fathom.operators.ordering import running_totals
 
+# An indexer keeps its labels on the driver. Beyond this, ``category_index`` gives a table.
+MAX_LABELS = 10_000
 MAX_ONEHOT_COLUMNS = 1000
 
 
@@ -34,6 +36,9 @@ def fit_index(
     df: DataFrame, column: str, order: str = "frequencyDesc", handle_invalid: str = "error"
 ) -> StringIndexerModel:
     """Indexer fitted once, on the training table, and reused for every other table."""
+    labels = df.agg(F.approx_count_distinct(column)).first()[0]
+    if labels > MAX_LABELS:
+        raise ValueError(f"{column} has about {labels} categories; use category_index and a join")
     return StringIndexer(
         inputCol=column,
         outputCol=f"{column}_index",

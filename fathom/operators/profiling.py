@@ -79,12 +79,14 @@ def share_within(
     counted: str | None = None,
     drop_null_groups: bool = False,
     method: str = "window",
+    ordered: bool = True,
 ) -> DataFrame:
     """Rows per (keys, target) with their percentage of the rows of the same keys.
 
     ``counted`` names the column whose non-null values are counted (default: the target).
     ``method="window"`` suits a target with few values per group; ``"join"`` sums the groups
     separately and joins them back, so a group with very many target values is not gathered.
+    ``ordered=False`` saves the sort of a result with very many groups.
     """
     keys = list(keys)
     if drop_null_groups:
@@ -94,7 +96,7 @@ def share_within(
     if method == "window":
         shares = pairs.withColumn("total_count", F.sum("count").over(Window.partitionBy(*keys)))
     elif method == "join":
-        totals = df.groupBy(*keys).agg(F.count(counted or target).alias("total_count"))
+        totals = pairs.groupBy(*keys).agg(F.sum("count").alias("total_count"))
         same = F.lit(True)
         for k in keys:
             same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}"))
@@ -102,7 +104,8 @@ def share_within(
     else:
         raise ValueError(f"method must be 'window' or 'join', got {method!r}")
     percentage = share_percent(F.col("count"), F.col("total_count"))
-    return shares.withColumn("percentage", percentage).orderBy(*keys, target)
+    shares = shares.withColumn("percentage", percentage)
+    return shares.orderBy(*keys, target) if ordered else shares
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:

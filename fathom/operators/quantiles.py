@@ -33,7 +33,8 @@ def exact_quantiles(
     """Smallest value whose cumulative share reaches each probability; nulls and NaN are left out.
 
     Returns ``([group_by,] column_name, p, value)``. The value is a double. A column without any
-    value gives null. Runs small aggregate jobs while it is built.
+    value gives null. Runs aggregate jobs while it is built and so scans its input two to four
+    times: write a costly input to a table first.
     """
     clean = {c: _known(df, c) for c in columns}
     base = df.select(*([group_by] if group_by else []), *(v.alias(c) for c, v in clean.items()))
@@ -43,7 +44,7 @@ def exact_quantiles(
     targets = [t for t in sketch if t["n"]]
     while True:
         wide = [t for t in targets if t["lo"] < t["hi"] and t["inside"] > max_candidates]
-        if not wide or not _narrow(base, wide, group_by, accuracy):
+        if not wide or not _narrow(base, probabilities, wide, group_by, accuracy):
             break
     return _rank_candidates(base, columns, probabilities, group_by, sketch, targets)
 
@@ -115,35 +116,44 @@ def _sketch(base, columns, probabilities, group_by, accuracy):
     return sketch
 
 
-def _in_group(group_by: str | None, target: dict) -> Column:
-    return F.lit(True) if group_by is None else F.col(group_by).eqNullSafe(F.lit(target["group"]))
+def _long(base, columns, group_by) -> DataFrame:
+    """``(grp, i, v)``: one row per known value, columns by position."""
+    group = F.col(group_by) if group_by else F.lit(None).cast("int")
+    cells = [F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)]
+    return base.select(group.alias("grp"), F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
 
 
-def _narrow(base, wide, group_by, accuracy) -> bool:
-    """Sketch each wide bracket again from its own rows; False once nothing got narrower."""
-    aggs = []
-    for i, t in enumerate(wide):
-        value = F.when(_in_group(group_by, t), F.col(t["column"]))
-        inside = F.when(value.between(t["lo"], t["hi"]), value)
-        aggs += [F.count(F.when(value < t["lo"], 1)).alias(f"below{i}"), F.count(inside).alias(f"n{i}")]
-    counts = base.agg(*aggs).first()
-
-    aggs, margin = [], 2.0 / accuracy
-    for i, t in enumerate(wide):
-        wanted = (t["rank"] - counts[f"below{i}"]) / counts[f"n{i}"]
-        ends = F.array(*(F.lit(min(1.0, max(0.0, wanted + s * margin))) for s in (-1, 1)))
-        value = F.when(_in_group(group_by, t), F.col(t["column"]))
-        inside = F.when(value.between(t["lo"], t["hi"]), value)
-        aggs.append(F.percentile_approx(inside, ends, F.lit(accuracy)).alias(f"ends{i}"))
-    ends = base.agg(*aggs).first()
+def _narrow(base, probabilities, wide, group_by, accuracy) -> bool:
+    """One pass that cuts every wide bracket into steps and keeps those around the wanted rank.
 
+    Only brackets with very many rows come here, so there are few of them however many groups
+    the table has. False once no bracket got narrower.
+    """
+    columns = sorted({t["column"] for t in wide})
+    steps = max(2, min(1000, accuracy // 2, 1_000_000 // len(wide)))
+    grid = F.array(*(F.lit(k / steps) for k in range(1, steps)))
+    bounded = _with_targets(
+        _long(base, columns, group_by), columns, probabilities, bool(group_by), wide, ("lo", "hi")
+    )
+    value, aggs = F.col("v"), []
+    for j in range(len(probabilities)):
+        lo, hi = F.col(f"lo{j}")[F.col("i")], F.col(f"hi{j}")[F.col("i")]
+        inside = F.when(value.between(lo, hi), value)
+        aggs += [
+            F.count(F.when(value < lo, 1)).alias(f"below{j}"),
+            F.count(inside).alias(f"n{j}"),
+            F.percentile_approx(inside, grid, F.lit(accuracy)).alias(f"cuts{j}"),
+        ]
+    found = {(r["grp"], columns[r["i"]]): r for r in bounded.groupBy("grp", "i").agg(*aggs).collect()}
     narrower = False
-    for i, t in enumerate(wide):
-        wanted = (t["rank"] - counts[f"below{i}"]) / counts[f"n{i}"]
-        lo = t["lo"] if wanted - margin <= 0 else ends[f"ends{i}"][0]
-        hi = t["hi"] if wanted + margin >= 1 else ends[f"ends{i}"][1]
+    for t in wide:
+        row, j = found[(t["group"], t["column"])], list(probabilities).index(t["p"])
+        n = row[f"n{j}"]
+        cuts = [t["lo"], *row[f"cuts{j}"], t["hi"]]
+        place = (t["rank"] - row[f"below{j}"]) / n * steps
+        lo, hi = cuts[max(0, math.floor(place) - 1)], cuts[min(steps, math.ceil(place) + 1)]
         narrower = narrower or (lo, hi) != (t["lo"], t["hi"])
-        t.update(lo=lo, hi=hi, inside=math.ceil(min(1.0, 3 * margin) * counts[f"n{i}"]))
+        t.update(lo=lo, hi=hi, inside=math.ceil(min(1.0, 5 / steps) * n))
     return narrower
 
 
@@ -180,10 +190,9 @@ def _with_targets(df, columns, probabilities, grouped, targets, fields) -> DataF
 
 def _rank_candidates(base, columns, probabilities, group_by, sketch, targets):
     """Count rows per candidate value and per gap between brackets, then pick the ranks."""
-    group = F.col(group_by) if group_by else F.lit(None).cast("int")
-    cells = [F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)]
-    long = base.select(group.alias("grp"), F.inline(F.array(*cells))).filter(F.col("v").isNotNull())
-    bounded = _with_targets(long, columns, probabilities, bool(group_by), targets, ("lo", "hi"))
+    bounded = _with_targets(
+        _long(base, columns, group_by), columns, probabilities, bool(group_by), targets, ("lo", "hi")
+    )
 
     places, value = range(len(probabilities)), F.col("v")
     inside = F.lit(False)

@@ -256,6 +256,38 @@ _DIRTY_COLUMNS = [c for c, _ in _LOAN_TYPES if c != "loan_grade"]
 _INTEREST = "loan_amnt * loan_int_rate AS actual_loan_interest"
 _SHORT_JOB = _flag("person_emp_length < 2", "employment_stability")
 
+_ONEHOT_LISTS = ", ".join(
+    [
+        *(
+            _flag(f"person_home_ownership = '{v}'", f"person_home_ownership_onehot_{i}")
+            for i, v in enumerate(domain.OWNERSHIP_ONEHOT)
+        ),
+        *(_flag(f"loan_intent = '{v}'", f"loan_intent_onehot_{i}") for i, v in enumerate(domain.INTENT_ONEHOT)),
+    ]
+)
+_NO_DEFAULT = _flag("cb_person_default_on_file = 'N'", "no_default_on_file")
+_GRADE_COLUMNS = (
+    "person_age, person_income, person_emp_length, loan_amnt, loan_int_rate, "
+    "loan_percent_income, cb_person_cred_hist_length, "
+    "round(CASE WHEN person_age - cb_person_cred_hist_length > -1 "
+    "THEN ln(1 + person_age - cb_person_cred_hist_length) END, 9) AS age_minus_history, "
+    f"{_INTEREST}, {_SHORT_JOB}"
+)
+
+
+def _status_columns(empty_history: str) -> str:
+    return (
+        "person_age, person_emp_length, loan_amnt, loan_int_rate, loan_percent_income, "
+        "cb_person_cred_hist_length, "
+        + _flag("cb_person_default_on_file = 'Y'", "cb_person_default_on_file_binary")
+        + ", CAST(person_income AS BIGINT) * (80 - person_age) AS remaining_income_to_receive, "
+        "65 - person_age AS remaining_employment_length, "
+        f"{_over_history('person_age', empty_history)} AS age_to_history_length_ratio, "
+        f"{_INCOME_CODE} AS income_bracket, "
+        f"{_over_history('(loan_amnt * loan_int_rate)', empty_history)} AS credit_risk"
+    )
+
+
 ORACLES: dict[str, str] = {
     "scan_loans": _with("SELECT * FROM loan_applications"),
     "table_shape": _with(
@@ -373,32 +405,22 @@ ORACLES: dict[str, str] = {
         _union([_histogram(c) for c in ("loan_amnt", "loan_int_rate", "person_age")])
     ),
     "share_of_order_priority": _share("orders", "o_orderstatus", "o_orderpriority"),
-    "age_buckets": _with(f"SELECT id, person_age, {_AGE_BUCKET} AS age_bucket FROM loan_dirty", "loan_dirty"),
-    "income_buckets": _with(
+    "age_bucket": _with(f"SELECT id, person_age, {_AGE_BUCKET} AS age_bucket FROM loan_dirty", "loan_dirty"),
+    "income_bucket": _with(
         f"SELECT id, person_income, {_INCOME_BUCKET} AS income_bucket FROM loan_dirty", "loan_dirty"
     ),
-    "status_features": _with(
-        "SELECT id, person_age, person_emp_length, loan_amnt, loan_int_rate, loan_percent_income, "
-        "cb_person_cred_hist_length, "
-        + _flag("cb_person_default_on_file = 'Y'", "cb_person_default_on_file_binary")
-        + ", CAST(person_income AS BIGINT) * (80 - person_age) AS remaining_income_to_receive, "
-        "65 - person_age AS remaining_employment_length, "
-        f"{_over_history('person_age', '0e0')} AS age_to_history_length_ratio, "
-        f"{_INCOME_CODE} AS income_bracket, "
-        f"{_over_history('(loan_amnt * loan_int_rate)', '0e0')} AS credit_risk FROM loan_dirty",
-        "loan_dirty",
+    "status_features": _with(f"SELECT id, {_status_columns('0e0')} FROM loan_dirty", "loan_dirty"),
+    "status_layout": _with(
+        f"SELECT id, {_status_columns('NULL')}, {_ONEHOT_LISTS} FROM loan_dirty", "loan_dirty"
+    ),
+    "grade_layout": _with(
+        f"SELECT id, {_ONEHOT_LISTS}, {_NO_DEFAULT}, {_GRADE_COLUMNS} FROM loan_applications"
     ),
     "status_features_null_history": _with(
         f"SELECT id, {_over_history('person_age', 'NULL')} AS age_to_history_length_ratio, "
         f"{_over_history('(loan_amnt * loan_int_rate)', 'NULL')} AS credit_risk FROM loan_applications"
     ),
-    "grade_features": _with(
-        "SELECT id, person_age, person_income, person_emp_length, loan_amnt, loan_int_rate, "
-        "loan_percent_income, cb_person_cred_hist_length, "
-        "round(CASE WHEN person_age - cb_person_cred_hist_length > -1 "
-        "THEN ln(1 + person_age - cb_person_cred_hist_length) END, 9) AS age_minus_history, "
-        f"{_INTEREST}, {_SHORT_JOB} FROM loan_applications"
-    ),
+    "grade_features": _with(f"SELECT id, {_GRADE_COLUMNS} FROM loan_applications"),
     "grade_features_ordinal": _with(
         "SELECT id, CAST(CASE person_home_ownership WHEN 'RENT' THEN 0 WHEN 'MORTGAGE' THEN 1 "
         "WHEN 'OWN' THEN 2 ELSE 3 END AS INT) AS home_ownership_num, "
@@ -418,18 +440,7 @@ ORACLES: dict[str, str] = {
     "onehot_ownership": _onehot("person_home_ownership", 3),
     "onehot_intent": _onehot("loan_intent", 5),
     "onehot_fixed": _with(
-        "SELECT id, "
-        + ", ".join(
-            _flag(f"person_home_ownership = '{v}'", f"person_home_ownership_onehot_{i}")
-            for i, v in enumerate(domain.OWNERSHIP_ONEHOT)
-        )
-        + ", "
-        + ", ".join(
-            _flag(f"loan_intent = '{v}'", f"loan_intent_onehot_{i}")
-            for i, v in enumerate(domain.INTENT_ONEHOT)
-        )
-        + ", CAST(0 AS INT) AS loan_intent_onehot FROM loan_dirty",
-        "loan_dirty",
+        f"SELECT id, {_ONEHOT_LISTS}, CAST(0 AS INT) AS loan_intent_onehot FROM loan_dirty", "loan_dirty"
     ),
     "assemble_skip_count": _with(
         "SELECT count(*) AS n_rows, count(*) FILTER (whole) AS n_kept, count(*) FILTER (NOT whole) AS n_dropped "

@@ -43,7 +43,8 @@ ORDINAL_SHOWN = [*domain.GRADE_ORDINAL, "actual_loan_interest", "employment_stab
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register a query under its name; a trailing underscore keeps clear of an import."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -225,12 +226,12 @@ def share_of_order_priority(spark, sf_dir):
 
 
 @query
-def age_buckets(spark, sf_dir):
+def age_bucket_(spark, sf_dir):
     return tables.loan_dirty(spark, sf_dir).select("id", "person_age", age_bucket().alias("age_bucket"))
 
 
 @query
-def income_buckets(spark, sf_dir):
+def income_bucket_(spark, sf_dir):
     return tables.loan_dirty(spark, sf_dir).select(
         "id", "person_income", income_bucket().alias("income_bucket")
     )
@@ -259,6 +260,19 @@ def grade_features_ordinal(spark, sf_dir):
     return features.grade_features_ordinal(_loans(spark, sf_dir)).select("id", *ORDINAL_SHOWN)
 
 
+@query
+def status_layout(spark, sf_dir):
+    """The twenty columns of the status model's vector, in order."""
+    return features.layout_columns(tables.loan_dirty(spark, sf_dir), "status", "null", keep=("id",))
+
+
+@query
+def grade_layout(spark, sf_dir):
+    """The nineteen columns of the grade model's vector, in order."""
+    columns = features.layout_columns(_loans(spark, sf_dir), "grade", keep=("id",))
+    return columns.withColumn("age_minus_history", F.round("age_minus_history", 9))
+
+
 @query
 def index_ownership(spark, sf_dir):
     return encoding.category_index(_loans(spark, sf_dir), "person_home_ownership")
@@ -463,6 +477,22 @@ def score_grade_tree(spark, sf_dir):
     return scored.select("id", codes.decode_grade("prediction").alias("grade"))
 
 
+@query
+def status_model_quality(spark, sf_dir):
+    """Precision and recall of the status model over the rows it was trained on."""
+    loans = _loans(spark, sf_dir)
+    return evaluation.precision_recall(_status_model(loans).transform(loans), "loan_status")
+
+
+@query
+def grade_test_error(spark, sf_dir):
+    """Accuracy and test error of the grade tree on the fifth it has not seen."""
+    seen, held_out = splitting.split(_loans(spark, sf_dir), SEED)
+    model = modeling.train(seen, modeling.grade_tree(SEED))
+    graded = model.transform(held_out.withColumn("grade_label", codes.encode_grade("loan_grade")))
+    return evaluation.accuracy(graded, "grade_label")
+
+
 @query
 def grade_tree_rules(spark, sf_dir):
     return explain.tree_rules(modeling.train(_loans(spark, sf_dir), modeling.grade_tree(SEED)), spark)

@@ -102,6 +102,12 @@ def test_unseen_category_is_an_error_or_kept(spark, train_rows, loan_row):
     assert only(kept)["loan_intent_onehot_0"] == 0
 
 
+def test_too_many_categories_for_the_driver(spark, monkeypatch, train_rows):
+    monkeypatch.setattr(encoding, "MAX_LABELS", 2)
+    with pytest.raises(ValueError, match="category_index"):
+        encoding.fit_index(train_rows, "loan_intent")
+
+
 def test_frequency_ties_by_name(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), (None,)], "x string")
     assert [(r["x"], r["n"], r["index"]) for r in encoding.category_index(df, "x").orderBy("index").collect()] == [
