@@ -130,7 +130,3 @@ def main(arguments: list[str] | None = None) -> None:
         )
         output.write.parquet(given.predictions)
         print(f"accuracy {accuracy:.4f}, test error {1 - accuracy:.4f}")
-
-
-if __name__ == "__main__":
-    main()

@@ -288,6 +288,33 @@ def _status_columns(empty_history: str) -> str:
     )
 
 
+def _described() -> str:
+    return _union(
+        [
+            f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, "
+            f"round(stddev_samp({c}), 6) AS stddev, CAST(min({c}) AS DOUBLE) AS min, "
+            f"CAST(max({c}) AS DOUBLE) AS max FROM loan_applications"
+            for c in _PROFILED
+        ]
+    )
+
+
+_UNSCORABLE = """
+SELECT id, 'missing: ' || CASE WHEN inputs <> '' THEN inputs ELSE made END AS error FROM (
+  SELECT id, concat_ws(', ',
+    CASE WHEN person_age IS NULL THEN 'person_age' END,
+    CASE WHEN person_income IS NULL THEN 'person_income' END,
+    CASE WHEN person_home_ownership IS NULL THEN 'person_home_ownership' END,
+    CASE WHEN person_emp_length IS NULL THEN 'person_emp_length' END,
+    CASE WHEN loan_intent IS NULL THEN 'loan_intent' END,
+    CASE WHEN loan_int_rate IS NULL THEN 'loan_int_rate' END,
+    CASE WHEN coalesce(person_income, 0) = 0 THEN 'loan_percent_income' END,
+    CASE WHEN cb_person_cred_hist_length IS NULL THEN 'cb_person_cred_hist_length' END) AS inputs,
+    CASE WHEN person_age - cb_person_cred_hist_length <= -1 THEN 'age_minus_history' ELSE '' END AS made
+  FROM loan_dirty) WHERE inputs <> '' OR made <> ''
+"""
+
+
 ORACLES: dict[str, str] = {
     "scan_loans": _with("SELECT * FROM loan_applications"),
     "table_shape": _with(
@@ -295,6 +322,10 @@ ORACLES: dict[str, str] = {
         + ", ".join(f"('{n}', '{t}')" for n, t in _LOAN_TYPES)
         + ") AS t(column_name, data_type), (SELECT count(*) AS n_rows FROM loan_applications)"
     ),
+    "describe_numeric_json": _with(
+        "SELECT concat('{\"column_name\":\"', column_name, '\",\"n\":', n, ',\"mean\":', mean, ',\"stddev\":', "
+        f"stddev, ',\"min\":', min, ',\"max\":', max, '}}') AS json FROM ({_described()})"
+    ),
     "grade_distribution_json": _with(
         "SELECT concat('{\"loan_grade\":\"', loan_grade, '\",\"count\":', count(*), '}') AS json "
         "FROM loan_applications GROUP BY loan_grade"
@@ -387,16 +418,7 @@ ORACLES: dict[str, str] = {
         quartile=_quartiles("loan_dirty", list(_IMPUTED)),
         bounds=_BOUNDS,
     ),
-    "describe_numeric": _with(
-        _union(
-            [
-                f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, "
-                f"round(stddev_samp({c}), 6) AS stddev, CAST(min({c}) AS DOUBLE) AS min, "
-                f"CAST(max({c}) AS DOUBLE) AS max FROM loan_applications"
-                for c in _PROFILED
-            ]
-        )
-    ),
+    "describe_numeric": _with(_described()),
     "grade_distribution": _with(
         f"SELECT loan_grade, n, {_percent('n', '(SELECT count(*) FROM loan_applications)')} AS percentage "
         "FROM (SELECT loan_grade, count(*) AS n FROM loan_applications GROUP BY 1)"
@@ -496,6 +518,7 @@ ORACLES: dict[str, str] = {
     "accepted_applications": _accepted(
         ", amount_requested / nullif(CAST(person_income AS DOUBLE), 0) AS loan_percent_income"
     ),
+    "unscorable_applications": _with(_UNSCORABLE, "loan_dirty"),
     "pending_loans": _with(
         "SELECT id, username, intent, amount_requested FROM loan_scored WHERE status = '-'", "loan_scored"
     ),

@@ -79,6 +79,11 @@ def describe_json(spark, sf_dir):
     return writers.as_json(profiling.describe_text(_profiled(spark, sf_dir)))
 
 
+@query
+def describe_numeric_json(spark, sf_dir):
+    return writers.as_json(describe_numeric(spark, sf_dir))
+
+
 @query
 def grade_distribution_json(spark, sf_dir):
     counts = _loans(spark, sf_dir).groupBy("loan_grade").agg(F.count(F.lit(1)).alias("count"))
@@ -379,6 +384,20 @@ def accepted_applications(spark, sf_dir):
     return features.percent_income(apps.accept(valid), "amount_requested").drop("feature_importances")
 
 
+@query
+def unscorable_applications(spark, sf_dir):
+    """Applications that lack an input or a feature, with the reason."""
+    dirty = tables.loan_dirty(spark, sf_dir)
+    stored = dirty.select(
+        *(c for c in dirty.columns if c not in ("loan_amnt", "loan_int_rate", "loan_percent_income")),
+        F.col("loan_amnt").cast("double").alias("amount_requested"),
+        F.col("loan_int_rate").alias("interest_rate"),
+        (F.col("cb_person_default_on_file") == "Y").alias("prior_default"),
+    )
+    checked = scoring.model_inputs(stored).select("id", scoring.missing_features().alias("error"))
+    return checked.filter("error IS NOT NULL")
+
+
 @query
 def pending_loans(spark, sf_dir):
     return apps.pending(tables.loan_scored(spark, sf_dir)).select("id", "username", "intent", "amount_requested")

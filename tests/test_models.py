@@ -111,6 +111,31 @@ def test_partial_dependence_moves_with_income(loans, forest):
     assert {r["n"] for r in rows.values()} == {1500}
 
 
+def chance(model, rows):
+    return {r["id"]: r["p"][1] for r in model.transform(rows).select("id", vector_to_array("probability").alias("p")).collect()}
+
+
+def test_partial_dependence_by_hand(loans, forest):
+    some = loans.filter("id % 50 = 3")
+    rows = explain.partial_dependence(some, forest, "loan_amnt", [500, 30000])
+    for row in rows.collect():
+        changed = some.withColumn("loan_amnt", F.lit(row["grid_value"]).cast("int"))
+        changed = features.percent_income(changed)
+        scores = chance(forest, changed)
+        assert row["mean_probability"] == pytest.approx(sum(scores.values()) / len(scores))
+
+
+def test_occlusion_by_hand(loans, forest):
+    some, typical = loans.filter("id % 100 = 7"), explain.typical_values(loans)
+    found = {(r["id"], r["feature"]): r["delta"] for r in explain.occlusion_attribution(some, forest, typical).collect()}
+    base = chance(forest, some)
+    for feature in ("person_income", "loan_percent_income", "loan_intent"):
+        kind = some.schema[feature].dataType
+        scores = chance(forest, some.withColumn(feature, F.lit(typical[feature]).cast(kind)))
+        for key in base:
+            assert found[(key, feature)] == pytest.approx(base[key] - scores[key])
+
+
 def test_occlusion(loans, forest):
     typical = explain.typical_values(loans)
     assert typical["person_home_ownership"] == "RENT" and typical["cb_person_default_on_file"] == "N"
@@ -174,3 +199,15 @@ def test_grade_job(spark, test_rows, tmp_path):
 def test_bad_paths_are_errors(spark, job):
     with pytest.raises(ValueError, match="Error"):
         job(spark, "nonexistent/path/train.csv", "nonexistent/path/test.csv", "nonexistent/path/model", seed=1)
+
+
+def test_command_line(spark, test_rows, tmp_path, capsys):
+    paths = {n: str(tmp_path / n) for n in ("train", "test", "status", "grade", "p1", "p2")}
+    writers.write_csv(loans_from_rows(spark, repeated(TRAIN_ROWS, 10)), paths["train"])
+    writers.write_csv(test_rows, paths["test"])
+    jobs.main(["train-status", paths["train"], paths["test"], paths["status"], paths["p1"], "--seed", "1"])
+    jobs.main(["train-grade", paths["train"], paths["test"], paths["grade"], paths["p2"], "--seed", "1"])
+    assert "accuracy" in capsys.readouterr().out
+    assert spark.read.parquet(paths["p1"]).columns == ["id", "loan_status_prediction"]
+    assert spark.read.parquet(paths["p2"]).count() == 2
+    assert isinstance(jobs.load_pipeline(spark, paths["grade"]), PipelineModel)
