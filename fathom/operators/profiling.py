@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathom.functions.numeric import is_numeric, share_percent
+from fathom.operators.quantiles import known
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -112,20 +113,23 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
     """Equal-width histogram per column, empty bins included.
 
     One pass finds the ranges (two numbers per column), one counts. The last bin is closed.
+    Nulls and NaN are left out.
     """
     columns = list(columns)
+    values = {c: known(df, c) for c in columns}
+    ends = {"lo": F.min, "hi": F.max}
     spans = df.agg(
-        *(f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max)))
+        *(end(values[c]).alias(f"{name}{i}") for i, c in enumerate(columns) for name, end in ends.items())
     ).first()
     cells, grid = [], []
     for i, c in enumerate(columns):
-        lo, hi = spans[f"lo{i}"], spans[f"hi{i}"]
+        lo, hi, value = spans[f"lo{i}"], spans[f"hi{i}"], values[c]
         if lo is None:
             continue
         width = (hi - lo) / bins
-        value = F.col(c).cast("double")
         place = F.lit(0) if width == 0 else F.least(F.floor((value - lo) / width), F.lit(bins - 1))
-        cells.append(F.struct(F.lit(c).alias("column_name"), F.when(value.isNotNull(), place).cast("int").alias("bin")))
+        place = F.when(value.isNotNull(), place).cast("int")
+        cells.append(F.struct(F.lit(c).alias("column_name"), place.alias("bin")))
         grid += [(c, b, lo + b * width, lo + (b + 1) * width) for b in range(bins if width else 1)]
     frame = df.sparkSession.createDataFrame(
         grid, "column_name string, bin int, bin_start double, bin_end double"

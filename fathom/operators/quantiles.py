@@ -36,9 +36,11 @@ def exact_quantiles(
     value gives null. Runs aggregate jobs while it is built and so scans its input two to four
     times: write a costly input to a table first.
     """
-    clean = {c: _known(df, c) for c in columns}
+    clean = {c: known(df, c) for c in columns}
     base = df.select(*([group_by] if group_by else []), *(v.alias(c) for c, v in clean.items()))
-    sketch = _sketch(base, columns, probabilities, group_by, accuracy)
+    sketch = None
+    if group_by is None or base.agg(F.approx_count_distinct(group_by)).first()[0] <= MAX_GROUPS:
+        sketch = _sketch(base, columns, probabilities, group_by, accuracy)
     if sketch is None:
         return _by_full_sort(base, columns, probabilities, group_by)
     targets = [t for t in sketch if t["n"]]
@@ -57,7 +59,7 @@ def approx_quantiles(
 ) -> DataFrame:
     """Sketch quantiles in one pass, with a rank error of at most ``1 / accuracy``."""
     wanted = F.array(*(F.lit(float(p)) for p in probabilities))
-    aggs = [F.percentile_approx(_known(df, c), wanted, F.lit(accuracy)).alias(c) for c in columns]
+    aggs = [F.percentile_approx(known(df, c), wanted, F.lit(accuracy)).alias(c) for c in columns]
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -70,7 +72,8 @@ def approx_quantiles(
     return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
 
-def _known(df: DataFrame, column: str) -> Column:
+def known(df: DataFrame, column: str) -> Column:
+    """The column as a double, NaN as null."""
     value = F.col(column).cast("double")
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
         value = F.when(~F.isnan(value), value)
@@ -162,11 +165,11 @@ def _with_targets(df, columns, probabilities, grouped, targets, fields) -> DataF
 
     Literals without a group; with one, a broadcast table of at most ``MAX_GROUPS`` rows.
     """
-    known = {(t["group"], t["column"], t["p"]): t for t in targets}
+    by_target = {(t["group"], t["column"], t["p"]): t for t in targets}
     slots = [(f, j, p) for f in fields for j, p in enumerate(probabilities)]
 
     def entries(group, name, p):
-        return [known.get((group, c, p), {}).get(name) for c in columns]
+        return [by_target.get((group, c, p), {}).get(name) for c in columns]
 
     if not grouped:
         arrays = {

@@ -15,13 +15,18 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by the session, or in local mode a new one where none is set."""
+    """The folder named by the session, or in local mode a new one where none is set.
+
+    Learners that cut their own lineage get the same folder.
+    """
     context = spark.sparkContext
     root = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
     if not root:
         if not context.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fathom-"))
+        root = tempfile.mkdtemp(prefix="fathom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
         root = context.getCheckpointDir()
     return root.rstrip("/")
 

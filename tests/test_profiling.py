@@ -37,11 +37,11 @@ def test_describe_text_is_text(loans):
 
 
 def test_histogram_counts_every_known_value(spark):
-    df = spark.createDataFrame([(float(v), 4, None) for v in range(11)] + [(None, 4, None)], "x double, c int, e double")
+    df = spark.createDataFrame([(float(v), 4, None) for v in range(11)] + [(None, 4, None), (float("nan"), 4, None)], "x double, c int, e double")
     rows = profiling.histogram(df, ["x", "c", "e"], bins=5).collect()
     by_bin = {r["bin"]: r["n"] for r in rows if r["column_name"] == "x"}
     assert by_bin == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
-    assert [(r["bin"], r["n"]) for r in rows if r["column_name"] == "c"] == [(0, 12)]
+    assert [(r["bin"], r["n"]) for r in rows if r["column_name"] == "c"] == [(0, 13)]
     assert not [r for r in rows if r["column_name"] == "e"]
 
 
