@@ -223,12 +223,22 @@ def _vectors(rows: DataFrame, plan: ModelPlan, made: list, keep: Sequence[str] =
     return maker, vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _learner(learned: list, maker: PipelineModel, vectors: DataFrame) -> Pipeline:
+    """The learning stages; a perceptron's first layer gets the width the vector really has."""
+    *before, classifier = learned
+    if isinstance(classifier, MultilayerPerceptronClassifier):
+        width = vectors.schema[maker.stages[-1].getOutputCol()].metadata["ml_attr"]["num_attrs"]
+        layers = [width, *classifier.getLayers()[1:]]
+        classifier = classifier.copy({classifier.layers: layers})
+    return Pipeline(stages=[*before, classifier])
+
+
 def train(df: DataFrame, plan: ModelPlan) -> PipelineModel:
     """Fit the plan; the result scores raw loan rows."""
     made, learned = plan.stages()
     maker, vectors = _vectors(training_rows(df, plan, key=None), plan, made)
     try:
-        learner = Pipeline(stages=learned).fit(vectors)
+        learner = _learner(learned, maker, vectors).fit(vectors)
     finally:
         vectors.unpersist()
     return PipelineModel([*maker.stages, *learner.stages])
@@ -297,12 +307,13 @@ def cross_validate(
     evaluator = evaluator or (status_evaluator() if plan.layout == "status" else grade_evaluator())
     made, learned = plan.stages()
     rows = with_fold(training_rows(df, plan, key), seed, folds, key)
-    _, vectors = _vectors(rows, plan, made, keep=["fold"])
+    maker, vectors = _vectors(rows, plan, made, keep=["fold"])
+    learner = _learner(learned, maker, vectors)
 
     def run(job: tuple[int, int]) -> tuple[int, int, float]:
         place, fold = job
         chosen = {plan.classifier.getParam(n): v for n, v in settings[place].items()}
-        model = Pipeline(stages=learned).fit(vectors.filter(F.col("fold") != fold), chosen)
+        model = learner.fit(vectors.filter(F.col("fold") != fold), chosen)
         return place, fold, evaluator.evaluate(model.transform(vectors.filter(F.col("fold") == fold)))
 
     jobs = [(place, fold) for place in range(len(settings)) for fold in range(folds)]

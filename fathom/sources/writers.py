@@ -10,6 +10,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Add rows, such as accepted applications, to a stored table."""
+    df.write.mode("append").parquet(path)
+
+
 def prediction_output(
     scored: DataFrame, key: str = "id", name: str = "loan_status_prediction"
 ) -> DataFrame:

@@ -65,6 +65,23 @@ def test_ordinal_layout_trains(loans):
     assert model.stages[-1].getLayers()[0] == 13
 
 
+def test_perceptron_takes_the_width_of_the_data(loans):
+    few = loans.filter("loan_intent IN ('MEDICAL', 'VENTURE')")
+    model = modeling.train(few, modeling.grade_perceptron(max_iter=3, encoding="frequency"))
+    assert model.stages[-1].getLayers() == [3 + 1 + 1 + 7 + 3, 15, 15, 7]
+    plan = modeling.grade_perceptron(max_iter=3, encoding="frequency")
+    assert modeling.cross_validate(few, plan, 1, 2)[0].count() == 2
+
+
+def test_empty_history_rule_reaches_the_training(loans):
+    rows = {
+        rule: modeling.Pipeline(stages=modeling.feature_stages("status", zero_history=rule)).fit(loans).transform(loans).count()
+        for rule in ("zero", "null")
+    }
+    assert rows["zero"] == loans.count()
+    assert rows["null"] == loans.filter("cb_person_cred_hist_length != 0").count()
+
+
 def test_defaults_are_the_full_settings():
     forest, boosted = modeling.random_forest(1), modeling.boosted_trees(1)
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (100, 10, 5)
