@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fathom import domain
 from fathom.operators import modeling
-from fathom.operators.applications import merge_scores
+from fathom.operators.applications import decided
 from fathom.operators.explain import importances
 from fathom.operators.modeling import ModelPlan
 from fathom.operators.scoring import score_pending
@@ -84,20 +84,14 @@ def score_snapshot(
 ) -> None:
     """Score the pending applications of a snapshot and write the next snapshot.
 
-    Models are loaded once. The target must be a new folder; rows that could not be scored stay
-    pending.
+    Models are loaded once, and no row is shuffled: the scored rows are put beside the decided
+    ones. The target must be a new folder; rows that could not be scored stay pending.
     """
     applications = read_loans(spark, applications_path, "parquet", domain.APPLICATION_SCHEMA)
     status_model, grade_model = load_pipeline(spark, status_path), load_pipeline(spark, grade_path)
     ranked = importances(status_model, empty_loans(spark))
-    scored = score_pending(applications, status_model, grade_model, ranked).filter("error IS NULL")
-    merged = merge_scores(
-        applications,
-        scored.select(
-            "id", "status", "loan_grade", "status_probability", "grade_probability", "feature_importances"
-        ),
-    )
-    merged.write.parquet(target_path)
+    scored = score_pending(applications, status_model, grade_model, ranked).drop("error")
+    decided(applications).unionByName(scored).write.parquet(target_path)
 
 
 def empty_loans(spark: SparkSession) -> DataFrame:
