@@ -82,20 +82,23 @@ def confusion_dense(
 
 
 def roc_points(
-    df: DataFrame, label: str = "label", score: str = "score", slices: int = 200
+    df: DataFrame, label: str = "label", score: str = "score", slices: int | None = None
 ) -> DataFrame:
     """Rows per distinct score with the positives and negatives at or above it.
 
     The distinct scores are cut into slices of similar size; each slice is accumulated on its
-    own and shifted by the totals of the slices above, so no task holds all scores.
+    own and shifted by the totals of the slices above, so no task holds all scores. There are at
+    least as many slices as shuffle partitions, unless told otherwise.
     """
+    slices = slices or max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     value = F.col(score).cast("double")
     known = df.filter(value.isNotNull() & ~F.isnan(value) & F.col(label).isNotNull())
     per_score = known.groupBy(value.alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("positives"),
         F.count(F.when(F.col(label) != 1, 1)).alias("negatives"),
     )
-    cuts = known.select(value.alias("score")).approxQuantile("score", [i / slices for i in range(1, slices)], 0.2 / slices)
+    wanted = [i / slices for i in range(1, slices)]
+    cuts = known.select(value.alias("score")).approxQuantile("score", wanted, 0.2 / slices)
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(edges) == 2:
         edges.insert(1, 0.0)

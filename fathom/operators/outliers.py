@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.quantiles import MAX_GROUPS, approx_quantiles, exact_quantiles
+from fathom.operators.quantiles import approx_quantiles, exact_quantiles, few_groups
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -73,14 +73,13 @@ def impute_group_median(
     """
     columns = list(columns)
     grouped = df.withColumn(group_name, group)
+    small = few_groups(grouped, group_name)
     medians = (
-        exact_quantiles(grouped, columns, [0.5], group_by=group_name)
+        exact_quantiles(grouped, columns, [0.5], group_by=group_name, few=small)
         .groupBy(group_name)
         .agg(*(F.max(F.when(F.col("column_name") == c, F.col("value"))).alias(f"_median_{c}") for c in columns))
     )
     fences = _fences(df, columns, exact) if repair_outliers else {}
-    # Few groups by nature (brackets); the hint is given only when that is so.
-    small = grouped.select(group_name).distinct().limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
     same = F.col(f"d.{group_name}").eqNullSafe(F.col(f"m.{group_name}"))
     joined = grouped.alias("d").join((F.broadcast(medians) if small else medians).alias("m"), same, "left")
     repaired = {}

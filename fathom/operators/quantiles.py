@@ -29,20 +29,22 @@ def exact_quantiles(
     group_by: str | None = None,
     accuracy: int = 10_000,
     max_candidates: int = 1_000_000,
+    few: bool | None = None,
 ) -> DataFrame:
     """Smallest value whose cumulative share reaches each probability; nulls and NaN are left out.
 
     Returns ``([group_by,] column_name, p, value)``. The value is a double. A column without any
     value gives null. Runs aggregate jobs while it is built and so scans its input two to four
-    times: write a costly input to a table first.
+    times: write a costly input to a table first. ``few`` is the answer of ``few_groups`` where the
+    caller knows it.
     """
     clean = {c: known(df, c) for c in columns}
     base = df.select(*([group_by] if group_by else []), *(v.alias(c) for c, v in clean.items()))
-    sketch = None
-    if group_by is None or base.agg(F.approx_count_distinct(group_by)).first()[0] <= MAX_GROUPS:
-        sketch = _sketch(base, columns, probabilities, group_by, accuracy)
-    if sketch is None:
+    if few is None:
+        few = group_by is None or few_groups(base, group_by)
+    if not few:
         return _by_full_sort(base, columns, probabilities, group_by)
+    sketch = _sketch(base, columns, probabilities, group_by, accuracy)
     targets = [t for t in sketch if t["n"]]
     while True:
         wide = [t for t in targets if t["lo"] < t["hi"] and t["inside"] > max_candidates]
@@ -51,6 +53,11 @@ def exact_quantiles(
     return _rank_candidates(base, columns, probabilities, group_by, sketch, targets)
 
 
+def few_groups(df: DataFrame, group_by: str) -> bool:
+    """Whether the groups are few enough for a table that is broadcast."""
+    return df.select(group_by).distinct().limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+
+
 def approx_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -85,7 +92,7 @@ def _rank(p: float, n: int) -> int:
 
 
 def _sketch(base, columns, probabilities, group_by, accuracy):
-    """One bracket per (group, column, probability), or None if there are too many groups."""
+    """One bracket per (group, column, probability)."""
     margin = 2.0 / accuracy
     ends = [min(1.0, max(0.0, p + side * margin)) for p in probabilities for side in (-1, 1)]
     wanted = F.array(*(F.lit(e) for e in ends))
@@ -98,11 +105,8 @@ def _sketch(base, columns, probabilities, group_by, accuracy):
             F.max(c).alias(f"max{i}"),
         ]
     grouped = base.groupBy(group_by) if group_by else base.groupBy()
-    rows = grouped.agg(*aggs).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        return None
     sketch = []
-    for row in rows:
+    for row in grouped.agg(*aggs).collect():
         for i, c in enumerate(columns):
             for j, p in enumerate(probabilities):
                 n = row[f"n{i}"]
