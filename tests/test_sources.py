@@ -36,13 +36,40 @@ def test_durable_keeps_rows_and_schema(spark, loans):
     assert kept.exceptAll(loans).count() == 0 and kept.count() == loans.count()
 
 
-def test_scratch_root_is_stable(spark):
-    assert scratch.scratch_root(spark) == scratch.scratch_root(spark)
-    spark.conf.set(scratch.SETTING, "/tmp/shared-name/") if _settable(spark) else None
+class Cluster:
+    """The parts of a cluster session that the scratch folder depends on."""
 
+    master = "spark://somewhere:7077"
 
-def _settable(spark):
-    return spark.conf.isModifiable(scratch.SETTING)
+    def __init__(self, settings, checkpoint=None):
+        self.settings, self.checkpoint = settings, checkpoint
+        self.sparkContext = self.conf = self
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self.checkpoint
+
+    def setCheckpointDir(self, folder):
+        self.checkpoint = f"{folder.rstrip('/')}/run"
+
+
+def test_scratch_folder_is_stable_and_the_learners_use_it(spark):
+    own = scratch.scratch_root(spark)
+    assert scratch.scratch_root(spark) == own
+    assert spark.sparkContext.getCheckpointDir()
+
+
+def test_scratch_folder_of_a_cluster():
+    named = {scratch.SETTING: "hdfs:///shared/"}
+    assert scratch.scratch_root(Cluster(named, "hdfs:///shared/abc")) == "hdfs:///shared"
+    assert scratch.scratch_root(Cluster(named)) == "hdfs:///shared/run"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(Cluster({}))
 
 
 def test_models_are_stored_and_loaded(spark, loans, tmp_path):
