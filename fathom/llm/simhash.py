@@ -97,7 +97,7 @@ def _positional_keys(fp: Column) -> Column:
 
 def near(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
     """Where two arrays of fingerprints share enough positional bytes and then differ in few bits."""
-    differing = np.bitwise_xor(first, second)
+    differing = np.bitwise_xor(first, second).view(np.uint64)  # bits are counted without a sign
     shared = (np.ascontiguousarray(differing).view(np.uint8).reshape(*differing.shape, 8) == 0).sum(axis=-1)
     return (shared >= 8 - bits) & (np.bitwise_count(differing) <= bits)
 
