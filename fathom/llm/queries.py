@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import simhash, token_counts
+from fathom.llm import simhash, token_counts, token_files
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +19,17 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_rows(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     "op4_token_counts": _op4,
+    "op7_token_files": _op7,
     "op9_simhash_near_dedup": _op9,
 }
 
