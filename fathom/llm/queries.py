@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import simhash, token_counts, token_files
+from fathom.llm import mixing, simhash, token_counts, token_files
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")
@@ -28,9 +32,12 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_source_mixing": _op2,
     "op4_token_counts": _op4,
     "op7_token_files": _op7,
     "op9_simhash_near_dedup": _op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_source_mixing": mixing.ORACLE,
+}
