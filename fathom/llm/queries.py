@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import mixing, simhash, token_counts, token_files
+from fathom.llm import decontaminate, mixing, simhash, token_counts, token_files
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -35,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op2_source_mixing": _op2,
     "op4_token_counts": _op4,
     "op7_token_files": _op7,
+    "op8_benchmark_decontamination": _op8,
     "op9_simhash_near_dedup": _op9,
 }
 
