@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontaminate, mixing, simhash, token_counts, token_files
+from fathom.llm import chunk_dedup, decontaminate, mixing, simhash, token_counts, token_files
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +37,17 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": _op2,
     "op4_token_counts": _op4,
     "op7_token_files": _op7,
     "op8_benchmark_decontamination": _op8,
     "op9_simhash_near_dedup": _op9,
+    "op10_substring_dedup": _op10,
 }
 
 ORACLES: dict[str, str] = {
