@@ -4,9 +4,10 @@ A text is cut where the rolling hash of the 32 bytes before falls below a thresh
 follows another within a few bytes is left out. Cuts depend on nearby bytes only, so a passage is
 cut the same way wherever it stands, and an insertion moves the cuts around itself only. Chunks
 are compared by digest over all documents. Runs of repeated chunks are the candidates: a run of
-more words than the least passage is one. Around a shorter run every window of the least number of
-words is hashed, since a passage goes on beyond its last whole chunk; windows that another
-document has too confirm it.
+more words than the least passage is one. A shorter run may be part of a passage that goes on
+beyond its last whole chunk. Its longest chunk becomes an anchor: wherever this chunk stands,
+every window of the least number of words around it is hashed, and windows that several documents
+have confirm the passage.
 
 Shuffles carry digests and document ids, combined on the map side. The texts are moved once, to
 join the documents' candidate runs, and cut again there instead of carrying positions.
@@ -77,6 +78,13 @@ def chunk_bounds(texts: list[str]) -> tuple[bytes, list[np.ndarray]]:
     ]
 
 
+def _word_starts(raw: np.ndarray) -> np.ndarray:
+    space = (raw == 0x20) | ((raw >= 9) & (raw <= 13)) | (raw == 0)
+    starts = np.zeros(len(raw), bool)
+    starts[1:] = ~space[1:] & space[:-1]
+    return starts
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -93,6 +101,9 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.sum(),
             )
             number = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+            borders = np.concatenate([b[:-1] for b in bounds]), np.concatenate([b[1:] for b in bounds])
+            begun = np.cumsum(_word_starts(np.frombuffer(joined, np.uint8)))
+            words = begun[borders[1] - 1] - begun[borders[0] - 1]
             rows = slice(start, start + len(texts))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,47 +111,46 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(np.repeat(version[rows], counts), pa.int32()),
                     pa.array(number, pa.int32()),
                     pa.array(values.view(np.int64)),
+                    pa.array(borders[1] - borders[0], pa.int32()),
+                    pa.array(words, pa.int32()),
                 ],
-                names=["doc_id", "version", "chunk", "digest"],
+                names=["doc_id", "version", "chunk", "digest", "size", "words"],
             )
 
 
 def _examined(least_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut texts again; give long runs as they are and windows around the others."""
+        """Cut texts again; give long runs as they are and windows around anchors."""
         import xxhash
 
         for batch in batches:
-            ids, runs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for start, texts in grouped_texts(batch.column(1).to_pylist()):
                 out: list[tuple] = []
                 for i, text in enumerate(texts, start):
-                    out.extend((ids[i], *row) for row in _examine(text, runs[i], least_words, xxhash.xxh3_128_intdigest))
-                columns = [pa.array([r[c] for r in out], pa.int64()) for c in range(8)]
+                    out.extend((ids[i], *row) for row in _examine(text, marks[i], least_words, xxhash.xxh3_128_intdigest))
+                columns = [pa.array([r[c] for r in out], pa.int64()) for c in range(len(_EXAMINED))]
                 yield pa.RecordBatch.from_arrays(columns, names=_EXAMINED)
 
     return work
 
 
-_EXAMINED = ["doc_id", "run", "start", "stop", "words", "earliest", "high", "low"]
+_EXAMINED = ["doc_id", "start", "stop", "earliest", "high", "low"]
 
 
-def _examine(text: str, runs: list[dict], least_words: int, digest) -> Iterator[tuple]:
-    """(run, start, stop, words, earliest, high, low): earliest is set for runs that need no window."""
+def _examine(text: str, marks: list[dict], least_words: int, digest) -> Iterator[tuple]:
+    """(start, stop, earliest, None, None) of long runs, (start, stop, None, high, low) of windows."""
     joined, (bounds,) = chunk_bounds([text])
     raw = np.frombuffer(joined, np.uint8)
     char = np.cumsum((raw & 0xC0) != 0x80) - WINDOW - 1
-    space = (raw == 0x20) | ((raw >= 9) & (raw <= 13)) | (raw == 0)
-    first = np.flatnonzero(~space[1:] & space[:-1]) + 1
-    stop = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    for run in runs:
-        begin, end = int(bounds[run["from"]]), int(bounds[run["to"] + 1])
-        if end - begin < LEAST_RUN:
-            continue
-        # Whole words inside the run.
+    first = np.flatnonzero(_word_starts(raw))
+    stop = len(raw) - 1 - np.flatnonzero(_word_starts(raw[::-1]))[::-1] + 1
+    for mark in marks:
+        begin, end = int(bounds[mark["from"]]), int(bounds[mark["to"] + 1])
+        # Whole words inside.
         a, b = int(np.searchsorted(first, begin)), int(np.searchsorted(stop, end, "right"))
-        if b - a >= least_words:
-            yield run["from"], int(char[begin]), int(char[end - 1]) + 1, b - a, run["earliest"], None, None
+        if mark["earliest"] is not None:
+            yield int(char[begin]), int(char[end - 1]) + 1, mark["earliest"], None, None
             continue
         b = max(a, b)
         for w in range(max(0, b - least_words), min(a, len(first) - least_words) + 1):
@@ -148,7 +158,7 @@ def _examine(text: str, runs: list[dict], least_words: int, digest) -> Iterator[
             value = digest(b" ".join(joined[p:q].split()))
             high, low = value >> 64, value & 0xFFFFFFFFFFFFFFFF
             signed = [x - (1 << 64) if x >> 63 else x for x in (high, low)]
-            yield run["from"], int(char[p]), int(char[q - 1]) + 1, least_words, None, *signed
+            yield int(char[p]), int(char[q - 1]) + 1, None, *signed
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -161,10 +171,13 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, chunk, digest, earliest) of every chunk that several documents have."""
+    """(digest, doc_id, version, chunk, size, words, earliest) of every chunk that several documents have."""
     ship(docs.sparkSession)
     chunks = durable(
-        _identified(docs).mapInArrow(_chunk_rows, "doc_id bigint, version int, chunk int, digest bigint"), "chunks"
+        _identified(docs).mapInArrow(
+            _chunk_rows, "doc_id bigint, version int, chunk int, digest bigint, size int, words int"
+        ),
+        "chunks",
     )
     seen = (
         chunks.groupBy("digest")
@@ -172,68 +185,79 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         .filter("earliest < latest")
         .select("digest", "earliest")
     )
-    return chunks.join(seen, "digest")
+    return chunks.join(seen, "digest").distinct()
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, stop, words, first_doc_id, removed) for every passage that repeats.
+    """(doc_id, start, stop, first_doc_id, removed) for every passage that repeats.
 
     A passage is a stretch of at least ``least_words`` words that another document has too, given
-    as a range of code points; ``words`` are the whole words known to repeat. ``first_doc_id`` is
-    the smallest id whose document holds all of it; every other document's copy is ``removed``.
+    as a range of code points; stretches that meet are one. ``first_doc_id`` is the smallest id
+    that every part of it was found under, and the other documents' copies are ``removed``: what
+    is removed stands whole in earlier documents.
     Documents without such a passage have no row. Null and empty texts hold none. Rows that share
     an id are versions of one document: what repeats only among them is not reported, and an exact
     repeat of a row adds nothing. Rows without an id cannot be named and are left out. Columns
     besides doc_id and text are not read.
     """
-    hits = repeated_chunks(docs)
+    hits = durable(repeated_chunks(docs), "repeated-chunks")
     in_text = Window.partitionBy("doc_id", "version").orderBy("chunk")
-    fresh = F.when(F.col("chunk") - F.lag("chunk").over(in_text) <= 1, 0).otherwise(1)
+    fresh = F.when(F.col("chunk") - F.lag("chunk").over(in_text) == 1, 0).otherwise(1)
     runs = (
         hits.withColumn("fresh", fresh)
         .withColumn("run", F.sum("fresh").over(in_text))
         .groupBy("doc_id", "version", "run")
-        .agg(F.min("chunk").alias("from"), F.max("chunk").alias("to"), F.max("earliest").alias("earliest"))
+        .agg(
+            F.min("chunk").alias("from"),
+            F.max("chunk").alias("to"),
+            F.max("earliest").alias("earliest"),
+            F.sum("words").alias("words"),
+            F.sum("size").alias("size"),
+            F.max_by("digest", "size").alias("digest"),
+        )
+    )
+    runs = durable(runs, "runs")
+    is_long = F.col("words") > least_words
+    anchors = runs.filter(~is_long & (F.col("size") >= LEAST_RUN)).select("digest").distinct()
+    marks = (
+        runs.filter(is_long)
+        .select("doc_id", "version", "from", "to", "earliest")
+        .union(
+            hits.join(anchors, "digest").select(
+                "doc_id", "version", F.col("chunk"), F.col("chunk"), F.lit(None).cast("bigint")
+            )
+        )
         .groupBy("doc_id", "version")
-        .agg(F.sort_array(F.collect_list(F.struct("from", "to", "earliest"))).alias("runs"))
+        .agg(F.sort_array(F.collect_list(F.struct("from", "to", "earliest"))).alias("marks"))
     )
     examined = (
         _identified(docs)
-        .join(runs, ["doc_id", "version"])
-        .select("doc_id", "text", "runs")
+        .join(marks, ["doc_id", "version"])
+        .select("doc_id", "text", "marks")
         .mapInArrow(_examined(least_words), ", ".join(f"{n} bigint" for n in _EXAMINED))
     )
     examined = durable(examined, "examined")
-    long_ = examined.filter("high IS NULL").select("doc_id", "run", "start", "stop", "words", "earliest")
-    windows = examined.filter("high IS NOT NULL").drop("earliest", "words")
+    long_ = examined.filter("high IS NULL").select("doc_id", "start", "stop", "earliest")
+    windows = examined.filter("high IS NOT NULL").drop("earliest")
     shared = (
         windows.groupBy("high", "low")
         .agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
         .filter("earliest < latest")
         .drop("latest")
     )
-    confirmed = (
-        windows.join(shared, ["high", "low"])
-        .groupBy("doc_id", "run")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("stop").alias("stop"),
-            (F.countDistinct("start") + least_words - 1).alias("words"),
-            F.max("earliest").alias("earliest"),
-        )
-        .select("doc_id", "run", "start", "stop", "words", "earliest")
-    )
+    confirmed = windows.join(shared, ["high", "low"]).select("doc_id", "start", "stop", "earliest")
+    found = long_.union(confirmed)
+    in_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
+    reached = F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reached >= F.col("start"), 0).otherwise(1)
     return (
-        long_.union(confirmed)
+        found.withColumn("fresh", fresh)
+        .withColumn("passage", F.sum("fresh").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "passage")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("earliest").alias("first_doc_id"))
         .select(
-            "doc_id",
-            "start",
-            "stop",
-            "words",
-            F.col("earliest").alias("first_doc_id"),
-            (F.col("earliest") < F.col("doc_id")).alias("removed"),
+            "doc_id", "start", "stop", "first_doc_id", (F.col("first_doc_id") < F.col("doc_id")).alias("removed")
         )
-        .distinct()
     )
 
 
