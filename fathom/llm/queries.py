@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import chunk_dedup, decontaminate, mixing, simhash, token_counts, token_files
+from fathom.llm import chunk_dedup, decontaminate, license_scan, mixing, simhash, token_counts, token_files
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(documents(spark, sf_dir))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,6 +48,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": _op2,
     "op4_token_counts": _op4,
+    "op6_license_scan": _op6,
     "op7_token_files": _op7,
     "op8_benchmark_decontamination": _op8,
     "op9_simhash_near_dedup": _op9,
@@ -52,4 +57,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,
+    "op6_license_scan": license_scan.oracle_sql(),
 }
