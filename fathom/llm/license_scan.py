@@ -75,8 +75,8 @@ WORDS = r"filter(split(lower(coalesce(text, '')), r'[^\p{L}\p{N}]+'), w -> w !=
 
 
 def _let(name: str, value: str, body: str) -> str:
-    """SQL for the array ``body`` in which ``name`` stands for ``value``, computed once."""
-    return f"flatten(transform(array({value}), {name} -> {body}))"
+    """SQL for the expression ``body`` in which ``name`` stands for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def _band_keys(words: str, stride: int) -> str:
@@ -84,21 +84,24 @@ def _band_keys(words: str, stride: int) -> str:
 
     The last window ends with the text; a text of fewer words than a window is one window.
     """
-    last = f"greatest(1, size(words) - {WINDOW_WORDS - 1})"
-    starts = f"concat(sequence(1, {last}, {stride}), array({last}))"
-    minima = ", ".join(f"array_min(transform(s, x -> shiftleft(x, {MOVE * i})))" for i in range(BANDS * ROWS))
+    last = f"greatest(0, size(words) - {WINDOW_WORDS})"
+    starts = f"concat(sequence(0, {last}, {stride}), array({last}))"
+    # Elements are read by place: slice() would copy the whole array for every window.
+    held = [f"get(hashes, i + {j})" for j in range(WINDOW_WORDS)]
+    rows = [
+        "least(" + ", ".join(f"shiftleft({h}, {MOVE * n})" for h in held) + ")" for n in range(BANDS * ROWS)
+    ]
     bands = ", ".join(
-        f"xxhash64({b}, " + ", ".join(f"m[{b * ROWS + r}]" for r in range(ROWS)) + ")" for b in range(BANDS)
+        f"xxhash64({b}, " + ", ".join(rows[b * ROWS : (b + 1) * ROWS]) + ")" for b in range(BANDS)
     )
-    windows = f"transform({starts}, i -> slice(hashes, i, {WINDOW_WORDS}))"
-    keys = f"flatten(transform(transform({windows}, s -> array({minima})), m -> array({bands})))"
+    keys = f"flatten(transform({starts}, i -> array({bands})))"
     return _let("words", words, _let("hashes", "transform(words, w -> xxhash64(w))", keys))
 
 
 def _shingles(words: str) -> str:
     """SQL for the distinct five-word shingles of the word array; none for fewer words."""
-    each = f"array_join(slice(words, i, {SHINGLE_WORDS}), ' ')"
-    starts = f"if(size(words) < {SHINGLE_WORDS}, array(), sequence(1, size(words) - {SHINGLE_WORDS - 1}))"
+    each = "concat_ws(' ', " + ", ".join(f"words[i + {j}]" for j in range(SHINGLE_WORDS)) + ")"
+    starts = f"if(size(words) < {SHINGLE_WORDS}, array(), sequence(0, size(words) - {SHINGLE_WORDS}))"
     return f"array_distinct({_let('words', words, f'transform({starts}, i -> {each})')})"
 
 
@@ -128,33 +131,29 @@ def license_matches(
     kinds = "doc_id bigint, license string, shingles int, found int, containment double"
     if not table:
         return spark.createDataFrame([], kinds)
-    listed = ", ".join(f"{k}L" for k in sorted({k for row in table for k in row["keys"]}))
-    hits = f"array_distinct(filter({_band_keys(WORDS, STRIDE)}, k -> k IN ({listed})))"
-    literal = {
-        row["license"]: (
-            F.array(*(F.lit(k).cast("bigint") for k in row["keys"])),
-            F.array(*(F.lit(s) for s in row["shingles"])),
+    number = lambda k: f"{k}L"
+    listed = ", ".join(map(number, sorted({k for row in table for k in row["keys"]})))
+    hits = f"filter({_band_keys(WORDS, STRIDE)}, k -> k IN ({listed}))"
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    # One expression from text to counts, so that nothing of it is computed twice and shingles are
+    # made for documents with a hit only.
+    counts = ", ".join(
+        "if(arrays_overlap(hits, array({keys})), named_struct('license', {name}, 'shingles', {size}, 'found', "
+        "size(array_intersect(array({wanted}), held))), null)".format(
+            keys=", ".join(map(number, row["keys"])),
+            name=quoted(row["license"]),
+            size=len(row["shingles"]),
+            wanted=", ".join(map(quoted, row["shingles"])),
         )
         for row in table
-    }
-    scanned = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(hits).alias("hits")
-    ).filter("size(hits) > 0")
-    hit = [F.when(F.arrays_overlap("hits", keys), F.lit(name)) for name, (keys, _) in literal.items()]
-    candidates = scanned.select(
-        "doc_id", F.expr(_shingles(WORDS)).alias("held"), F.array_compact(F.array(*hit)).alias("licenses")
-    ).select("doc_id", "held", F.explode("licenses").alias("license"))
-    wanted = F.lit(None).cast("array<string>")
-    for name, (_, shingles) in literal.items():
-        wanted = F.when(F.col("license") == name, shingles).otherwise(wanted)
-    counted = candidates.withColumn("wanted", wanted).select(
-        "doc_id",
-        "license",
-        F.size("wanted").alias("shingles"),
-        F.size(F.array_intersect("wanted", "held")).alias("found"),
     )
-    return counted.withColumn("containment", F.col("found") / F.col("shingles")).filter(
-        F.col("containment") >= least
+    verified = _let("held", _shingles(WORDS), f"array_compact(array({counts}))")
+    found = _let("hits", hits, f"if(size(hits) = 0, null, {verified})")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(F.expr(found)).alias("m"))
+    return (
+        rows.select("doc_id", "m.license", "m.shingles", "m.found")
+        .withColumn("containment", F.col("found") / F.col("shingles"))
+        .filter(F.col("containment") >= least)
     )
 
 
