@@ -4,18 +4,25 @@ The byte-level pattern never lets a pre-token run over a space that a non-space
 a single line feed between non-spaces. A text whose white space is only such spaces and line feeds
 is cut there at the speed of ``str.split``; any other text is one unit. Both give the same tokens
 as the whole text, and a unit that was seen before costs one dictionary lookup.
+
+Units go by keys: a plain word stands for the word after a space, one that starts with a line
+feed for itself, and what follows ``ALONE`` is a text, or its first word, as it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import compress
+from operator import not_
 from typing import Any
 
+ALONE = "\0"
 # Units remembered by a worker process: two generations of at most this many each.
 REMEMBERED = 400_000
 # Longer units are not remembered.
 LONGEST_REMEMBERED = 200
+# Units are joined to texts of about this many characters for one call of the library's splitter.
+JOINED_CHARS = 200_000
 
 
 class Recent(dict):
@@ -25,14 +32,15 @@ class Recent(dict):
         super().__init__()
         self.most, self.old = most, {}
 
-    def learn(self, keys: set[str], compute: Callable[[list[str]], list[Any]]) -> dict[str, Any]:
-        """Make every key present; what is too long to remember comes back in a dictionary."""
-        missing = keys - self.keys()
-        kept = self.old.keys() & missing
-        self.update({k: self.old[k] for k in kept})
-        missing -= kept
-        wanted = sorted(missing)
-        extra = {}
+    def learn(self, missing: set[str], compute: Callable[[list[str]], list[Any]]) -> dict[str, Any]:
+        """Add keys that are not present; what is too long to remember comes back."""
+        old, wanted, extra = self.old, [], {}
+        for key in missing:
+            value = old.get(key)
+            if value is None:
+                wanted.append(key)
+            else:
+                self[key] = value
         for key, value in zip(wanted, compute(wanted) if wanted else []):
             (self if len(key) <= LONGEST_REMEMBERED else extra)[key] = value
         return extra
@@ -44,71 +52,77 @@ class Recent(dict):
 
 
 def units(text: str, specials: tuple[str, ...] = ()) -> list[str]:
-    """Parts of ``text`` that are tokenized on their own; joined they are the text.
-
-    A unit starts with the white space before its word, except that the space itself is left out:
-    a unit that does not start with a line feed and is not the first one follows one space.
-    """
+    """Keys of the parts of ``text`` that are tokenized on their own."""
+    if not text:
+        return []
+    flat = text.replace("\n", " ")
+    # Of all white space only the space is printable.
+    plain = flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
+    if not plain or any(s in text for s in specials):
+        return [ALONE + text]
     parts = text.replace("\n", " \n").split(" ")
-    if any(s in text for s in specials) or text.split() != text.replace("\n", " ").split(" "):
-        return [text] if text else []
-    return [parts[0], *(p if p[0] == "\n" else " " + p for p in parts[1:])]
+    parts[0] = ALONE + parts[0]
+    return parts
 
 
 def per_text(texts: list[str], specials: tuple[str, ...], memory: Recent, compute) -> list[list[Any]]:
-    """For every text the values of its units."""
+    """For every text the values of its units; ``compute`` gives true values for new units."""
     cut = [units(t, specials) for t in texts]
-    extra = memory.learn(set(chain.from_iterable(cut)), compute)
-    if extra:
-        whole = {**extra}
-        values = [[whole[u] if u in whole else memory[u] for u in us] for us in cut]
-    else:
-        values = [list(map(memory.__getitem__, us)) for us in cut]
+    known = memory.get
+    values = [list(map(known, us)) for us in cut]
+    missing: set[str] = set()
+    for us, found in zip(cut, values):
+        missing.update(compress(us, map(not_, found)))
+    if missing:
+        extra = memory.learn(missing, compute)
+        for us, found in zip(cut, values):
+            if None in found:
+                found[:] = [(extra.get(u) or known(u)) if v is None else v for u, v in zip(us, found)]
     memory.age()
     return values
 
 
-# Units are joined to texts of about this many characters for one call of the library's splitter.
-JOINED_CHARS = 200_000
-
-
-def split_units(splitter, wanted: list[str]) -> list[list[str]]:
+def split_units(splitter, keys: list[str]) -> list[list[str]]:
     """The pre-tokens of every unit, from few calls: each call costs more than a short unit.
 
-    Only units without white space behind their first character are joined, each starting with a
-    space or line feed, so that no pre-token crosses a joint. A line feed put before a first word
-    is a pre-token of its own and is left out again.
+    Words after a space or line feed are joined to one text: no pre-token crosses a joint.
     """
-    found: list[list[str]] = [[] for _ in wanted]
-    held: list[tuple[int, str, int]] = []
+    found: list[list[str]] = [[] for _ in keys]
+    held: list[tuple[list[str], str]] = []
     chars = 0
 
     def flush() -> None:
-        pieces = iter(splitter.pre_tokenize_str("".join(text for _, text, _ in held)))
+        pieces = iter(splitter.pre_tokenize_str("".join([text for _, text in held])))
         end = 0
-        for i, text, added in held:
+        for own, text in held:
             end += len(text)
-            own = found[i]
             for piece, (_, stop) in pieces:
                 own.append(piece)
                 if stop == end:
                     break
-            if added:
-                del own[0]
 
-    for i, unit in enumerate(wanted):
-        if not unit:
-            continue
-        body = unit[1:] if unit[0] in " \n" else unit
-        if body.split() != [body]:
-            found[i] = [piece for piece, _ in splitter.pre_tokenize_str(unit)]
+    for own, key in zip(found, keys):
+        if key[0] == ALONE:
+            own.extend([piece for piece, _ in splitter.pre_tokenize_str(key[1:])])
             continue
-        added = 0 if unit[0] in " \n" else 1
-        held.append((i, "\n" + unit if added else unit, added))
-        chars += len(unit)
+        held.append((own, key if key[0] == "\n" else " " + key))
+        chars += len(key) + 1
         if chars >= JOINED_CHARS:
             flush()
             held, chars = [], 0
     if held:
         flush()
     return found
+
+
+def values_of(pieces: list[list[str]], memory: Recent, compute) -> list[list[Any]]:
+    """For every unit the values of its pre-tokens, remembered like units."""
+    missing = {p for ps in pieces for p in ps if p not in memory}
+    extra = memory.learn(missing, compute) if missing else {}
+    known = memory.get
+    if extra:
+        found = [[extra.get(p) or known(p) for p in ps] for ps in pieces]
+    else:
+        found = [list(map(known, ps)) for ps in pieces]
+    memory.age()
+    return found

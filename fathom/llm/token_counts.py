@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import with_text_column
-from fathom.llm.pretokens import Recent, per_text, split_units
+from fathom.llm.pretokens import ALONE, Recent, per_text, split_units, values_of
 
 LIMIT = 512
 # Symbols merged together at a time; bounds the memory of a round.
@@ -121,17 +121,21 @@ class Counter:
         return counts
 
     def _unit_counts(self, units: list[str]) -> list[int]:
-        special = [sum(u.count(t) for t in self.table.specials) for u in units]
-        parts = split_units(self.splitter, [u if not n else "" for u, n in zip(units, special)])
-        for i, n in enumerate(special):
-            if n:
-                alone = [units[i]]
-                for token in self.table.specials:
-                    alone = [p for text in alone for p in text.split(token)]
-                parts[i] = [p for ps in split_units(self.splitter, alone) for p in ps]
-        extra = self.pieces.learn({p for ps in parts for p in ps}, self._piece_counts)
-        counts = [n + sum(extra[p] if p in extra else self.pieces[p] for p in ps) for n, ps in zip(special, parts)]
-        self.pieces.age()
+        """Units with strings of special tokens are cut there; only a whole text can have some."""
+        special = {
+            i: n
+            for i, u in enumerate(units)
+            if u[0] == ALONE and (n := sum(u.count(t) for t in self.table.specials))
+        }
+        pieces = split_units(self.splitter, [ALONE if i in special else u for i, u in enumerate(units)])
+        for i in special:
+            alone = [units[i][1:]]
+            for token in self.table.specials:
+                alone = [p for text in alone for p in text.split(token)]
+            pieces[i] = [p for ps in split_units(self.splitter, [ALONE + t for t in alone]) for p in ps]
+        counts = list(map(sum, values_of(pieces, self.pieces, self._piece_counts)))
+        for i, n in special.items():
+            counts[i] += n
         return counts
 
     def __call__(self, texts: list[str]) -> list[int]:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fathom.llm.common import grouped_texts, ship
-from fathom.llm.pretokens import Recent, per_text, split_units
+from fathom.llm.pretokens import ALONE, Recent, per_text, split_units, values_of
 from fathom.sources.scratch import durable, scratch_path
 
 END_ID = 0
@@ -87,7 +87,7 @@ class Encoder:
             self.specials = tuple(t["content"] for t in json.load(file)["added_tokens"])
         width = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if width <= 1 << 16 else "<u4")
-        self.units, self.pieces = Recent(), Recent(200_000)
+        self.units, self.pieces = Recent(), Recent()
 
     def _raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -97,14 +97,13 @@ class Encoder:
         return [b"".join([t.id.to_bytes(size, order) for t in tokenize(p)]) for p in pieces]
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        special = [any(t in u for t in self.specials) for u in units]
-        parts = split_units(self.splitter, ["" if s else u for u, s in zip(units, special)])
-        extra = self.pieces.learn({p for ps in parts for p in ps}, self._encode_pieces)
-        raw = [b"".join([extra[p] if p in extra else self.pieces[p] for p in ps]) for ps in parts]
-        self.pieces.age()
-        for i, s in enumerate(special):
-            if s:
-                raw[i] = self._raw(self.tokenizer.encode(units[i], add_special_tokens=False).ids)
+        """Only a whole text can have strings of special tokens; the library encodes it as it is."""
+        special = [i for i, u in enumerate(units) if u[0] == ALONE and any(t in u for t in self.specials)]
+        skipped = set(special)
+        pieces = split_units(self.splitter, [ALONE if i in skipped else u for i, u in enumerate(units)])
+        raw = list(map(b"".join, values_of(pieces, self.pieces, self._encode_pieces)))
+        for i in special:
+            raw[i] = self._raw(self.tokenizer.encode(units[i][1:], add_special_tokens=False).ids)
         return raw
 
     def __call__(self, texts: list[str]) -> list[bytes]:
