@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Texts are worked on in groups of about this many characters, whatever Spark's batch size is.
 GROUP_CHARS = 4_000_000
@@ -86,3 +87,38 @@ def with_text_column(
             )
 
     return docs.mapInArrow(work, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple]:
+    """(label, doc_id, text) of up to ``most`` documents for each label, the same in every run.
+
+    ``labels`` is (doc_id, label). Documents come in the order of their id's hash. A first pass
+    counts each label, a second one keeps ids below a hash bound that leaves about twice as many
+    as wanted; only those few rows reach the driver. Of rows that share an id the smallest text
+    stands for all.
+    """
+    ids = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label").distinct()
+    counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
+    if not counts:
+        return []
+    place = (F.xxhash64(F.col("doc_id"), F.lit(1)).cast("double") / float(1 << 63) + 1.0) / 2.0
+    bounds = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * most + 50) / n))))
+    near = ids.withColumn("_place", place).filter(F.col("_place") <= F.element_at(bounds, F.col("label")))
+    taken: dict = {}
+    for row in sorted(near.collect(), key=lambda r: (r["_place"], r["doc_id"])):
+        held = taken.setdefault(row["label"], [])
+        if len(held) < most:
+            held.append(row["doc_id"])
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(
+        [(k, i) for k, held in taken.items() for i in held],
+        T.StructType(
+            [
+                T.StructField("_label", labels.schema["label"].dataType),
+                T.StructField("doc_id", docs.schema["doc_id"].dataType),
+            ]
+        ),
+    )
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("_label", "doc_id").agg(F.min("text").alias("text")).collect()
+    return sorted((r["_label"], r["doc_id"], r["text"] or "") for r in rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import chunk_dedup, decontaminate, license_scan, mixing, simhash, token_counts, token_files
+from fathom.llm import chunk_dedup, decontaminate, license_scan, mixing, simhash, token_counts, token_files, toxicity
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_matches(documents(spark, sf_dir))
 
@@ -48,6 +53,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": _op2,
     "op4_token_counts": _op4,
+    "op5_toxicity": _op5,
     "op6_license_scan": _op6,
     "op7_token_files": _op7,
     "op8_benchmark_decontamination": _op8,
