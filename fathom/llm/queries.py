@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import chunk_dedup, decontaminate, license_scan, mixing, simhash, token_counts, token_files, toxicity
+from fathom.llm import chunk_dedup, decontaminate, language_crf, license_scan, mixing, simhash, token_counts, token_files, toxicity
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_crf.identify(docs, language_crf.train(docs))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +57,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": _op2,
+    "op3_language_id": _op3,
     "op4_token_counts": _op4,
     "op5_toxicity": _op5,
     "op6_license_scan": _op6,
