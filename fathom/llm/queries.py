@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import chunk_dedup, decontaminate, language_crf, license_scan, mixing, simhash, token_counts, token_files, toxicity
+from fathom.llm import chunk_dedup, decontaminate, language_crf, license_scan, mixing, simhash, sketches, token_counts, token_files, toxicity
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(documents(spark, sf_dir))
+
+
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": _op1,
     "op2_source_mixing": _op2,
     "op3_language_id": _op3,
     "op4_token_counts": _op4,
