@@ -171,8 +171,9 @@ def mixed_documents(
         .withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
         .withColumn("_part", part & (F.col("_time") > F.col("whole")))
     )
-    # The text up to the end of its extra-th word.
-    head = F.expr(r"regexp_substr(text, concat('(?s)^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', extra, '}'))")
+    # Each word with the white space before it; the first ones joined are the text up to there.
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(words, F.lit(1), F.col("extra").cast("int")), "")
     text = F.when(F.col("_part"), head).otherwise(F.col("text"))
     out = {"text": text}
     if "n_chars" in docs.columns:
