@@ -77,7 +77,9 @@ def per_text(texts: list[str], specials: tuple[str, ...], memory: Recent, comput
         extra = memory.learn(missing, compute)
         for us, found in zip(cut, values):
             if None in found:
-                found[:] = [(extra.get(u) or known(u)) if v is None else v for u, v in zip(us, found)]
+                found[:] = map(known, us)
+                if extra and None in found:
+                    found[:] = [extra[u] if v is None else v for u, v in zip(us, found)]
     memory.age()
     return values
 
