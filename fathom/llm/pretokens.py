@@ -18,7 +18,7 @@ from typing import Any
 
 ALONE = "\0"
 # Units remembered by a worker process: two generations of at most this many each.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Longer units are not remembered.
 LONGEST_REMEMBERED = 200
 # Units are joined to texts of about this many characters for one call of the library's splitter.
@@ -76,21 +76,36 @@ def per_text(texts: list[str], specials: tuple[str, ...], memory: Recent, comput
     if missing:
         extra = memory.learn(missing, compute)
         for us, found in zip(cut, values):
-            if None in found:
-                found[:] = map(known, us)
-                if extra and None in found:
-                    found[:] = [extra[u] if v is None else v for u, v in zip(us, found)]
+            for i in list(compress(range(len(us)), map(not_, found))):
+                found[i] = known(us[i]) or extra[us[i]]
     memory.age()
     return values
 
 
+# Letters up to here are letters in every version of Unicode.
+LAST_LETTER = "\u00ff"
+_spelled: dict[int, str] = {}
+
+
+def _letters(splitter) -> dict[int, str]:
+    """How the splitter writes the bytes of the letters beyond ASCII, for ``str.translate``."""
+    if not _spelled:
+        codes = [c for c in range(0x80, ord(LAST_LETTER) + 1) if chr(c).isalpha()]
+        _spelled.update((c, splitter.pre_tokenize_str(chr(c))[0][0]) for c in codes)
+    return _spelled
+
+
 def split_units(splitter, keys: list[str]) -> list[list[str]]:
-    """The pre-tokens of every unit, from few calls: each call costs more than a short unit.
+    """The pre-tokens of every unit.
 
-    Words after a space or line feed are joined to one text: no pre-token crosses a joint.
+    A word of plain letters, alone or before a comma or full stop, is one pre-token with its space.
+    Others after a space or line feed are joined to long texts for few calls of the library's
+    splitter, each of which costs more than a unit; no pre-token crosses a joint.
     """
     found: list[list[str]] = [[] for _ in keys]
     held: list[tuple[list[str], str]] = []
+    letters = _letters(splitter)
+    space, feed = (splitter.pre_tokenize_str(c)[0][0] for c in " \n")
     chars = 0
 
     def flush() -> None:
@@ -107,6 +122,20 @@ def split_units(splitter, keys: list[str]) -> list[list[str]]:
         if key[0] == ALONE:
             own.extend([piece for piece, _ in splitter.pre_tokenize_str(key[1:])])
             continue
+        word = key[1:] if key[0] == "\n" else key
+        mark = word[-1] if word[-1] in ",." else ""
+        if mark:
+            word = word[:-1]
+        if word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER):
+            spelled = word if word.isascii() else word.translate(letters)
+            if key[0] == "\n":
+                own.append(feed)
+                own.append(spelled)
+            else:
+                own.append(space + spelled)
+            if mark:
+                own.append(mark)
+            continue
         held.append((own, key if key[0] == "\n" else " " + key))
         chars += len(key) + 1
         if chars >= JOINED_CHARS:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import with_text_column
-from fathom.llm.pretokens import ALONE, Recent, per_text, split_units, values_of
+from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text, split_units, values_of
 
 LIMIT = 512
 # Symbols merged together at a time; bounds the memory of a round.
@@ -105,7 +105,7 @@ class Counter:
 
         self.table = RankTable(path)
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
-        self.units, self.pieces = Recent(), Recent()
+        self.units, self.pieces = Recent(), Recent(REMEMBERED // 2)
 
     def _piece_counts(self, pieces: list[str]) -> list[int]:
         counts: list[int] = []

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fathom.llm.common import grouped_texts, ship
-from fathom.llm.pretokens import ALONE, Recent, per_text, split_units, values_of
+from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text, split_units, values_of
 from fathom.sources.scratch import durable, scratch_path
 
 END_ID = 0
@@ -87,7 +87,7 @@ class Encoder:
             self.specials = tuple(t["content"] for t in json.load(file)["added_tokens"])
         width = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if width <= 1 << 16 else "<u4")
-        self.units, self.pieces = Recent(), Recent()
+        self.units, self.pieces = Recent(), Recent(REMEMBERED // 2)
 
     def _raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
