@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # --- table schemas ---------------------------------------------------------
+# Column names and types of the input tables and forms.
 
 LOAN_SCHEMA = T.StructType(
     [
-        T.StructField("id", T.IntegerType()),
+        T.StructField("id", T.LongType()),
         T.StructField("person_age", T.IntegerType()),
         T.StructField("person_income", T.IntegerType()),
         T.StructField("person_home_ownership", T.StringType()),
@@ -156,4 +157,9 @@ RAW_FEATURES = [
     "cb_person_default_on_file",
     "cb_person_cred_hist_length",
 ]
+KNOWN_CATEGORIES = {
+    "person_home_ownership": [*OWNERSHIP_ONEHOT, "OTHER"],
+    "loan_intent": [*INTENT_ONEHOT, "HOMEIMPROVEMENT"],
+    "cb_person_default_on_file": ["Y", "N"],
+}
 RAW_CATEGORICAL = ["person_home_ownership", "loan_intent", "cb_person_default_on_file"]

@@ -25,7 +25,6 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +51,15 @@ def feature_stages(
     handle_invalid: str = "skip",
     zero_history: str = "zero",
     scale: bool = False,
-    unseen: str = "error",
+    unseen: str = "keep",
 ) -> list:
     """Stages from raw loan columns to the ``features`` vector.
 
     ``encoding="lists"`` uses the fixed category lists. ``encoding="frequency"`` indexes the
-    categories of the training rows by frequency and one-hot encodes the index; ``unseen`` says
-    what a category (or null) not met in training does when scoring.
+    listed categories by frequency in the training rows and one-hot encodes the index; ``unseen``
+    says what a category not met in training does when scoring. Other values and nulls, of which
+    free text may have any number, share the category ``OTHER VALUE``: the index kept by the driver
+    is as long as the lists.
     """
     columns, expressions = derived.layout_expressions(layout, zero_history)
     stages = []
@@ -70,8 +71,12 @@ def feature_stages(
         numbers = [c for c in columns if c not in slots]
         columns = vectors + numbers if layout == "grade" else numbers + vectors
         indices = [f"{c}_index" for c in coded]
+        listed = [f"{c}_listed" for c in coded]
+        for c, name in zip(coded, listed):
+            values = ", ".join(f"'{v}'" for v in domain.KNOWN_CATEGORIES[c])
+            expressions[name] = f"CASE WHEN {c} IN ({values}) THEN {c} ELSE 'OTHER VALUE' END"
         stages = [
-            StringIndexer(inputCols=coded, outputCols=indices, handleInvalid=unseen),
+            StringIndexer(inputCols=listed, outputCols=indices, handleInvalid=unseen),
             OneHotEncoder(inputCols=indices, outputCols=vectors),
         ]
     elif encoding != "lists":
@@ -210,9 +215,17 @@ def training_rows(df: DataFrame, plan: ModelPlan, key: str | None = "id") -> Dat
     keys = [key] if key and key in df.columns else []
     rows = df.select(*keys, *domain.RAW_FEATURES, label.alias(plan.label))
     written = durable(rows.filter(F.col(plan.label).isNotNull()), "training")
-    # A table with fewer splits than cores is small; spread it, or the fit leaves cores idle.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return written if written.rdd.getNumPartitions() >= cores else written.repartition(cores)
+    # Partitions follow from the rows alone, in number, content and order: a learner that draws
+    # rows by partition gives the same model whatever cores or shuffle settings a session has.
+    place = F.xxhash64(*written.columns)
+    return written.repartition(training_partitions(written.count()), place).sortWithinPartitions(
+        place, *written.columns
+    )
+
+
+def training_partitions(rows: int) -> int:
+    """A partition for every 4,096 rows of a small table, growing slowly beyond 64 of them."""
+    return max(1, min(-(-rows // 4096), 64 + rows // 500_000))
 
 
 def _vectors(rows: DataFrame, plan: ModelPlan, made: list, keep: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame]:
@@ -256,14 +269,36 @@ def keep_invalid(model: PipelineModel) -> PipelineModel:
     return copy
 
 
+def score(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Every row of ``df`` with the model's outputs and an ``error`` text.
+
+    A row whose vector lacks a feature gets no prediction, but null and the error; no row is
+    dropped.
+    """
+    scorer = keep_invalid(model)
+    assembled = next(s for s in scorer.stages if isinstance(s, VectorAssembler)).getOutputCol()
+    scored = scorer.transform(df)
+    lacking = F.exists(vector_to_array(assembled), F.isnan)
+    error = F.when(lacking, F.lit("missing features"))
+    return scored.withColumns(
+        {
+            "prediction": F.when(~lacking, F.col("prediction")),
+            "probabilities": F.when(~lacking, vector_to_array("probability")),
+            "error": error,
+        }
+    ).drop("probability", "rawPrediction")
+
+
 def predict(df: DataFrame, model: PipelineModel, prefix: str = "") -> DataFrame:
-    """The columns of ``df`` with prediction, class probabilities and the highest probability."""
-    probabilities = vector_to_array("probability")
-    return model.transform(df).select(
+    """The columns of ``df`` with prediction, class probabilities and the highest probability.
+
+    Rows with a missing feature stay, with nulls.
+    """
+    return score(df, model).select(
         *(F.col(c) for c in df.columns),
         F.col("prediction").alias(f"{prefix}prediction"),
-        probabilities.alias(f"{prefix}probabilities"),
-        F.array_max(probabilities).alias(f"{prefix}max_probability"),
+        F.col("probabilities").alias(f"{prefix}probabilities"),
+        F.array_max("probabilities").alias(f"{prefix}max_probability"),
     )
 
 
@@ -303,25 +338,32 @@ def cross_validate(
     """Metric per (setting, fold) and the setting with the best mean.
 
     A row's fold follows from its key and the seed, so folds do not move with the partitioning.
+    Feature stages are fitted without the fold they are measured on.
     """
     evaluator = evaluator or (status_evaluator() if plan.layout == "status" else grade_evaluator())
     made, learned = plan.stages()
     rows = with_fold(training_rows(df, plan, key), seed, folds, key)
-    maker, vectors = _vectors(rows, plan, made, keep=["fold"])
-    learner = _learner(learned, maker, vectors)
 
-    def run(job: tuple[int, int]) -> tuple[int, int, float]:
-        place, fold = job
-        chosen = {plan.classifier.getParam(n): v for n, v in settings[place].items()}
-        model = learner.fit(vectors.filter(F.col("fold") != fold), chosen)
-        return place, fold, evaluator.evaluate(model.transform(vectors.filter(F.col("fold") == fold)))
-
-    jobs = [(place, fold) for place in range(len(settings)) for fold in range(folds)]
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = list(pool.map(run, jobs))
-    finally:
-        vectors.unpersist()
+    def run(fold: int) -> list[tuple[int, int, float]]:
+        """All settings on one fold; its feature stages and vectors are made once."""
+        maker = Pipeline(stages=made).fit(rows.filter(F.col("fold") != fold))
+        vector = maker.stages[-1].getOutputCol()
+        vectors = maker.transform(rows).select(vector, plan.label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            learner = _learner(learned, maker, vectors)
+            classifier = learner.getStages()[-1]
+            results = []
+            for place, setting in enumerate(settings):
+                chosen = {classifier.getParam(n): v for n, v in setting.items()}
+                model = learner.fit(vectors.filter(F.col("fold") != fold), chosen)
+                measured = evaluator.evaluate(model.transform(vectors.filter(F.col("fold") == fold)))
+                results.append((place, fold, measured))
+            return results
+        finally:
+            vectors.unpersist()
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        results = [r for found in pool.map(run, range(folds)) for r in found]
     frame = df.sparkSession.createDataFrame(
         [(json.dumps(settings[p], sort_keys=True), f, float(m)) for p, f, m in results],
         "setting string, fold int, metric double",
@@ -331,34 +373,33 @@ def cross_validate(
     return frame, settings[means.index(pick(means))]
 
 
+@dataclass(frozen=True)
+class TunedModel:
+    """A model refitted with the best setting of a search, and the metric of each (setting, fold)."""
+
+    model: PipelineModel
+    setting: dict
+    metrics: DataFrame
+
+
 def tune(
     df: DataFrame,
     plan: ModelPlan,
     seed: int,
     folds: int,
     evaluator: Evaluator | None = None,
+    key: str = "id",
     parallelism: int = 1,
     **values: Sequence,
-) -> CrossValidatorModel:
-    """Cross-validated search that returns a storable model refitted with the best setting."""
-    evaluator = evaluator or (status_evaluator() if plan.layout == "status" else grade_evaluator())
-    builder = ParamGridBuilder()
-    for name, options in values.items():
-        builder.addGrid(plan.classifier.getParam(name), list(options))
-    return CrossValidator(
-        estimator=plan.pipeline(),
-        estimatorParamMaps=builder.build(),
-        evaluator=evaluator,
-        numFolds=folds,
-        seed=seed,
-        parallelism=parallelism,
-    ).fit(training_rows(df, plan, key=None))
+) -> TunedModel:
+    """Search by ``cross_validate`` over the grid of ``values`` and refit the best on all rows."""
+    metrics, best = cross_validate(df, plan, seed, folds, grid(**values), evaluator, key, parallelism)
+    chosen = plan.classifier.copy({plan.classifier.getParam(n): v for n, v in best.items()})
+    return TunedModel(train(df, ModelPlan(plan.layout, chosen, plan.options)), best, metrics)
 
 
-def tuning_metrics(model: CrossValidatorModel, spark) -> DataFrame:
+def tuning_metrics(metrics: DataFrame) -> DataFrame:
     """Mean and deviation of the metric per setting of a search."""
-    settings = [
-        json.dumps({p.name: v for p, v in m.items()}, sort_keys=True) for m in model.getEstimatorParamMaps()
-    ]
-    rows = list(zip(settings, map(float, model.avgMetrics), map(float, model.stdMetrics)))
-    return spark.createDataFrame(rows, "setting string, mean_metric double, std_metric double")
+    return metrics.groupBy("setting").agg(
+        F.avg("metric").alias("mean_metric"), F.stddev_pop("metric").alias("std_metric")
+    )

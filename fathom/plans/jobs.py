@@ -39,7 +39,7 @@ def train_status(
     applicants = read_loans(spark, test_path, fmt)
     model = modeling.train(loans, plan or modeling.status_forest(seed))
     save_model(model, model_path, overwrite)
-    return prediction_output(modeling.keep_invalid(model).transform(applicants))
+    return prediction_output(modeling.score(applicants, model))
 
 
 def train_grade(
@@ -63,14 +63,13 @@ def train_grade(
     applicants = read_loans(spark, test_path, fmt)
     plan = plan or modeling.grade_perceptron()
     seen, held_out = split(loans, seed)
-    model = modeling.tune(
-        seen, plan, seed, folds, parallelism=parallelism, **(settings or {"maxIter": [100], "stepSize": [0.03]})
-    )
+    if not settings and plan.classifier.hasParam("stepSize"):
+        settings = {"maxIter": [100], "stepSize": [0.03]}
+    model = modeling.tune(seen, plan, seed, folds, parallelism=parallelism, **settings).model
     save_model(model, model_path, overwrite)
     held_out = modeling.training_rows(held_out, plan)
     accuracy = modeling.grade_evaluator().evaluate(model.transform(held_out))
-    scorer = modeling.keep_invalid(model.bestModel)
-    return prediction_output(scorer.transform(applicants), name="loan_grade_prediction"), accuracy
+    return prediction_output(modeling.score(applicants, model), name="loan_grade_prediction"), accuracy
 
 
 def load_pipeline(spark: SparkSession, path: str) -> PipelineModel:
@@ -89,7 +88,9 @@ def score_snapshot(
     """
     applications = read_loans(spark, applications_path, "parquet", domain.APPLICATION_SCHEMA)
     status_model, grade_model = load_pipeline(spark, status_path), load_pipeline(spark, grade_path)
-    ranked = importances(status_model, empty_loans(spark))
+    ranked = None
+    if hasattr(status_model.stages[-1], "featureImportances"):
+        ranked = importances(status_model, empty_loans(spark))
     scored = score_pending(applications, status_model, grade_model, ranked).drop("error")
     decided(applications).unionByName(scored).write.parquet(target_path)
 
@@ -108,6 +109,14 @@ def main(arguments: list[str] | None = None) -> None:
             job.add_argument(place)
         job.add_argument("--seed", type=int, required=True)
         job.add_argument("--format", default="csv")
+        job.add_argument("--overwrite", action="store_true")
+        if name == "train-status":
+            job.add_argument("--model-kind", choices=("forest", "logistic", "boosted"), default="forest")
+        else:
+            job.add_argument("--folds", type=int, default=3)
+            job.add_argument("--parallelism", type=int, default=1)
+            job.add_argument("--max-iter", type=int, nargs="+", default=[100])
+            job.add_argument("--step-size", type=float, nargs="+", default=[0.03])
     job = jobs.add_parser("score")
     for place in ("applications", "status_model", "grade_model", "target"):
         job.add_argument(place)
@@ -116,11 +125,28 @@ def main(arguments: list[str] | None = None) -> None:
     if given.job == "score":
         score_snapshot(spark, given.applications, given.status_model, given.grade_model, given.target)
     elif given.job == "train-status":
-        output = train_status(spark, given.train, given.test, given.model, given.seed, fmt=given.format)
+        plan = {
+            "forest": lambda: modeling.status_forest(given.seed),
+            "logistic": modeling.status_logistic,
+            "boosted": lambda: modeling.status_boosted(given.seed),
+        }[given.model_kind]()
+        output = train_status(
+            spark, given.train, given.test, given.model, given.seed, plan, given.format, given.overwrite
+        )
         output.write.parquet(given.predictions)
     else:
         output, accuracy = train_grade(
-            spark, given.train, given.test, given.model, given.seed, fmt=given.format
+            spark,
+            given.train,
+            given.test,
+            given.model,
+            given.seed,
+            folds=given.folds,
+            fmt=given.format,
+            overwrite=given.overwrite,
+            parallelism=given.parallelism,
+            maxIter=given.max_iter,
+            stepSize=given.step_size,
         )
         output.write.parquet(given.predictions)
         print(f"accuracy {accuracy:.4f}, test error {1 - accuracy:.4f}")

@@ -567,3 +567,64 @@ ORACLES: dict[str, str] = {
     "stream_accepted_forms": _accepted(),
     "stream_dashboard_rates": _RATES,
 }
+
+# --- what must hold of fitted models ------------------------------------------------------
+
+# A status vector needs its numbers; a grade vector also an age not below the credit history.
+_COMPLETE = " AND ".join(
+    f"{c} IS NOT NULL" for c in domain.RAW_FEATURES if c not in domain.RAW_CATEGORICAL
+)
+_OLD_ENOUGH = "person_age - cb_person_cred_hist_length > -1"
+_ACCEPTED_IDS = f"SELECT id, username, coalesce(person_income <> 0 AND {_OLD_ENOUGH}, false) AS scored FROM (SELECT *, {_ERRORS} FROM typed) WHERE errors = ''"
+_EACH = "SELECT id, {0} AS is_class, {0} AS sums_to_one, {0} AS is_scored FROM loan_applications"
+
+
+def _typical(column: str) -> str:
+    if column in domain.RAW_CATEGORICAL:
+        value = f"(SELECT {column} FROM loan_applications GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    else:
+        value = f"(SELECT quantile_disc({column}, 0.5) FROM loan_applications)"
+    usual = f"count(*) FILTER ({column} = {value})"
+    return (
+        f"SELECT '{column}' AS feature, count(*) AS n, {usual} AS n_usual, {usual} AS n_usual_unchanged "
+        "FROM loan_applications"
+    )
+
+
+ORACLES |= {
+    "score_status": _with(_EACH.format("true")),
+    "score_status_gbt": _with(_EACH.format("true")),
+    "score_grade": _with(_EACH.format(_OLD_ENOUGH)),
+    "score_grade_tree": _with(_EACH.format(_OLD_ENOUGH)),
+    "score_status_lr": _with("SELECT id, true AS is_class, true AS is_sigmoid FROM loan_applications"),
+    "score_status_dirty": _with(
+        f"SELECT id, {_COMPLETE} AS is_scored, NOT ({_COMPLETE}) AS has_error FROM loan_dirty", "loan_dirty"
+    ),
+    "status_model_quality": "SELECT model, true AS precise, true AS complete FROM (VALUES ('forest'), ('logistic')) v(model)",
+    "grade_test_error": _with(
+        "SELECT count(*) AS n, true AS is_a_fifth, true AS is_accurate FROM loan_applications"
+    ),
+    "grade_tree_rules": "SELECT true AS predicts, true AS at_most_32_leaves, true AS is_binary",
+    "cv_status": "SELECT CAST(fold AS INT) AS fold, true AS is_good FROM range(5) f(fold)",
+    "cv_grade": "SELECT '{\"maxIter\": ' || m || ', \"stepSize\": 0.03}' AS setting, CAST(fold AS INT) AS fold, "
+    "true AS is_good FROM (VALUES (50), (100)) v(m), range(3) f(fold)",
+    "status_feature_importance": f"SELECT CAST({len(domain.STATUS_LAYOUT)} AS BIGINT) AS n, true AS sums_to_one, "
+    "true AS is_falling",
+    "partial_dependence": _with(
+        "SELECT CAST(g AS DOUBLE) AS grid_value, count(*) AS n, count(*) AS n_scored, true AS is_chance "
+        f"FROM loan_applications, (SELECT unnest([{', '.join(map(str, domain.INCOME_EDGES))}]) AS g) GROUP BY g"
+    ),
+    "occlusion_attribution": _with(_union([_typical(c) for c in domain.RAW_FEATURES])),
+    "score_pending": _with(
+        "SELECT CAST(id AS VARCHAR) AS id, username, "
+        + ", ".join(f"scored AS {c}" for c in ("is_decided", "is_graded", "is_explained", "is_scored"))
+        + f" FROM ({_ACCEPTED_IDS})",
+        "loan_forms",
+        typed=_TYPED,
+    ),
+    "stream_score_counts": _with(
+        f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM ({_ACCEPTED_IDS})",
+        "loan_forms",
+        typed=_TYPED,
+    ),
+}

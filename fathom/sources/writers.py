@@ -18,8 +18,12 @@ def append_rows(df: DataFrame, path: str) -> None:
 def prediction_output(
     scored: DataFrame, key: str = "id", name: str = "loan_status_prediction"
 ) -> DataFrame:
-    """``(key, prediction as int)``, the shape of a submission file."""
-    return scored.select(key, F.col("prediction").cast("int").alias(name))
+    """``(key, prediction as int)``, the shape of a submission file.
+
+    With the ``error`` that says why there is no prediction, where the scoring gave one.
+    """
+    why = ["error"] if "error" in scored.columns else []
+    return scored.select(key, F.col("prediction").cast("int").alias(name), *why)
 
 
 def write_predictions(scored: DataFrame, path: str, key: str = "id", fmt: str = "parquet") -> None:
