@@ -42,6 +42,7 @@ APPLICATION_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("username", T.StringType()),
+        T.StructField("submitted_at", T.TimestampType()),
         T.StructField("person_age", T.IntegerType()),
         T.StructField("person_income", T.IntegerType()),
         T.StructField("person_home_ownership", T.StringType()),

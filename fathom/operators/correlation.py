@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.numeric import pearson
 from fathom.operators.profiling import numeric_columns
 
 
+# A correlation this close to one is perfect but for rounding in its sums.
+PERFECT = 1 - 1e-12
+
+
+def finite(df: DataFrame, column: str) -> Column:
+    """The column as double; null, NaN and infinite values are missing."""
+    value = F.col(column).cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def _pairs(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """One row per pair.
 
@@ -21,8 +31,8 @@ def _pairs(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     cells = [
         F.struct(
             F.lit(i).alias("pair"),
-            F.col(a).cast("double").alias("x"),
-            F.col(b).cast("double").alias("y"),
+            finite(df, a).alias("x"),
+            finite(df, b).alias("y"),
         )
         for i, (a, b) in enumerate(pairs)
     ]
@@ -40,15 +50,16 @@ def correlation_matrix(
 ) -> DataFrame:
     """Every pair ``column1 < column2`` below a perfect correlation, strongest first.
 
-    A row with a null on either side is left out of that pair; a constant column gives null and
-    is dropped with the perfect pairs.
+    A row with a null, NaN or infinite value on either side is left out of that pair; a constant
+    column gives null and is dropped with the perfect pairs. ``digits`` rounds what is shown, not
+    what decides.
     """
     names = sorted(columns or numeric_columns(df))
     pairs = _pairs(df, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
+    pairs = pairs.filter(F.abs("correlation") < PERFECT)
     if digits is not None:
         pairs = pairs.withColumn("correlation", F.round("correlation", digits))
-    strength = F.abs("correlation")
-    return pairs.filter(strength < 1).orderBy(strength.desc(), "column1", "column2")
+    return pairs.orderBy(F.abs("correlation").desc(), "column1", "column2")
 
 
 def correlation_top(

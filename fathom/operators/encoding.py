@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +9,6 @@ from fathom import domain
 from fathom.functions.codes import onehot_fixed
 from fathom.operators.ordering import running_totals
 
-# An indexer keeps its labels on the driver. Beyond this, ``category_index`` gives a table.
-MAX_LABELS = 10_000
-MAX_ONEHOT_COLUMNS = 1000
-
 
 def category_index(df: DataFrame, column: str, order: str = "frequency") -> DataFrame:
     """``(column, n, index)``: one row per category, numbered from 0.
@@ -32,29 +27,32 @@ def category_index(df: DataFrame, column: str, order: str = "frequency") -> Data
     return ranked.withColumn("index", (F.col("index") - 1).cast("double"))
 
 
-def fit_index(
-    df: DataFrame, column: str, order: str = "frequencyDesc", handle_invalid: str = "error"
-) -> StringIndexerModel:
-    """Indexer fitted once, on the training table, and reused for every other table."""
-    labels = df.agg(F.approx_count_distinct(column)).first()[0]
-    if labels > MAX_LABELS:
-        raise ValueError(f"{column} has about {labels} categories; use category_index and a join")
-    return StringIndexer(
-        inputCol=column,
-        outputCol=f"{column}_index",
-        stringOrderType=order,
-        handleInvalid=handle_invalid,
-    ).fit(df.select(column))
-
-
-def onehot_by_index(df: DataFrame, indexer: StringIndexerModel) -> DataFrame:
-    """Add ``<column>_onehot_<i>`` int columns; the last category is all zero."""
-    column, width = indexer.getInputCol(), len(indexer.labels) - 1
-    if width > MAX_ONEHOT_COLUMNS:
-        raise ValueError(f"{column} has {width + 1} categories, too many for one-hot columns")
-    index = F.col(indexer.getOutputCol())
+def with_index(df: DataFrame, index: DataFrame, column: str, unseen: str = "error") -> DataFrame:
+    """Add ``<column>_index`` from a table made by ``category_index``, fitted once and reused.
+
+    The index may be of any size: it is joined, never collected. A value that it lacks is an
+    error, or null with ``unseen="keep"``; null stays null.
+    """
+    number = index.select(F.col(column).alias("_category"), F.col("index").alias("_number"))
+    joined = df.join(number, F.col(column) == F.col("_category"), "left").drop("_category")
+    value = F.col("_number")
+    if unseen == "error":
+        text = F.concat(F.lit(f"Unseen label in {column}: "), F.col(column).cast("string"))
+        lacking = F.col(column).isNotNull() & value.isNull()
+        value = F.when(lacking, F.raise_error(text).cast("double")).otherwise(value)
+    elif unseen != "keep":
+        raise ValueError(f"unseen must be 'error' or 'keep', got {unseen!r}")
+    return joined.withColumn(f"{column}_index", value).drop("_number")
+
+
+def onehot_by_index(df: DataFrame, column: str, width: int) -> DataFrame:
+    """Add ``<column>_onehot_<i>`` int columns for the first ``width`` numbers of ``<column>_index``.
+
+    The caller states the width; further categories and null are all zero.
+    """
+    index = F.col(f"{column}_index")
     slots = {f"{column}_onehot_{i}": F.coalesce(index == i, F.lit(False)).cast("int") for i in range(width)}
-    return indexer.transform(df).withColumns(slots)
+    return df.withColumns(slots)
 
 
 def onehot_lists(placeholder: bool = False) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -62,21 +62,29 @@ def confusion_dense(
 ) -> DataFrame:
     """One row per actual label, one column per predicted label, zero where nothing fell.
 
-    ``labels`` are the names of the class codes 0, 1, 2 and so on.
+    ``labels`` are the names of the class codes 0, 1, 2 and so on. Any other code, and null, counts
+    in the row and column ``other``, so that all cells together are all rows.
     """
+    names = [*labels, "other"]
+
+    def place(code: str) -> Column:
+        listed = F.col(code).isin([float(i) for i in range(len(labels))])
+        return F.when(listed, F.col(code).cast("int")).otherwise(len(labels))
+
     codes = df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
+    placed = codes.select(place(label).alias("i"), place(prediction).alias("j"), "n")
     cells = {
-        (i, j): F.sum(F.when((F.col(label) == i) & (F.col(prediction) == j), F.col("n")))
-        for i in range(len(labels))
-        for j in range(len(labels))
+        (i, j): F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col("n")))
+        for i in range(len(names))
+        for j in range(len(names))
     }
-    wide = codes.agg(*(F.coalesce(total, F.lit(0)).alias(f"n{i}_{j}") for (i, j), total in cells.items()))
+    wide = placed.agg(*(F.coalesce(total, F.lit(0)).alias(f"n{i}_{j}") for (i, j), total in cells.items()))
     rows = [
         F.struct(
             F.lit(name).alias("actual"),
-            *(F.col(f"n{i}_{j}").alias(f"predicted_{other}") for j, other in enumerate(labels)),
+            *(F.col(f"n{i}_{j}").alias(f"predicted_{other}") for j, other in enumerate(names)),
         )
-        for i, name in enumerate(labels)
+        for i, name in enumerate(names)
     ]
     return wide.select(F.inline(F.array(*rows)))
 

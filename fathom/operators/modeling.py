@@ -269,8 +269,8 @@ def keep_invalid(model: PipelineModel) -> PipelineModel:
     return copy
 
 
-def score(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Every row of ``df`` with the model's outputs and an ``error`` text.
+def score(df: DataFrame, model: PipelineModel, error: str = "error") -> DataFrame:
+    """Every row of ``df`` with the model's outputs and a text column ``error``.
 
     A row whose vector lacks a feature gets no prediction, but null and the error; no row is
     dropped.
@@ -279,12 +279,11 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     assembled = next(s for s in scorer.stages if isinstance(s, VectorAssembler)).getOutputCol()
     scored = scorer.transform(df)
     lacking = F.exists(vector_to_array(assembled), F.isnan)
-    error = F.when(lacking, F.lit("missing features"))
     return scored.withColumns(
         {
             "prediction": F.when(~lacking, F.col("prediction")),
             "probabilities": F.when(~lacking, vector_to_array("probability")),
-            "error": error,
+            error: F.when(lacking, F.lit("missing features")),
         }
     ).drop("probability", "rawPrediction")
 
@@ -294,7 +293,7 @@ def predict(df: DataFrame, model: PipelineModel, prefix: str = "") -> DataFrame:
 
     Rows with a missing feature stay, with nulls.
     """
-    return score(df, model).select(
+    return score(df, model, "_missing").select(
         *(F.col(c) for c in df.columns),
         F.col("prediction").alias(f"{prefix}prediction"),
         F.col("probabilities").alias(f"{prefix}probabilities"),

@@ -113,13 +113,15 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
     """Equal-width histogram per column, empty bins included.
 
     One pass finds the ranges (two numbers per column), one counts. The last bin is closed.
-    Nulls and NaN are left out.
+    Nulls, NaN and infinite values are left out; ``n_infinite`` says how many of the last there were.
     """
     columns = list(columns)
-    values = {c: known(df, c) for c in columns}
+    infinite = {c: F.abs(F.col(c).cast("double")) == float("inf") for c in columns}
+    values = {c: F.when(~infinite[c], known(df, c)) for c in columns}
     ends = {"lo": F.min, "hi": F.max}
     spans = df.agg(
-        *(end(values[c]).alias(f"{name}{i}") for i, c in enumerate(columns) for name, end in ends.items())
+        *(end(values[c]).alias(f"{name}{i}") for i, c in enumerate(columns) for name, end in ends.items()),
+        *(F.count(F.when(infinite[c], 1)).alias(f"infinite{i}") for i, c in enumerate(columns)),
     ).first()
     cells, grid = [], []
     for i, c in enumerate(columns):
@@ -130,9 +132,10 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
         place = F.lit(0) if width == 0 else F.least(F.floor((value - lo) / width), F.lit(bins - 1))
         place = F.when(value.isNotNull(), place).cast("int")
         cells.append(F.struct(F.lit(c).alias("column_name"), place.alias("bin")))
-        grid += [(c, b, lo + b * width, lo + (b + 1) * width) for b in range(bins if width else 1)]
+        out = spans[f"infinite{i}"]
+        grid += [(c, b, lo + b * width, lo + (b + 1) * width, out) for b in range(bins if width else 1)]
     frame = df.sparkSession.createDataFrame(
-        grid, "column_name string, bin int, bin_start double, bin_end double"
+        grid, "column_name string, bin int, bin_start double, bin_end double, n_infinite bigint"
     )
     if not cells:
         return frame.withColumn("n", F.lit(0).cast("long"))

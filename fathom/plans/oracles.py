@@ -497,10 +497,11 @@ ORACLES: dict[str, str] = {
     "confusion_dense": _with(
         "SELECT actual, "
         + ", ".join(f"count(*) FILTER (predicted = '{g}') AS predicted_{g}" for g in "ABCDEFG")
-        + " FROM (SELECT unnest(['A','B','C','D','E','F','G']) AS actual) LEFT JOIN letters USING (actual) GROUP BY 1",
+        + ", count(*) FILTER (actual IS NOT NULL AND seen AND predicted IS NULL) AS predicted_other"
+        + " FROM (SELECT unnest(['A','B','C','D','E','F','G','other']) AS actual) LEFT JOIN letters USING (actual) GROUP BY 1",
         "loan_scored",
-        letters=f"SELECT {_letter('grade_label')} AS actual, {_letter('grade_prediction')} AS predicted "
-        "FROM loan_scored",
+        letters=f"SELECT coalesce({_letter('grade_label')}, 'other') AS actual, "
+        f"{_letter('grade_prediction')} AS predicted, true AS seen FROM loan_scored",
     ),
     "roc_curve": _with(_ROC_CURVE, "loan_scored", **_roc("score")),
     "roc_curve_hard_class": _with(_ROC_CURVE, "loan_scored", **_roc("prediction")),
@@ -523,8 +524,9 @@ ORACLES: dict[str, str] = {
         "SELECT id, username, intent, amount_requested FROM loan_scored WHERE status = '-'", "loan_scored"
     ),
     "next_pending": _with(
-        "SELECT username, id, intent, amount_requested FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY username ORDER BY id) AS place FROM loan_scored WHERE status = '-') WHERE place = 1",
+        "SELECT username, CAST(id AS VARCHAR) AS id, intent, amount_requested FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY username ORDER BY (id * 7919) % 1000, CAST(id AS VARCHAR)) AS place "
+        "FROM loan_scored WHERE status = '-') WHERE place = 1",
         "loan_scored",
     ),
     "merge_scores": _with(

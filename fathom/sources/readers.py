@@ -24,7 +24,9 @@ def read_loans(
     """Scan a loan table.
 
     The declared schema is the default; ``infer`` costs an extra pass over a CSV file.
-    A CSV with fewer columns (no grade, no status) is matched to the schema by its header.
+    A CSV with fewer columns (no grade, no status) is matched to the schema by its header. Every
+    file must have that header: one with other or swapped columns is an error. Values that are not
+    of a column's type are null here; ``rejected_records`` gives the lines they stand in.
     """
     reader = spark.read.option("header", header).option("sep", sep)
     try:
@@ -38,11 +40,19 @@ def read_loans(
                 names = reader.csv(path).columns
                 types = {f.name: f for f in schema.fields}
                 schema = T.StructType([types.get(n, T.StructField(n, T.StringType())) for n in names])
-        return reader.schema(schema).csv(path)
+        return reader.schema(schema).option("enforceSchema", not header).csv(path)
     except AnalysisException as problem:
         raise ValueError(f"Error reading loans from {path!r}: {problem}") from problem
 
 
+def rejected_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The lines of a CSV loan table with a value that is not of its column's type, as ``record``."""
+    schema = read_loans(spark, path, sep=sep).schema.add("record", T.StringType())
+    reader = spark.read.option("header", True).option("sep", sep).option("enforceSchema", False)
+    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "record").csv(path)
+    return rows.filter(F.col("record").isNotNull())
+
+
 def loans_from_rows(spark: SparkSession, rows: Iterable, schema: T.StructType | None = None) -> DataFrame:
     """Literal rows as a table, for single requests and tests."""
     return spark.createDataFrame(list(rows), schema or domain.LOAN_SCHEMA)

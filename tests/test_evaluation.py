@@ -55,6 +55,14 @@ def test_confusion_keeps_all_seven_grades_apart(spark):
     df = spark.createDataFrame([(5.0, 6.0), (6.0, 6.0), (6.0, 6.0)], "grade_label double, grade_prediction double")
     assert [tuple(r) for r in evaluation.confusion_long(df).collect()] == [("F", "G", 1), ("G", "G", 2)]
     dense = {r["actual"]: r for r in evaluation.confusion_dense(df).collect()}
-    assert list(dense) == list("ABCDEFG")
+    assert list(dense) == [*"ABCDEFG", "other"]
     assert dense["F"]["predicted_G"] == 1 and dense["G"]["predicted_G"] == 2
     assert sum(dense[a][f"predicted_{p}"] for a in "ABCDEFG" for p in "ABCDEFG") == 3
+
+
+def test_confusion_counts_every_row(spark):
+    rows = [(1.0, 1.0), (9.0, 1.0), (None, 2.0), (2.0, None), (None, None)]
+    df = spark.createDataFrame(rows, "grade_label double, grade_prediction double")
+    dense = {r["actual"]: r for r in evaluation.confusion_dense(df).collect()}
+    assert sum(v for r in dense.values() for k, v in r.asDict().items() if k != "actual") == len(rows)
+    assert dense["other"]["predicted_B"] == 1 and dense["C"]["predicted_other"] == 1

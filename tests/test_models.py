@@ -6,7 +6,6 @@ import pytest
 from conftest import NULL_ROWS, TEST_ROWS, TRAIN_ROWS
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import functions as F
 
 from fathom import domain
@@ -56,7 +55,7 @@ def test_grade_models_learn(loans, tree):
     # The grade follows from the rate; how closely a tree can cut it depends on its depth and bins.
     fine = modeling.train(loans, modeling.ModelPlan("grade", modeling.decision_tree(1, depth=10, maxBins=512)))
     for model, floor in ((tree, 0.8), (fine, 0.97), (perceptron, 0.6)):
-        graded = model.transform(loans.withColumn("y", modeling.encode_grade("loan_grade")))
+        graded = modeling.score(loans.withColumn("y", modeling.encode_grade("loan_grade")), model).filter("error IS NULL")
         assert evaluation.accuracy(graded, "y").first()["accuracy"] > floor
 
 
@@ -68,7 +67,8 @@ def test_ordinal_layout_trains(loans):
 def test_perceptron_takes_the_width_of_the_data(loans):
     few = loans.filter("loan_intent IN ('MEDICAL', 'VENTURE')")
     model = modeling.train(few, modeling.grade_perceptron(max_iter=3, encoding="frequency"))
-    assert model.stages[-1].getLayers() == [3 + 1 + 1 + 7 + 3, 15, 15, 7]
+    # Four ownerships, two intents, two flags, seven numbers, three derived: unseen values have no slot set.
+    assert model.stages[-1].getLayers() == [4 + 2 + 2 + 7 + 3, 15, 15, 7]
     plan = modeling.grade_perceptron(max_iter=3, encoding="frequency")
     assert modeling.cross_validate(few, plan, 1, 2)[0].count() == 2
 
@@ -104,7 +104,7 @@ def test_scoring_features_equal_training_features(loans, forest):
 def test_frequency_encoding_has_named_slots(loans):
     model = modeling.train(loans, modeling.status_forest(1, trees=3, depth=3, encoding="frequency"))
     names = explain.feature_names(model, loans)
-    assert len(names) == 20 and names[0] == "person_age" and "MEDICAL" in names[-4]
+    assert len(names) == 22 and names[0] == "person_age" and any("MEDICAL" in n for n in names)
     grade = modeling.train(loans, modeling.grade_tree(1, encoding="frequency", unseen="keep"))
     assert len(explain.feature_names(grade, loans)) > 19
 
@@ -174,14 +174,39 @@ def test_cross_validation_by_key(loans):
 
 
 def test_tuned_model_is_stored(spark, loans, tmp_path):
-    model = modeling.tune(loans, modeling.grade_tree(1), 3, 2, maxDepth=[1, 4])
-    metrics = {json.loads(r["setting"])["maxDepth"]: r["mean_metric"] for r in modeling.tuning_metrics(model, spark).collect()}
-    assert metrics[4] > metrics[1]
-    models.save_model(model, str(tmp_path / "tuned"))
-    assert isinstance(models.load_model(spark, str(tmp_path / "tuned")), CrossValidatorModel)
+    tuned = modeling.tune(loans, modeling.grade_tree(1), 3, 2, maxDepth=[1, 4])
+    metrics = {json.loads(r["setting"])["maxDepth"]: r["mean_metric"] for r in modeling.tuning_metrics(tuned.metrics).collect()}
+    assert metrics[4] > metrics[1] and tuned.setting == {"maxDepth": 4}
+    folds, best = modeling.cross_validate(loans, modeling.grade_tree(1), 3, 2, modeling.grid(maxDepth=[1, 4]))
+    assert sorted(map(tuple, folds.collect())) == sorted(map(tuple, tuned.metrics.collect())) and best == tuned.setting
+    models.save_model(tuned.model, str(tmp_path / "tuned"))
     assert isinstance(jobs.load_pipeline(spark, str(tmp_path / "tuned")), PipelineModel)
 
 
+def test_training_does_not_depend_on_the_layout_or_settings(spark, loans):
+    def importances():
+        model = modeling.train(loans.repartition(7), modeling.status_forest(1, trees=10, depth=5))
+        return model.stages[-1].featureImportances.toArray().tolist()
+
+    before = importances()
+    setting = "spark.sql.shuffle.partitions"
+    kept = {k: spark.conf.get(k) for k in (setting, "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set(setting, "13")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # as with more cores: more splits
+        assert importances() == before
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_scoring_keeps_rows_that_lack_a_feature(loans, forest):
+    broken = loans.withColumn("person_age", F.when(F.col("id") % 3 != 0, F.col("person_age")))
+    rows = modeling.score(broken, forest).select("id", "prediction", "error").collect()
+    assert len(rows) == loans.count()
+    assert all((r["prediction"] is None) == (r["error"] is not None) == (r["id"] % 3 == 0) for r in rows)
+
+
 def repeated(rows, times):
     return [(n * len(rows) + i, *row[1:]) for n in range(times) for i, row in enumerate(rows)]
 
@@ -209,7 +234,7 @@ def test_grade_job(spark, test_rows, tmp_path):
     writers.write_csv(test_rows, test)
     predictions, accuracy = jobs.train_grade(spark, train, test, model, seed=1, folds=2, maxIter=[20])
     assert predictions.count() == 2 and accuracy == 1.0
-    assert isinstance(models.load_model(spark, model), CrossValidatorModel)
+    assert isinstance(models.load_model(spark, model), PipelineModel)
 
 
 @pytest.mark.parametrize("job", [jobs.train_status, jobs.train_grade])
@@ -225,6 +250,6 @@ def test_command_line(spark, test_rows, tmp_path, capsys):
     jobs.main(["train-status", paths["train"], paths["test"], paths["status"], paths["p1"], "--seed", "1"])
     jobs.main(["train-grade", paths["train"], paths["test"], paths["grade"], paths["p2"], "--seed", "1"])
     assert "accuracy" in capsys.readouterr().out
-    assert spark.read.parquet(paths["p1"]).columns == ["id", "loan_status_prediction"]
+    assert spark.read.parquet(paths["p1"]).columns == ["id", "loan_status_prediction", "error"]
     assert spark.read.parquet(paths["p2"]).count() == 2
     assert isinstance(jobs.load_pipeline(spark, paths["grade"]), PipelineModel)

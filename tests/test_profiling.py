@@ -45,6 +45,13 @@ def test_histogram_counts_every_known_value(spark):
     assert not [r for r in rows if r["column_name"] == "e"]
 
 
+def test_histogram_leaves_infinite_values_out_and_counts_them(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("inf"),), (float("-inf"),)], "x double")
+    rows = profiling.histogram(df, ["x"], bins=2).collect()
+    assert sum(r["n"] for r in rows) == 3 and {r["n_infinite"] for r in rows} == {2}
+    assert {(r["bin_start"], r["bin_end"]) for r in rows} == {(1.0, 2.0), (2.0, 3.0)}
+
+
 def test_generic_tables(spark, sf_dir):
     events = derived_tables.driver_table(spark, sf_dir, "events")
     assert outliers.outlier_counts(events, ["value"]).first()["n_outliers"] == 31

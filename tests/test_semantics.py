@@ -88,24 +88,27 @@ def test_null_is_no_outlier(spark):
 
 
 def test_index_is_fitted_once(spark, train_rows, test_rows):
-    indexer = encoding.fit_index(train_rows, "loan_intent")
-    assert indexer.labels == ["EDUCATION", "MEDICAL", "PERSONAL"]  # all once, so by name
-    flipped = {r["loan_intent"]: r["loan_intent_index"] for r in indexer.transform(test_rows).collect()}
-    assert flipped == {"PERSONAL": 2.0, "EDUCATION": 0.0}
+    index = encoding.category_index(train_rows, "loan_intent")
+    numbers = {r["loan_intent"]: r["index"] for r in index.collect()}
+    assert sorted(numbers, key=numbers.get) == sorted(numbers)  # all once, so by name
+    found = encoding.with_index(test_rows, index, "loan_intent").collect()
+    assert {r["loan_intent"]: r["loan_intent_index"] for r in found} == {
+        r["loan_intent"]: numbers[r["loan_intent"]] for r in found
+    }
 
 
 def test_unseen_category_is_an_error_or_kept(spark, train_rows, loan_row):
-    unseen = loan_row(loan_intent="VENTURE")
+    unseen, index = loan_row(loan_intent="VENTURE"), encoding.category_index(train_rows, "loan_intent")
     with pytest.raises(Exception, match="Unseen label"):
-        encoding.onehot_by_index(unseen, encoding.fit_index(train_rows, "loan_intent")).collect()
-    kept = encoding.onehot_by_index(unseen, encoding.fit_index(train_rows, "loan_intent", handle_invalid="keep"))
-    assert only(kept)["loan_intent_onehot_0"] == 0
+        encoding.with_index(unseen, index, "loan_intent").collect()
+    kept = encoding.with_index(unseen, index, "loan_intent", unseen="keep")
+    assert only(encoding.onehot_by_index(kept, "loan_intent", 2))["loan_intent_onehot_0"] == 0
 
 
-def test_too_many_categories_for_the_driver(spark, monkeypatch, train_rows):
-    monkeypatch.setattr(encoding, "MAX_LABELS", 2)
-    with pytest.raises(ValueError, match="category_index"):
-        encoding.fit_index(train_rows, "loan_intent")
+def test_correlation_ignores_values_that_are_no_numbers(spark):
+    rows = [(1.0, 2.0), (2.0, 4.1), (3.0, 5.9), (4.0, 8.0), (float("nan"), 1.0), (float("inf"), 1.0)]
+    found = correlation.correlation_matrix(spark.createDataFrame(rows, "a double, b double"), digits=2).collect()
+    assert [tuple(r) for r in found] == [("a", "b", 1.0)]  # shown rounded, decided unrounded
 
 
 def test_frequency_ties_by_name(spark):

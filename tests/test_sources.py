@@ -10,7 +10,7 @@ def test_csv_round_trip(spark, train_rows, test_rows, tmp_path):
     writers.write_csv(train_rows, str(tmp_path / "train"))
     assert readers.read_loans(spark, str(tmp_path / "train")).exceptAll(train_rows).count() == 0
     inferred = readers.read_loans(spark, str(tmp_path / "train"), infer=True)
-    assert dict(inferred.dtypes) == dict(train_rows.dtypes)
+    assert dict(inferred.drop("id").dtypes) == dict(train_rows.drop("id").dtypes)
     writers.write_csv(test_rows, str(tmp_path / "test"))
     back = readers.read_loans(spark, str(tmp_path / "test"))
     assert back.columns == test_rows.columns and back.exceptAll(test_rows).count() == 0
@@ -92,3 +92,19 @@ def test_prediction_output(spark, loans, tmp_path):
     assert dict(output.dtypes) == {"id": "bigint", "loan_status_prediction": "int"}
     writers.write_predictions(model.transform(loans), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1500
+
+
+def test_csv_columns_are_matched_in_every_file(spark, train_rows, tmp_path):
+    names = train_rows.columns
+    writers.write_csv(train_rows.coalesce(1), str(tmp_path / "loans"))
+    train_rows.select(*reversed(names)).coalesce(1).write.mode("append").option("header", True).csv(str(tmp_path / "loans"))
+    with pytest.raises(Exception):
+        readers.read_loans(spark, str(tmp_path / "loans")).collect()
+
+
+def test_wide_ids_are_read_and_bad_records_reported(spark, tmp_path):
+    path = tmp_path / "loans.csv"
+    path.write_text("id,person_age,person_income\n3000000000,30,40000\n2,thirty,40000\n3,41,50000.5\n")
+    assert {r["id"] for r in readers.read_loans(spark, str(path)).collect()} == {3000000000, 2, 3}
+    bad = readers.rejected_records(spark, str(path)).collect()
+    assert sorted(r["id"] for r in bad) == [2, 3] and all("," in r["record"] for r in bad)
