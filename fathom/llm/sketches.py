@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its lines, long ones in pieces of ``PIECE_WORDS`` words. Every digest goes
+A text's paragraphs are its lines, long ones in pieces of ``PIECE_WORDS`` words; its first
+``OPENING_WORDS`` words are a piece of their own, so that short texts have more than one. Every digest goes
 into three of a sketch's cells, which hold a count, the exclusive or of their digests and that of
 the digests' checks. Cells of two versions subtract: what both have cancels out. A cell left with
 a single digest gives it away; taken out of its other cells it may free more, until the sketch is
@@ -18,14 +19,15 @@ from pyspark.sql import functions as F
 
 from fathom.sources.scratch import durable
 
-# Words of a paragraph's piece.
-PIECE_WORDS = 16
+# Words of a paragraph's piece, and of the piece that opens a text.
+PIECE_WORDS = 64
+OPENING_WORDS = 8
 # Cells of each of the three parts of a sketch.
 WIDTH = 5
 PARTS = 3
-ROUNDS = 8
+ROUNDS = 6
 # Digests of both versions for each small sketch of the first retry, and growth of the later ones.
-LOAD = 4
+LOAD = 8
 GROWTH = (1, 4, 16)
 # Pairs with more digests than this are dealt out in two steps.
 LARGE = 512
@@ -40,7 +42,9 @@ def _let(name: str, value: str, body: str) -> str:
 
 def digests(text: str) -> str:
     """SQL for the distinct paragraph digests of a text column."""
-    pieces = f"regexp_extract_all(coalesce({text}, ''), r'(?:[^ \\n]+ ?){{1,{PIECE_WORDS}}}', 0)"
+    words = r"(?:[^ \n]+ ?)"
+    pattern = rf"\A{words}{{1,{OPENING_WORDS}}}|{words}{{1,{PIECE_WORDS}}}"
+    pieces = f"regexp_extract_all(coalesce({text}, ''), r'{pattern}', 0)"
     return f"array_distinct(transform({pieces}, p -> xxhash64(p)))"
 
 

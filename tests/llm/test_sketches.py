@@ -8,7 +8,7 @@ from fathom.llm import sketches
 
 
 def paragraphs(text):
-    return set(re.findall(r"(?:[^ \n]+ ?){1,16}", text))
+    return set(re.findall(r"\A(?:[^ \n]+ ?){1,8}|(?:[^ \n]+ ?){1,64}", text))
 
 
 def likeness(a, b):
