@@ -57,12 +57,20 @@ def _place(d: str, part: int) -> str:
     return f"((shiftrightunsigned({d}, {13 * part}) & 8191) % {WIDTH})"
 
 
-def sketch(values: str) -> str:
-    """SQL for the cells (c, k, x) of an array of digests."""
+def prepared(values: str) -> str:
+    """SQL for an array of digests with what is asked of each again and again: its check, its cells
+    and the bits that deal it to small sketches."""
+    places = ", ".join(f"'p{j}', cast({_place('d', j)} as int)" for j in range(PARTS))
+    bits = "'s', cast(shiftrightunsigned(d, 39) & 8191 as int), 'g', cast(shiftrightunsigned(d, 52) as int)"
+    return f"transform({values}, d -> named_struct('d', d, 'x', {_check('d')}, {places}, {bits}))"
+
+
+def sketch(entries: str) -> str:
+    """SQL for the cells (c, k, x) of an array of prepared digests."""
     zero = "named_struct('c', 0, 'k', 0L, 'x', 0L)"
-    add = f"(a, d) -> named_struct('c', a.c + 1, 'k', a.k ^ d, 'x', a.x ^ {_check('d')})"
+    add = "(a, e) -> named_struct('c', a.c + 1, 'k', a.k ^ e.d, 'x', a.x ^ e.x)"
     cells = (
-        f"aggregate(filter({values}, d -> {_place('d', part)} = {cell}), {zero}, {add})"
+        f"aggregate(filter({entries}, e -> e.p{part} = {cell}), {zero}, {add})"
         for part in range(PARTS)
         for cell in range(WIDTH)
     )
@@ -100,8 +108,7 @@ def _dealt(mine: str, other: str, growth: str) -> str:
     """SQL for the differing digests found by many small sketches, -1 if one of them fails."""
     small = _let(
         "u",
-        "named_struct('a', filter(one, e -> (shiftrightunsigned(e, 39) & 8191) % n = t), "
-        "'b', filter(two, e -> (shiftrightunsigned(e, 39) & 8191) % n = t))",
+        "named_struct('a', filter(one, e -> e.s % n = t), 'b', filter(two, e -> e.s % n = t))",
         peeled(subtracted(sketch("u.a"), sketch("u.b"))),
     )
     wanted = f"least(8192, {growth} * {_power_of_two(f'(size(one) + size(two)) / {LOAD}.0D')})"
@@ -109,7 +116,7 @@ def _dealt(mine: str, other: str, growth: str) -> str:
     within = _let("n", wanted, _let("found", f"transform(sequence(0, n - 1), t -> {small})", total))
     large = f"size({mine}) + size({other})"
     parts = f"if({large} < {LARGE}, 1, least(4096, {_power_of_two(f'sqrt({large})')}))"
-    part = "shiftrightunsigned(e, 52) % m = g"
+    part = "e.g % m = g"
     one = f"if(m = 1, {mine}, filter({mine}, e -> {part}))"
     two = f"if(m = 1, {other}, filter({other}, e -> {part}))"
     each = _let("one", one, _let("two", two, within))
@@ -230,9 +237,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     result = (
         f"named_struct('fingerprint', {_as_text('sa')}, 'edited_fingerprint', {_as_text('sb')}, "
-        f"'edits', {differing('a', 'b', 'sa', 'sb')}, 'others', {differing('a', 'c', 'sa', 'sc')})"
+        f"'edits', {differing('pa', 'pb', 'sa', 'sb')}, 'others', {differing('pa', 'pc', 'sa', 'sc')})"
     )
-    result = _let("sa", sketch("a"), _let("sb", sketch("b"), _let("sc", sketch("c"), result)))
+    result = _let("sa", sketch("pa"), _let("sb", sketch("pb"), _let("sc", sketch("pc"), result)))
+    result = _let("pa", prepared("a"), _let("pb", prepared("b"), _let("pc", prepared("c"), result)))
     return versions.withColumn("r", F.expr(result)).select(
         "doc_id",
         "n_chars",

@@ -62,6 +62,7 @@ def test_peeling_counts_what_differs(spark, sizes):
             F.slice(F.transform(F.sequence(F.lit(10_000), F.lit(10_900)), lambda i: F.xxhash64(i)), 1, right),
         ).alias("b"),
     )
+    frame = frame.select(*(F.expr(sketches.prepared(c)).alias(c) for c in "ab"))
     row = frame.select(
         F.expr(sketches.differing("a", "b", sketches.sketch("a"), sketches.sketch("b"))).alias("n"),
         F.expr(sketches.peeled(sketches.subtracted(sketches.sketch("a"), sketches.sketch("b")))).alias("small"),
