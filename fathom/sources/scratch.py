@@ -6,6 +6,7 @@ survives the loss of the executors that produced it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,8 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        # "local-cluster" has executors of its own, like any cluster.
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fathom-")
     if not context.getCheckpointDir():
