@@ -20,6 +20,26 @@ from pyspark.sql import types as T
 GROUP_CHARS = 4_000_000
 
 _shipped: set[str] = set()
+_kept: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """What ``make`` gives, once for each worker process.
+
+    A worker runs the tasks of one operator after another. Only the last one's object stays, so
+    that their memories of words do not add up.
+    """
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what an earlier operator left in this worker process."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +67,13 @@ def crc32_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string"))
 
 
-def grouped_texts(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) with about GROUP_CHARS characters each; a null text is an empty one."""
+def grouped_texts(texts: list[str | None], most: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first index, texts) with about ``most`` characters each; a null text is an empty one."""
     start, chars, held = 0, 0, []
     for i, text in enumerate(texts):
         held.append(text or "")
         chars += len(held[-1])
-        if chars >= GROUP_CHARS:
+        if chars >= most:
             yield start, held
             start, chars, held = i + 1, 0, []
     if held:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import grouped_texts, ship
+from fathom.llm.common import forget, grouped_texts, ship
 from fathom.operators.ordering import running_totals
 from fathom.sources.scratch import durable
 
@@ -116,6 +116,7 @@ class Searcher:
 
 def _search(items, rate: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         block = items.value
         searcher = Searcher(block, rate)
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import crc32_of_id, grouped_texts, labelled_sample, ship
+from fathom.llm.common import crc32_of_id, grouped_texts, kept, labelled_sample, ship
 
 UNDETERMINED = "und"
 # Documents of each label, and words of each document, that the model is fitted on at most.
@@ -42,7 +42,9 @@ RATE = 0.15
 DECAY = 1e-4
 BLOCK = 32
 # Words whose scores a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+# Letters labelled together; bounds the arrays of a group of texts.
+GROUP_CHARS = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -248,15 +250,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([(text, label) for label, _, text in labelled_sample(docs, known, sample)])
 
 
-_shared: dict = {}
-
-
 def _model(shared) -> Model:
     """The broadcast model, one for each worker process, so that it remembers words between tasks."""
-    if shared.value[0] not in _shared:
-        _shared.clear()
-        _shared[shared.value[0]] = Model(*shared.value[1:])
-    return _shared[shared.value[0]]
+    return kept(shared.value[0], lambda: Model(*shared.value[1:]))
 
 
 def _broadcast(spark, model: Model):
@@ -302,7 +298,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
         own = _model(shared)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            rows = [r for _, ts in grouped_texts(texts) for r in _document(own, ts)]
+            rows = [r for _, ts in grouped_texts(texts, GROUP_CHARS) for r in _document(own, ts)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],

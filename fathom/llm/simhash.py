@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import ship, with_text_column
+from fathom.llm.common import forget, ship, with_text_column
 from fathom.llm.components import connected_components
 from fathom.sources.scratch import durable
 
@@ -79,7 +79,12 @@ def fingerprint(text: str) -> int:
 
 def with_fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
     """``docs`` with its fingerprint as a long; null text counts as empty, fingerprint 0."""
-    return with_text_column(docs, name, "bigint", lambda: lambda texts: [fingerprint(t) for t in texts])
+
+    def make():
+        forget()
+        return lambda texts: [fingerprint(t) for t in texts]
+
+    return with_text_column(docs, name, "bigint", make)
 
 
 def _positional_keys(fp: Column) -> Column:

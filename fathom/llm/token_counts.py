@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import with_text_column
+from fathom.llm.common import kept, with_text_column
 from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text, split_units, values_of
 
 LIMIT = 512
@@ -142,13 +142,8 @@ class Counter:
         return [sum(v) for v in per_text(texts, self.table.specials, self.units, self._unit_counts)]
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return kept(("counter", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:

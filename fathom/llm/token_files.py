@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fathom.llm.common import grouped_texts, ship
+from fathom.llm.common import grouped_texts, kept, ship
 from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text, split_units, values_of
 from fathom.sources.scratch import durable, scratch_path
 
@@ -110,13 +110,8 @@ class Encoder:
         return [b"".join(v) for v in per_text(texts, self.specials, self.units, self._encode_units)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 # --- minimal perfect hash -------------------------------------------------------------------
