@@ -516,6 +516,11 @@ ORACLES: dict[str, str] = {
         "loan_scored",
     ),
     "validate_applications": _with(f"SELECT *, {_ERRORS} FROM typed", "loan_forms", typed=_TYPED),
+    "rejected_forms": _with(
+        f"SELECT id, username, errors FROM (SELECT *, {_ERRORS} FROM typed) WHERE errors <> ''",
+        "loan_forms",
+        typed=_TYPED,
+    ),
     "accepted_applications": _accepted(
         ", amount_requested / nullif(CAST(person_income AS DOUBLE), 0) AS loan_percent_income"
     ),

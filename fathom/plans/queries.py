@@ -380,6 +380,13 @@ def validate_applications(spark, sf_dir):
     return checked.withColumn("errors", F.array_join("errors", "; "))
 
 
+@query
+def rejected_forms(spark, sf_dir):
+    """Forms with an error, with all their errors."""
+    rejected = apps.rejected_forms(apps.check_forms(tables.loan_forms(spark, sf_dir)))
+    return rejected.select("id", "username", F.array_join("errors", "; ").alias("errors"))
+
+
 @query
 def accepted_applications(spark, sf_dir):
     valid = apps.valid_forms(apps.check_forms(tables.loan_forms(spark, sf_dir)))
