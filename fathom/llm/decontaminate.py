@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import forget, grouped_texts, ship
 from fathom.operators.ordering import running_totals
-from fathom.sources.scratch import durable
 
 # Edits allowed per letter of an item: pieces are about 1 / ERROR_RATE letters long.
 ERROR_RATE = 0.04
@@ -131,6 +130,33 @@ def _search(items, rate: float):
     return work
 
 
+def _keep_clean(items, rate: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        searcher = Searcher(items.value, rate)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            clean = [not searcher(text) for _, group in grouped_texts(texts) for text in group]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return work
+
+
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """The items, block by block, as broadcasts of bounded size."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
+        "item_id IS NOT NULL AND text IS NOT NULL"
+    )
+    placed = running_totals(items, ["item_id", "text"], {"chars": F.char_length("text").cast("bigint")})
+    block = F.floor((F.col("chars") - F.char_length("text")) / BLOCK_CHARS)
+    placed = placed.withColumn("block", block.cast("bigint"))
+    last = placed.agg(F.max("block")).first()[0]
+    for number in range(0 if last is None else last + 1):
+        rows = placed.filter(F.col("block") == number).select("item_id", "text").collect()
+        if rows:
+            yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """(doc_id, item_id, distance, end) for every document that holds a test item.
 
@@ -143,20 +169,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
-        "item_id IS NOT NULL AND text IS NOT NULL"
-    )
-    placed = running_totals(items, ["item_id", "text"], {"chars": F.char_length("text").cast("bigint")})
-    block = F.floor((F.col("chars") - F.char_length("text")) / BLOCK_CHARS)
-    placed = placed.withColumn("block", block.cast("bigint"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text IS NOT NULL")
     found = None
-    last = placed.agg(F.max("block")).first()[0]
-    for number in range(0 if last is None else last + 1):
-        rows = placed.filter(F.col("block") == number).select("item_id", "text").collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+    for shared in _blocks(benchmark):
         part = texts.mapInArrow(
             _search(shared, error_rate), "doc_id bigint, item_id bigint, distance bigint, end bigint"
         )
@@ -169,10 +184,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item.
 
-    Rows are told apart by themselves, not by id: of rows that share a doc_id only those with a
-    passage go.
+    Rows are judged by themselves, not by id: of rows that share a doc_id only those with a
+    passage go. One pass over the documents for each block of items, without a shuffle.
     """
-    numbered = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "to-decontaminate")
-    rows = numbered.select(F.col("_row").alias("doc_id"), "text")
-    hit = contaminated(rows, benchmark, error_rate).select(F.col("doc_id").alias("_row")).distinct()
-    return numbered.join(hit, "_row", "left_anti").select(*docs.columns)
+    ship(docs.sparkSession)
+    kept = docs
+    for shared in _blocks(benchmark):
+        kept = kept.mapInArrow(_keep_clean(shared, error_rate), docs.schema)
+    return kept
