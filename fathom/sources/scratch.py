@@ -40,5 +40,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to shared scratch and read it back."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
