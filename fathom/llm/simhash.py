@@ -177,6 +177,8 @@ def _links(bits: int):
 
 def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between distinct fingerprints; what they connect is what all near pairs connect."""
+    if bits > MAX_BITS:
+        raise ValueError(f"the index is made for {MAX_BITS} differing bits, not {bits}")
     ship(distinct.sparkSession)
     postings = distinct.select(
         F.explode(_positional_keys(F.col("fingerprint"))).alias("list"), "fingerprint"
@@ -251,6 +253,8 @@ def deduplicate(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     It is the row with the group's smallest id; of rows that repeat this id in the group, one. In
     a group of null ids only, one row stays as well.
     """
+    if bits > MAX_BITS:
+        raise ValueError(f"the index is made for {MAX_BITS} differing bits, not {bits}")
     columns = docs.columns
     marked = durable(
         with_fingerprint(docs, "_fingerprint").withColumn("_row", F.monotonically_increasing_id()),
