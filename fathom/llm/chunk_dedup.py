@@ -3,11 +3,13 @@
 A text is cut where the rolling hash of the 32 bytes before falls below a threshold; a cut that
 follows another within a few bytes is left out. Cuts depend on nearby bytes only, so a passage is
 cut the same way wherever it stands, and an insertion moves the cuts around itself only. Chunks
-are compared by digest over all documents. Runs of repeated chunks are the candidates: a run of
-more words than the least passage is one. A shorter run may be part of a passage that goes on
-beyond its last whole chunk. Its longest chunk becomes an anchor: wherever this chunk stands,
-every window of the least number of words around it is hashed, and windows that several documents
-have confirm the passage.
+are compared by digest over all documents. Neighbours in a run of repeated chunks may each be
+shared with another document, so a run proves nothing: sequences of its chunks are compared. From
+each chunk on, the shortest sequence of more words than the least passage is one if another
+document has it. A shared sequence of ``LEAST_RUN`` bytes outside of those may be part of a passage
+that goes on beyond its whole chunks. It becomes an anchor: wherever it stands, every window of the
+least number of words around it is hashed, and windows that several documents have confirm the
+passage.
 
 Shuffles carry digests and document ids, combined on the map side. The texts are moved once, to
 join the documents' candidate runs, and cut again there instead of carrying positions.
@@ -35,6 +37,8 @@ CLOSE = 8
 # Runs of repeated chunks below this many bytes are chance repeats of a few words.
 LEAST_RUN = 24
 WINDOW = 32
+# From this many bytes on, cuts in a passage do not depend on what stands before it.
+SETTLED = WINDOW + CLOSE
 
 
 def gear_table() -> np.ndarray:
@@ -85,11 +89,49 @@ def _word_starts(raw: np.ndarray) -> np.ndarray:
     return starts
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_ends(raw: np.ndarray) -> np.ndarray:
+    """Ascending positions behind the last byte of each word."""
+    return len(raw) - np.flatnonzero(_word_starts(raw[::-1]))[::-1]
+
+
+def _window_digest(window: bytes) -> tuple[int, int]:
+    import xxhash
+
+    value = xxhash.xxh3_128_intdigest(b" ".join(window.split()))
+    high, low = value >> 64, value & 0xFFFFFFFFFFFFFFFF
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (high, low))
+
+
+def poor_windows(raw: np.ndarray, starts: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Borders of the windows of ``least_words`` words that hold no chunks of ``LEAST_RUN`` bytes for sure.
+
+    ``starts`` are those of the texts in ``raw``. The answer depends on a window's bytes only.
+    """
+    first, stop, cuts = np.flatnonzero(_word_starts(raw)), _word_ends(raw), cut_positions(raw)
+    n = max(0, len(first) - least_words + 1)
+    p, q = first[:n], stop[least_words - 1 :][:n]
+    inside = np.searchsorted(starts, p, "right") == np.searchsorted(starts, q, "left")
+    p, q = p[inside], q[inside]
+    low, high = np.searchsorted(cuts, p + SETTLED, "left"), np.searchsorted(cuts, q, "right") - 1
+    held = np.append(cuts, 0)
+    poor = (high < low) | (held[high] - held[low] < LEAST_RUN)
+    return p[poor], q[poor]
+
+
+def _chunk_rows(least_words: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _cut_texts(batch, least_words)
+
+    return work
+
+
+def _cut_texts(batch: pa.RecordBatch, least_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows of chunks, and rows of windows poor in cuts, which have no chunk number."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    if batch.num_rows:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         version = batch.column(1).to_numpy(zero_copy_only=False)
         for start, texts in grouped_texts(batch.column(2).to_pylist()):
@@ -105,6 +147,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begun = np.cumsum(_word_starts(np.frombuffer(joined, np.uint8)))
             words = begun[borders[1] - 1] - begun[borders[0] - 1]
             rows = slice(start, start + len(texts))
+            nulls = pa.nulls(len(values), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(ids[rows], counts), pa.int64()),
@@ -113,22 +156,79 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(values.view(np.int64)),
                     pa.array(borders[1] - borders[0], pa.int32()),
                     pa.array(words, pa.int32()),
+                    *[nulls] * 4,
+                ],
+                names=_CUT,
+            )
+            raw = np.frombuffer(joined, np.uint8)
+            begins = np.fromiter((b[0] for b in bounds), np.int64, len(bounds))
+            p, q = poor_windows(raw, begins, least_words)
+            if not len(p):
+                continue
+            char = np.cumsum((raw & 0xC0) != 0x80)
+            text = np.searchsorted(begins, p, "right") - 1
+            digests = np.array([_window_digest(joined[a:b]) for a, b in zip(p.tolist(), q.tolist())], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[rows][text], pa.int64()),
+                    pa.array(version[rows][text], pa.int32()),
+                    pa.nulls(len(p), pa.int32()),
+                    pa.nulls(len(p), pa.int64()),
+                    pa.nulls(len(p), pa.int32()),
+                    pa.nulls(len(p), pa.int32()),
+                    pa.array(char[p] - char[begins[text]]),
+                    pa.array(char[q - 1] - char[begins[text]] + 1),
+                    pa.array(np.ascontiguousarray(digests[:, 0])),
+                    pa.array(np.ascontiguousarray(digests[:, 1])),
                 ],
-                names=["doc_id", "version", "chunk", "digest", "size", "words"],
+                names=_CUT,
             )
 
 
-def _examined(least_words: int):
+_CUT = ["doc_id", "version", "chunk", "digest", "size", "words", "start", "stop", "high", "low"]
+_CUT_TYPES = (
+    "doc_id bigint, version int, chunk int, digest bigint, size int, words int, "
+    "start bigint, stop bigint, high bigint, low bigint"
+)
+
+
+def _sequences(least_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut texts again; give long runs as they are and windows around anchors."""
+        """From each chunk of a run, the shortest sequence of enough bytes, and that of enough words."""
         import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            out: list[tuple] = []
+            for doc_id, version, chunks in zip(*columns):
+                held = np.array([(c["chunk"], c["digest"], c["size"], c["words"]) for c in chunks], np.int64)
+                raw = np.ascontiguousarray(held[:, 1:3]).tobytes()
+                begin = int(held[0, 0])
+                for whole, column, least in ((False, 2, LEAST_RUN), (True, 3, least_words + 1)):
+                    total = np.concatenate(([0], np.cumsum(held[:, column])))
+                    ends = np.searchsorted(total, total[:-1] + least, "left")
+                    for i, j in enumerate(ends.tolist()):
+                        if j < len(total):
+                            value = digest(raw[16 * i : 16 * j])
+                            value -= (value >> 63) << 64
+                            out.append((doc_id, version, begin + i, begin + j - 1, whole, value))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+            arrays = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "version", "from", "to", "whole", "digest"])
+
+    return work
+
+
+def _examined(least_words: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cut texts again; give shared passages of whole chunks as they are and windows around anchors."""
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for start, texts in grouped_texts(batch.column(1).to_pylist()):
                 out: list[tuple] = []
                 for i, text in enumerate(texts, start):
-                    out.extend((ids[i], *row) for row in _examine(text, marks[i], least_words, xxhash.xxh3_128_intdigest))
+                    out.extend((ids[i], *row) for row in _examine(text, marks[i], least_words))
                 columns = [pa.array([r[c] for r in out], pa.int64()) for c in range(len(_EXAMINED))]
                 yield pa.RecordBatch.from_arrays(columns, names=_EXAMINED)
 
@@ -138,27 +238,25 @@ def _examined(least_words: int):
 _EXAMINED = ["doc_id", "start", "stop", "earliest", "high", "low"]
 
 
-def _examine(text: str, marks: list[dict], least_words: int, digest) -> Iterator[tuple]:
-    """(start, stop, earliest, None, None) of long runs, (start, stop, None, high, low) of windows."""
+def _examine(text: str, marks: list[dict], least_words: int) -> Iterator[tuple]:
+    """(start, stop, earliest, None, None) of passages, (start, stop, None, high, low) of windows."""
     joined, (bounds,) = chunk_bounds([text])
     raw = np.frombuffer(joined, np.uint8)
     char = np.cumsum((raw & 0xC0) != 0x80) - WINDOW - 1
-    first = np.flatnonzero(_word_starts(raw))
-    stop = len(raw) - 1 - np.flatnonzero(_word_starts(raw[::-1]))[::-1] + 1
+    first, stop = np.flatnonzero(_word_starts(raw)), _word_ends(raw)
+    windows: set[int] = set()
     for mark in marks:
         begin, end = int(bounds[mark["from"]]), int(bounds[mark["to"] + 1])
-        # Whole words inside.
-        a, b = int(np.searchsorted(first, begin)), int(np.searchsorted(stop, end, "right"))
         if mark["earliest"] is not None:
             yield int(char[begin]), int(char[end - 1]) + 1, mark["earliest"], None, None
             continue
+        # Whole words inside.
+        a, b = int(np.searchsorted(first, begin)), int(np.searchsorted(stop, end, "right"))
         b = max(a, b)
-        for w in range(max(0, b - least_words), min(a, len(first) - least_words) + 1):
-            p, q = int(first[w]), int(stop[w + least_words - 1])
-            value = digest(b" ".join(joined[p:q].split()))
-            high, low = value >> 64, value & 0xFFFFFFFFFFFFFFFF
-            signed = [x - (1 << 64) if x >> 63 else x for x in (high, low)]
-            yield int(char[p]), int(char[q - 1]) + 1, None, *signed
+        windows.update(range(max(0, b - least_words), min(a, len(first) - least_words) + 1))
+    for w in sorted(windows):
+        p, q = int(first[w]), int(stop[w + least_words - 1])
+        yield int(char[p]), int(char[q - 1]) + 1, None, *_window_digest(joined[p:q])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -170,22 +268,30 @@ def _identified(docs: DataFrame) -> DataFrame:
     ).filter("doc_id IS NOT NULL")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, version, chunk, size, words, earliest) of every chunk that several documents have."""
+def _cut(docs: DataFrame, least_words: int) -> DataFrame:
     ship(docs.sparkSession)
-    chunks = durable(
-        _identified(docs).mapInArrow(
-            _chunk_rows, "doc_id bigint, version int, chunk int, digest bigint, size int, words int"
-        ),
-        "chunks",
-    )
-    seen = (
-        chunks.groupBy("digest")
+    return durable(_identified(docs).mapInArrow(_chunk_rows(least_words), _CUT_TYPES), "chunks")
+
+
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, earliest) of what several documents have."""
+    return (
+        rows.groupBy(*keys)
         .agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
         .filter("earliest < latest")
-        .select("digest", "earliest")
+        .select(*keys, "earliest")
     )
-    return chunks.join(seen, "digest").distinct()
+
+
+def _repeated(cut: DataFrame) -> DataFrame:
+    """(digest, doc_id, version, chunk, size, words, earliest) of every chunk that several documents have."""
+    chunks = cut.filter("chunk IS NOT NULL").select(*_CUT[:6])
+    return chunks.join(_shared(chunks, "digest"), "digest").distinct()
+
+
+def repeated_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(digest, doc_id, version, chunk, size, words, earliest) of every chunk that several documents have."""
+    return _repeated(_cut(docs, least_words))
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -200,31 +306,32 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     repeat of a row adds nothing. Rows without an id cannot be named and are left out. Columns
     besides doc_id and text are not read.
     """
-    hits = durable(repeated_chunks(docs), "repeated-chunks")
+    cut = _cut(docs, least_words)
     in_text = Window.partitionBy("doc_id", "version").orderBy("chunk")
     fresh = F.when(F.col("chunk") - F.lag("chunk").over(in_text) == 1, 0).otherwise(1)
     runs = (
-        hits.withColumn("fresh", fresh)
+        _repeated(cut)
+        .withColumn("fresh", fresh)
         .withColumn("run", F.sum("fresh").over(in_text))
         .groupBy("doc_id", "version", "run")
-        .agg(
-            F.min("chunk").alias("from"),
-            F.max("chunk").alias("to"),
-            F.max("earliest").alias("earliest"),
-            F.sum("words").alias("words"),
-            F.sum("size").alias("size"),
-            F.max_by("digest", "size").alias("digest"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("chunk", "digest", "size", "words"))).alias("chunks"))
+        .filter(F.expr(f"aggregate(chunks, 0, (a, c) -> a + c.size) >= {LEAST_RUN}"))
+        .select("doc_id", "version", "chunks")
     )
-    runs = durable(runs, "runs")
-    is_long = F.col("words") > least_words
-    anchors = runs.filter(~is_long & (F.col("size") >= LEAST_RUN)).select("digest").distinct()
+    kinds = "doc_id bigint, version int, `from` int, `to` int, whole boolean, digest bigint"
+    sequences = durable(runs.mapInArrow(_sequences(least_words), kinds), "sequences")
+    hits = sequences.join(_shared(sequences, "whole", "digest"), ["whole", "digest"])
+    so_far = Window.partitionBy("doc_id", "version").orderBy("from").rangeBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("whole"), F.col("to"))).over(so_far)
+    hits = durable(hits.withColumn("open", F.coalesce(reach < F.col("to"), F.lit(True))), "shared-sequences")
+    pieces = hits.filter("NOT whole")
+    anchors = pieces.filter("open").select("digest").distinct()
     marks = (
-        runs.filter(is_long)
+        hits.filter("whole")
         .select("doc_id", "version", "from", "to", "earliest")
         .union(
-            hits.join(anchors, "digest").select(
-                "doc_id", "version", F.col("chunk"), F.col("chunk"), F.lit(None).cast("bigint")
+            pieces.join(anchors, "digest").select(
+                "doc_id", "version", "from", "to", F.lit(None).cast("bigint")
             )
         )
         .groupBy("doc_id", "version")
@@ -239,13 +346,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     examined = durable(examined, "examined")
     long_ = examined.filter("high IS NULL").select("doc_id", "start", "stop", "earliest")
     windows = examined.filter("high IS NOT NULL").drop("earliest")
-    shared = (
-        windows.groupBy("high", "low")
-        .agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
-        .filter("earliest < latest")
-        .drop("latest")
+    confirmed = windows.join(_shared(windows, "high", "low"), ["high", "low"]).select(
+        "doc_id", "start", "stop", "earliest"
     )
-    confirmed = windows.join(shared, ["high", "low"]).select("doc_id", "start", "stop", "earliest")
     found = long_.union(confirmed)
     in_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
     reached = F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -67,3 +67,22 @@ def test_copies_are_cut_out_of_all_but_the_first(make_docs, spark):
     assert kept[1] == passage and kept[4] is None and len(kept[3].split()) == 80
     assert len(kept[2]) < 0.2 * len(passage) and kept[2].startswith("head")
     assert cd.repeated_passages(make_docs([])).count() == 0
+
+
+def sharing(docs, least=50):
+    """Ids of the documents that share a window of words with another one."""
+    seen = {}
+    for i, t in docs:
+        w = t.split()
+        for p in range(len(w) - least + 1):
+            seen.setdefault(" ".join(w[p : p + least]), set()).add(i)
+    return {i for held in seen.values() if len(held) > 1 for i in held}
+
+
+def test_frequent_lines_in_changing_order_are_no_passage(make_docs):
+    rng = random.Random(11)
+    lines = [words(rng, 15) for _ in range(20)]
+    docs = [(n, "\n".join(rng.choice(lines) for _ in range(5))) for n in range(400)]
+    found = cd.repeated_passages(make_docs(docs)).collect()
+    assert {r.doc_id for r in found} == sharing(docs)
+    assert len({r.doc_id for r in found}) < 200
