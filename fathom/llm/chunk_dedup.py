@@ -9,7 +9,7 @@ each chunk on, the shortest sequence of more words than the least passage is one
 document has it. A shared sequence of ``LEAST_RUN`` bytes outside of those may be part of a passage
 that goes on beyond its whole chunks. It becomes an anchor: wherever it stands, every window of the
 least number of words around it is hashed, and windows that several documents have confirm the
-passage.
+passage. Windows too poor in cuts to hold such a sequence are few and are all hashed.
 
 Shuffles carry digests and document ids, combined on the map side. The texts are moved once, to
 join the documents' candidate runs, and cut again there instead of carrying positions.
@@ -345,7 +345,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     )
     examined = durable(examined, "examined")
     long_ = examined.filter("high IS NULL").select("doc_id", "start", "stop", "earliest")
-    windows = examined.filter("high IS NOT NULL").drop("earliest")
+    windows = examined.filter("high IS NOT NULL").drop("earliest").union(
+        cut.filter("high IS NOT NULL").select("doc_id", "start", "stop", "high", "low")
+    )
     confirmed = windows.join(_shared(windows, "high", "low"), ["high", "low"]).select(
         "doc_id", "start", "stop", "earliest"
     )

@@ -86,3 +86,15 @@ def test_frequent_lines_in_changing_order_are_no_passage(make_docs):
     found = cd.repeated_passages(make_docs(docs)).collect()
     assert {r.doc_id for r in found} == sharing(docs)
     assert len({r.doc_id for r in found}) < 200
+
+
+def test_repeated_phrases_are_found_like_any_passage(make_docs):
+    rng = random.Random(12)
+    docs = []
+    for n in range(200):
+        phrase = words(rng, (1, 3, 5, 8, 10)[n % 5]).split()
+        passage = " ".join((phrase * 60)[:60])
+        docs += [(2 * n + i, f"{words(rng, 70)} {passage} {words(rng, 70)}") for i in (0, 1)]
+    wanted = sharing(docs)
+    assert len(wanted) == 400
+    assert {r.doc_id for r in cd.repeated_passages(make_docs(docs)).collect()} == wanted
