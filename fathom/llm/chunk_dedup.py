@@ -151,7 +151,7 @@ def _cut_texts(batch: pa.RecordBatch, least_words: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(ids[rows], counts), pa.int64()),
-                    pa.array(np.repeat(version[rows], counts), pa.int32()),
+                    pa.array(np.repeat(version[rows], counts), pa.int64()),
                     pa.array(number, pa.int32()),
                     pa.array(values.view(np.int64)),
                     pa.array(borders[1] - borders[0], pa.int32()),
@@ -171,7 +171,7 @@ def _cut_texts(batch: pa.RecordBatch, least_words: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[rows][text], pa.int64()),
-                    pa.array(version[rows][text], pa.int32()),
+                    pa.array(version[rows][text], pa.int64()),
                     pa.nulls(len(p), pa.int32()),
                     pa.nulls(len(p), pa.int64()),
                     pa.nulls(len(p), pa.int32()),
@@ -187,7 +187,7 @@ def _cut_texts(batch: pa.RecordBatch, least_words: int) -> Iterator[pa.RecordBat
 
 _CUT = ["doc_id", "version", "chunk", "digest", "size", "words", "start", "stop", "high", "low"]
 _CUT_TYPES = (
-    "doc_id bigint, version int, chunk int, digest bigint, size int, words int, "
+    "doc_id bigint, version bigint, chunk int, digest bigint, size int, words int, "
     "start bigint, stop bigint, high bigint, low bigint"
 )
 
@@ -213,7 +213,7 @@ def _sequences(least_words: int):
                             value = digest(raw[16 * i : 16 * j])
                             value -= (value >> 63) << 64
                             out.append((doc_id, version, begin + i, begin + j - 1, whole, value))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
             arrays = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "version", "from", "to", "whole", "digest"])
 
@@ -263,7 +263,7 @@ def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, version, text of the rows that have an id; rows that share an id are its versions."""
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("version"),
+        F.xxhash64("text").alias("version"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).filter("doc_id IS NOT NULL")
 
@@ -318,7 +318,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
         .filter(F.expr(f"aggregate(chunks, 0, (a, c) -> a + c.size) >= {LEAST_RUN}"))
         .select("doc_id", "version", "chunks")
     )
-    kinds = "doc_id bigint, version int, `from` int, `to` int, whole boolean, digest bigint"
+    kinds = "doc_id bigint, version bigint, `from` int, `to` int, whole boolean, digest bigint"
     sequences = durable(runs.mapInArrow(_sequences(least_words), kinds), "sequences")
     hits = sequences.join(_shared(sequences, "whole", "digest"), ["whole", "digest"])
     so_far = Window.partitionBy("doc_id", "version").orderBy("from").rangeBetween(Window.unboundedPreceding, 0)

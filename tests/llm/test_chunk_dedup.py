@@ -98,3 +98,13 @@ def test_repeated_phrases_are_found_like_any_passage(make_docs):
     wanted = sharing(docs)
     assert len(wanted) == 400
     assert {r.doc_id for r in cd.repeated_passages(make_docs(docs)).collect()} == wanted
+
+
+def test_texts_under_one_id_stay_apart(make_docs):
+    rng = random.Random(13)
+    passage = words(rng, 60)
+    docs = [(1, f"{words(rng, rng.randint(5, 90))} {passage if n % 2 else ''}") for n in range(1500)]
+    docs.append((2, passage))
+    frame = make_docs(docs)
+    assert cd._identified(frame).select("version").distinct().count() == len(docs)
+    assert {r.doc_id for r in cd.repeated_passages(frame).collect()} == {1, 2}
