@@ -3,8 +3,9 @@
 Words are compared in lower case without punctuation. Every window of six words, one every two
 words, gets a MinHash signature: word hashes moved by a whole number of bits give a new order for
 each signature row. Two rows make a band. Templates are cut into windows at every word, so any
-run of seven or more template words holds a window that equals one of the template's, and a
-template of five or six words fills a document window but for one word. A window with the key of a
+run of seven or more template words holds a window that equals one of the template's. A template
+of five or six words may fill no document window whole, so its shingles are looked up at every
+word. A window with the key of a
 template's band makes the pair a candidate; then the share of the template's five-word shingles
 in the document is counted exactly.
 
@@ -105,12 +106,26 @@ def _shingles(words: str) -> str:
     return f"array_distinct({_let('words', words, f'transform({starts}, i -> {each})')})"
 
 
+def _short_keys(words: str, starts: str) -> str:
+    """SQL for the keys of the five-word shingles that begin at ``starts``."""
+    each = ", ".join(f"get(words, i + {j})" for j in range(SHINGLE_WORDS))
+    return _let("words", words, f"transform({starts}, i -> xxhash64({each}))")
+
+
 def template_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFrame:
-    """(license, keys, shingles) of the templates that have five words or more."""
+    """(license, keys, first, shingles) of the templates that have five words or more.
+
+    ``first`` are the words that begin a shingle of a template no longer than a window, else none.
+    """
+    starts = f"sequence(0, size(words) - {SHINGLE_WORDS})"
+    short = f"size(words) BETWEEN {SHINGLE_WORDS} AND {WINDOW_WORDS}"
+    added = f"if({short}, {_short_keys('words', starts)}, array())"
+    first = f"if({short}, slice(words, 1, greatest(0, size(words) - {SHINGLE_WORDS - 1})), array())"
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
     return rows.select(
         "license",
-        F.expr(f"array_distinct({_band_keys(WORDS, 1)})").alias("keys"),
+        F.expr(f"array_distinct(concat({_band_keys(WORDS, 1)}, {_let('words', WORDS, added)}))").alias("keys"),
+        F.expr(_let("words", WORDS, first)).alias("first"),
         F.expr(_shingles(WORDS)).alias("shingles"),
     ).filter("size(shingles) > 0")
 
@@ -133,8 +148,13 @@ def license_matches(
         return spark.createDataFrame([], kinds)
     number = lambda k: f"{k}L"
     listed = ", ".join(map(number, sorted({k for row in table for k in row["keys"]})))
-    hits = f"filter({_band_keys(WORDS, STRIDE)}, k -> k IN ({listed}))"
     quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    keys = _band_keys("ws", STRIDE)
+    first = ", ".join(map(quoted, sorted({w for row in table for w in row["first"]})))
+    if first:
+        starts = f"filter(sequence(0, size(words)), i -> get(words, i) IN ({first}))"
+        keys = f"concat({keys}, {_short_keys('ws', starts)})"
+    hits = f"filter({_let('ws', WORDS, keys)}, k -> k IN ({listed}))"
     # One expression from text to counts, so that nothing of it is computed twice and shingles are
     # made for documents with a hit only.
     counts = ", ".join(
