@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import chunk_dedup, decontaminate, language_crf, license_scan, mixing, simhash, sketches, token_counts, token_files, toxicity
+from fathom.llm import (
+    chunk_dedup,
+    collocations,
+    decontaminate,
+    language_crf,
+    license_scan,
+    merge_replay,
+    mixing,
+    prefix_trie,
+    simhash,
+    sketches,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from fathom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +73,20 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_passages(documents(spark, sf_dir))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_replay.round_trip(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": _op1,
     "op2_source_mixing": _op2,
@@ -70,9 +98,14 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": _op8,
     "op9_simhash_near_dedup": _op9,
     "op10_substring_dedup": _op10,
+    "op11_conversation_trie": _op11,
+    "op12_merge_replay": _op12,
+    "op13_collocations": _op13,
 }
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,
     "op6_license_scan": license_scan.oracle_sql(),
+    "op11_conversation_trie": prefix_trie.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
