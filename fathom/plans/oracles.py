@@ -3,7 +3,11 @@ Spark expressions; only the derived input tables are shared."""
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from fathom import domain
+from fathom.plans.rules import APPROVAL_RULES, RESPONSE_GRID
 from fathom.sources.derived_tables import LOAN_APPLICATIONS, LOAN_DIRTY, LOAN_FORMS, LOAN_SCORED
 
 _INPUTS = {"loan_dirty": LOAN_DIRTY, "loan_scored": LOAN_SCORED, "loan_forms": LOAN_FORMS}
@@ -635,3 +639,91 @@ ORACLES |= {
         typed=_TYPED,
     ),
 }
+
+
+# --- trees of rules and calibration ---------------------------------------------------------
+
+
+def _rule_nodes(rule: dict | None, reach: str, nodes: list[dict]) -> int:
+    """Nodes with the condition under which a row comes to them."""
+    number = len(nodes)
+    nodes.append({"reach": reach, "rule": rule})
+    if rule is not None:
+        test = f"{rule['column']} <= {rule['up_to']}"
+        nodes[number]["low"] = _rule_nodes(rule["low"], f"{reach} AND {test}", nodes)
+        nodes[number]["high"] = _rule_nodes(rule["high"], f"{reach} AND NOT {test}", nodes)
+    return number
+
+
+_RULE_NODES: list[dict] = []
+_rule_nodes(APPROVAL_RULES, "true", _RULE_NODES)
+_RULE_COLUMNS = list(dict.fromkeys(n["rule"]["column"] for n in _RULE_NODES if n["rule"]))
+_RULE_FACTS = (
+    "SELECT "
+    + ", ".join(
+        f"CAST(count(*) FILTER ({n['reach']}) AS DOUBLE) AS n{i}, avg(loan_status) FILTER ({n['reach']}) AS v{i}"
+        for i, n in enumerate(_RULE_NODES)
+    )
+    + " FROM loan_applications"
+)
+
+
+def _known(columns: frozenset, at: int = 0) -> str:
+    """The tree's answer when only some columns are known; others are averaged by the rows' counts."""
+    node = _RULE_NODES[at]
+    if node["rule"] is None:
+        return f"v{at}"
+    low, high = (_known(columns, node[side]) for side in ("low", "high"))
+    if node["rule"]["column"] in columns:
+        return f"CASE WHEN {node['rule']['column']} <= {node['rule']['up_to']} THEN {low} ELSE {high} END"
+    return f"((n{node['low']} * {low} + n{node['high']} * {high}) / (n{node['low']} + n{node['high']}))"
+
+
+def _subset_sum(column: str) -> str:
+    """The Shapley value by its definition: a weighted sum over all sets of other columns."""
+    others = [c for c in _RULE_COLUMNS if c != column]
+    terms = []
+    for size in range(len(others) + 1):
+        weight = math.factorial(size) * math.factorial(len(others) - size) / math.factorial(len(others) + 1)
+        for some in combinations(others, size):
+            more = _known(frozenset({*some, column}))
+            terms.append(f"{weight!r} * ({more} - {_known(frozenset(some))})")
+    return " + ".join(terms)
+
+
+ORACLES |= {
+    "tree_shapley_sums": _with("SELECT id, true AS adds_up FROM loan_applications"),
+    "rule_tree_shapley": _with(
+        _union(
+            [
+                f"SELECT id, '{c}' AS feature, round({_known(frozenset())}, 9) AS base, "
+                f"round({_subset_sum(c)}, 9) AS value FROM loan_applications, facts"
+                for c in _RULE_COLUMNS
+            ]
+        ),
+        facts=_RULE_FACTS,
+    ),
+    "rule_tree_response": _with(
+        "SELECT loan_percent_income AS grid_value, "
+        f"round({_known(frozenset({'loan_percent_income'}))}, 9) AS probability "
+        f"FROM (SELECT unnest([{', '.join(f'{v}e0' for v in RESPONSE_GRID)}]) AS loan_percent_income), facts",
+        facts=_RULE_FACTS,
+    ),
+    # The fit at a score: over starts at or below it the highest of the lowest means up to it or beyond.
+    "calibrated_confidence": _with(
+        "SELECT id, score, round(confidence, 9) AS confidence FROM loan_scored JOIN fit USING (score)",
+        "loan_scored",
+        points="SELECT score, sum(count(*)) OVER (ORDER BY score) AS n, sum(sum(label)) OVER (ORDER BY score) AS s, "
+        "count(*) AS own_n, sum(label) AS own_s FROM loan_scored GROUP BY score",
+        lowest="SELECT p.score, a.score AS start, "
+        "min((b.s - a.s + a.own_s) / CAST(b.n - a.n + a.own_n AS DOUBLE)) AS mean "
+        "FROM points p JOIN points a ON a.score <= p.score JOIN points b ON b.score >= p.score GROUP BY 1, 2",
+        fit="SELECT score, max(mean) AS confidence FROM lowest GROUP BY score",
+    ),
+    "calibration_error": _with(
+        "SELECT bin, n, round(c, 9) AS mean_confidence, round(o, 9) AS observed_rate, round(abs(c - o), 9) AS gap "
+        "FROM (SELECT CAST(least(floor(score * 10), 9) AS INT) AS bin, count(*) AS n, avg(score) AS c, "
+        "avg(label) AS o FROM loan_scored GROUP BY 1)",
+        "loan_scored",
+    ),
+}

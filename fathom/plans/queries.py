@@ -13,6 +13,7 @@ from fathom.functions import codes
 from fathom.functions.buckets import age_bucket, income_bucket
 from fathom.operators import applications as apps
 from fathom.operators import (
+    calibration,
     correlation,
     dashboard,
     encoding,
@@ -24,7 +25,9 @@ from fathom.operators import (
     profiling,
     scoring,
     splitting,
+    tree_paths,
 )
+from fathom.plans.rules import APPROVAL_RULES, RESPONSE_GRID
 from fathom.sources import derived_tables as tables
 from fathom.sources import readers, writers
 from fathom.sources.scratch import scratch_path
@@ -362,6 +365,21 @@ def roc_auc(spark, sf_dir):
     return auc.withColumn("auc", F.round("auc", 9))
 
 
+@query
+def calibrated_confidence(spark, sf_dir):
+    """Every score as the rate observed for scores like it."""
+    scored = tables.loan_scored(spark, sf_dir).select("id", "score", "label")
+    fitted = calibration.calibrate(scored, calibration.isotonic_blocks(scored))
+    return fitted.select("id", "score", F.round("confidence", 9).alias("confidence"))
+
+
+@query
+def calibration_error(spark, sf_dir):
+    """How far the raw score is from what was observed, by tenths."""
+    gaps = calibration.calibration_error(tables.loan_scored(spark, sf_dir), "score", "label")
+    return gaps.withColumns({c: F.round(c, 9) for c in ("mean_confidence", "observed_rate", "gap")})
+
+
 @query
 def decode_predictions(spark, sf_dir):
     return tables.loan_scored(spark, sf_dir).select(
@@ -667,6 +685,46 @@ def occlusion_attribution(spark, sf_dir):
     )
 
 
+@query
+def tree_shapley(spark, sf_dir):
+    """Exact Shapley values of the full forest for every row and feature."""
+    return tree_paths.tree_shapley(_loans(spark, sf_dir), _fitted(spark, sf_dir, "forest"))
+
+
+@query
+def tree_shapley_sums(spark, sf_dir):
+    """Whether base and values of a row add up to the forest's probability."""
+    sums = tree_paths.shapley_sums(_loans(spark, sf_dir), _fitted(spark, sf_dir, "forest"))
+    far = F.abs(F.col("probability") - F.col("explained"))
+    return sums.select("id", F.coalesce(far < 1e-9, F.lit(False)).alias("adds_up"))
+
+
+@query
+def rule_tree_shapley(spark, sf_dir):
+    """Shapley values of a tree of rules, whose counts and rates come from the rows."""
+    loans = _loans(spark, sf_dir)
+    nodes, columns = tree_paths.rule_tree(loans, APPROVAL_RULES, "loan_status")
+    values = tree_paths.shapley_of(loans, nodes, columns)
+    return values.select("id", "feature", F.round("base", 9).alias("base"), F.round("value", 9).alias("value"))
+
+
+@query
+def rule_tree_response(spark, sf_dir):
+    """The same tree's answer to the amount's share of income alone."""
+    nodes, columns = tree_paths.rule_tree(_loans(spark, sf_dir), APPROVAL_RULES, "loan_status")
+    answers = tree_paths.response(nodes, columns.index("loan_percent_income"), RESPONSE_GRID)
+    return answers.select("grid_value", F.round("probability", 9).alias("probability"))
+
+
+@query
+def feature_response(spark, sf_dir):
+    """The full forest's answer to each interest rate, from its nodes."""
+    loans = _loans(spark, sf_dir)
+    model = _fitted(spark, sf_dir, "forest")
+    slot = explain.feature_names(model, loans).index(domain.SLOT_NAMES.get("loan_int_rate", "loan_int_rate"))
+    return tree_paths.response(tree_paths.node_table(model, loans), slot, [float(v) for v in range(5, 25)])
+
+
 def _accepted(forms):
     return apps.accept(apps.valid_forms(apps.check_forms(forms)))
 
