@@ -8,7 +8,7 @@ are those of the documents. Forward-backward gives each word's distribution, and
 language is the one with the largest expected share of its words.
 
 The model is fitted on the driver on a bounded sample (``SAMPLE`` documents for each label,
-``SAMPLE_WORDS`` words of each). Labelling is one pass without a shuffle over whole texts. Long
+from each of which up to ``TEXT_SPANS`` spans are drawn by chance from the whole text). Labelling is one pass without a shuffle over whole texts. Long
 texts are cut into blocks whose transfer matrices are multiplied for all blocks at once, then
 chained, so that a text of any length is exact and no loop runs over single words.
 """
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from fathom.llm.common import crc32_of_id, grouped_texts, kept, labelled_sample, ship
 
 UNDETERMINED = "und"
-# Documents of each label, and words of each document, that the model is fitted on at most.
+# Documents of each label that the model is fitted on at most, and spans drawn from each whole text.
 SAMPLE = 150
-SAMPLE_WORDS = 400
+TEXT_SPANS = 25
 # Words of a training sequence and of its spans.
 SEQUENCE, SPAN = 64, 16
 # Hashed n-gram weights; words of the lexicon come behind them.
@@ -172,16 +172,16 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> Model
     owner: list[int] = []
     often: dict[str, Counter] = {y: Counter() for y in labels}
     for text, label in rows:
-        words = words_of(text)[:SAMPLE_WORDS]
+        words = words_of(text)
         often[label].update(words)
-        for i in range(0, len(words) - SPAN + 1, SPAN):
-            spans.append(words[i : i + SPAN])
+        # Spans lie anywhere in the text; a short one is filled up with its own words.
+        starts = np.arange(0, len(words), SPAN)
+        if len(starts) > TEXT_SPANS:
+            starts = np.sort(rng.choice(starts, TEXT_SPANS, replace=False))
+        for i in starts.tolist():
+            span = words[i : i + SPAN]
+            spans.append((span * SPAN)[:SPAN])
             owner.append(labels.index(label))
-    if not spans:
-        for text, label in rows:
-            if words := words_of(text):
-                spans.append((words * SPAN)[:SPAN])
-                owner.append(labels.index(label))
     lexicon_words = sorted({w for c in often.values() for w, _ in c.most_common(LEXICON // max(1, kinds))})
     lexicon = {w: BUCKETS + i for i, w in enumerate(lexicon_words)}
     weights = np.zeros((BUCKETS + len(lexicon), kinds))

@@ -117,3 +117,26 @@ def test_license_bands_and_odd_rows(spark, make_docs, odd_rows):
     assert all(r.containment >= 0.8 and (r.doc_id >= 100 or r.doc_id == 6) for r in found)
     assert license_scan.license_matches(make_docs([])).count() == 0
     assert license_scan.license_matches(make_docs(docs), {"tiny": "MIT License"}).count() == 0
+
+
+def test_labels_of_short_texts_are_learned():
+    """Long texts under one label and short ones, from other letters, under a second."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    rows = [(text("abcdefgh", 60), "long") for _ in range(100)] + [(text("rstuvwxy", 10), "short") for _ in range(100)]
+    rows += [("one", "one word")]
+    model = crf.fit(rows)
+    found = list(crf._document(model, [text("rstuvwxy", 10) for _ in range(50)] + [text("abcdefgh", 60) for _ in range(50)]))
+    assert [label for label, _ in found] == ["short"] * 50 + ["long"] * 50
+
+
+def test_training_reads_beyond_the_beginning_of_texts():
+    """What tells the labels apart comes after a thousand words they share."""
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    text = lambda own: " ".join([word("abc") for _ in range(1000)] + [word(own) for _ in range(3000)])
+    rows = [(text("klmn"), "x") for _ in range(15)] + [(text("rstu"), "y") for _ in range(15)]
+    model = crf.fit(rows)
+    found = list(crf._document(model, [" ".join(word(s) for _ in range(40)) for s in ("klmn", "rstu")]))
+    assert [label for label, _ in found] == ["x", "y"]
