@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fathom.llm.common import grouped_texts, ship
+from fathom.llm.common import grouped_texts, plain_names, ship
+from fathom.llm.rolling import BASES, Powers, mixed, word_hashes
 from fathom.sources.scratch import durable
 
 # Words of the shortest passage that counts as repeated.
@@ -37,6 +38,8 @@ CLOSE = 8
 # Runs of repeated chunks below this many bytes are chance repeats of a few words.
 LEAST_RUN = 24
 WINDOW = 32
+# A window of words with at least this part of all windows is joined by broadcast.
+HOT_WINDOWS = 1000
 # From this many bytes on, cuts in a passage do not depend on what stands before it.
 SETTLED = WINDOW + CLOSE
 
@@ -94,16 +97,28 @@ def _word_ends(raw: np.ndarray) -> np.ndarray:
     return len(raw) - np.flatnonzero(_word_starts(raw[::-1]))[::-1]
 
 
-def _window_digest(window: bytes) -> tuple[int, int]:
-    import xxhash
+_POWERS = [Powers(b) for b in BASES]
+
+
+def window_digests(raw: np.ndarray, at: np.ndarray, least_words: int) -> np.ndarray:
+    """Two 64-bit numbers (rows) for the windows of ``least_words`` words from the words ``at`` on.
 
-    value = xxhash.xxh3_128_intdigest(b" ".join(window.split()))
-    high, low = value >> 64, value & 0xFFFFFFFFFFFFFFFF
-    return tuple(x - (1 << 64) if x >> 63 else x for x in (high, low))
+    Words are hashed once and a window is a sum over its words, so white space plays no part and
+    neighbouring windows share their work.
+    """
+    starts, ends = np.flatnonzero(_word_starts(raw)), _word_ends(raw)
+    digests = np.empty((len(at), 2), np.int64)
+    for which, powers in enumerate(_POWERS):
+        words = word_hashes(raw, starts, ends, which, powers)
+        digests[:, which] = mixed(powers.sums(words, at, at + least_words)).view(np.int64)
+    return digests
 
 
-def poor_windows(raw: np.ndarray, starts: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Borders of the windows of ``least_words`` words that hold no chunks of ``LEAST_RUN`` bytes for sure.
+def poor_windows(
+    raw: np.ndarray, starts: np.ndarray, least_words: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Borders and first words of the windows of ``least_words`` words that hold no chunks of
+    ``LEAST_RUN`` bytes for sure.
 
     ``starts`` are those of the texts in ``raw``. The answer depends on a window's bytes only.
     """
@@ -115,7 +130,7 @@ def poor_windows(raw: np.ndarray, starts: np.ndarray, least_words: int) -> tuple
     low, high = np.searchsorted(cuts, p + SETTLED, "left"), np.searchsorted(cuts, q, "right") - 1
     held = np.append(cuts, 0)
     poor = (high < low) | (held[high] - held[low] < LEAST_RUN)
-    return p[poor], q[poor]
+    return p[poor], q[poor], np.flatnonzero(inside)[poor]
 
 
 def _chunk_rows(least_words: int):
@@ -162,12 +177,12 @@ def _cut_texts(batch: pa.RecordBatch, least_words: int) -> Iterator[pa.RecordBat
             )
             raw = np.frombuffer(joined, np.uint8)
             begins = np.fromiter((b[0] for b in bounds), np.int64, len(bounds))
-            p, q = poor_windows(raw, begins, least_words)
+            p, q, at = poor_windows(raw, begins, least_words)
             if not len(p):
                 continue
             char = np.cumsum((raw & 0xC0) != 0x80)
             text = np.searchsorted(begins, p, "right") - 1
-            digests = np.array([_window_digest(joined[a:b]) for a, b in zip(p.tolist(), q.tolist())], np.int64)
+            digests = window_digests(raw, at, least_words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[rows][text], pa.int64()),
@@ -224,39 +239,62 @@ def _examined(least_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cut texts again; give shared passages of whole chunks as they are and windows around anchors."""
         for batch in batches:
-            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for start, texts in grouped_texts(batch.column(1).to_pylist()):
-                out: list[tuple] = []
-                for i, text in enumerate(texts, start):
-                    out.extend((ids[i], *row) for row in _examine(text, marks[i], least_words))
-                columns = [pa.array([r[c] for r in out], pa.int64()) for c in range(len(_EXAMINED))]
-                yield pa.RecordBatch.from_arrays(columns, names=_EXAMINED)
+            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            marks = batch.column(3).to_pylist()
+            for start, texts in grouped_texts(batch.column(2).to_pylist()):
+                rows = slice(start, start + len(texts))
+                yield from _examine(ids[rows], versions[rows], texts, marks[rows], least_words)
 
     return work
 
 
-_EXAMINED = ["doc_id", "start", "stop", "earliest", "high", "low"]
+_EXAMINED = ["doc_id", "version", "start", "stop", "earliest", "high", "low"]
 
 
-def _examine(text: str, marks: list[dict], least_words: int) -> Iterator[tuple]:
-    """(start, stop, earliest, None, None) of passages, (start, stop, None, high, low) of windows."""
-    joined, (bounds,) = chunk_bounds([text])
+def _examine(
+    ids: np.ndarray, versions: np.ndarray, texts: list[str], marks: list[list[dict]], least_words: int
+) -> Iterator[pa.RecordBatch]:
+    """Passages (start, stop, earliest) and windows (start, stop, high, low) of a group of texts."""
+    joined, bounds = chunk_bounds(texts)
     raw = np.frombuffer(joined, np.uint8)
-    char = np.cumsum((raw & 0xC0) != 0x80) - WINDOW - 1
+    char = np.cumsum((raw & 0xC0) != 0x80)
     first, stop = np.flatnonzero(_word_starts(raw)), _word_ends(raw)
-    windows: set[int] = set()
-    for mark in marks:
-        begin, end = int(bounds[mark["from"]]), int(bounds[mark["to"] + 1])
-        if mark["earliest"] is not None:
-            yield int(char[begin]), int(char[end - 1]) + 1, mark["earliest"], None, None
-            continue
-        # Whole words inside.
-        a, b = int(np.searchsorted(first, begin)), int(np.searchsorted(stop, end, "right"))
-        b = max(a, b)
-        windows.update(range(max(0, b - least_words), min(a, len(first) - least_words) + 1))
-    for w in sorted(windows):
-        p, q = int(first[w]), int(stop[w + least_words - 1])
-        yield int(char[p]), int(char[q - 1]) + 1, None, *_window_digest(joined[p:q])
+    begins = np.fromiter((b[0] for b in bounds), np.int64, len(bounds))
+    # Words of each text: its windows don't run into the next one.
+    words = np.append(np.searchsorted(first, begins), len(first))
+    passages: list[tuple[int, int, int, int]] = []
+    around = np.zeros(len(first) + 1, np.int64)
+    for i, (own, border) in enumerate(zip(marks, bounds)):
+        for mark in own:
+            begin, end = int(border[mark["from"]]), int(border[mark["to"] + 1])
+            if mark["earliest"] is not None:
+                passages.append((i, begin, end, mark["earliest"]))
+                continue
+            # Whole words inside.
+            a, b = int(np.searchsorted(first, begin)), int(np.searchsorted(stop, end, "right"))
+            low = max(int(words[i]), max(a, b) - least_words)
+            high = min(a, int(words[i + 1]) - least_words)
+            if low <= high:
+                around[low] += 1
+                around[high + 1] -= 1
+    if passages:
+        of, begin, end, earliest = np.array(passages, np.int64).T
+        yield _located(ids, versions, of, char[begin] - char[begins[of]], char[end - 1] - char[begins[of]] + 1, earliest)
+    at = np.flatnonzero(np.cumsum(around[:-1]) > 0)
+    if len(at):
+        of = np.searchsorted(words, at, "right") - 1
+        p, q = first[at], stop[at + least_words - 1]
+        digests = window_digests(raw, at, least_words)
+        yield _located(ids, versions, of, char[p] - char[begins[of]], char[q - 1] - char[begins[of]] + 1, None, digests)
+
+
+def _located(ids, versions, of, start, stop, earliest=None, digests=None) -> pa.RecordBatch:
+    none = pa.nulls(len(of), pa.int64())
+    high, low = (none, none) if digests is None else (pa.array(np.ascontiguousarray(d)) for d in digests.T)
+    columns = [pa.array(x) for x in (ids[of], versions[of], start, stop)]
+    return pa.RecordBatch.from_arrays(
+        [*columns, none if earliest is None else pa.array(earliest), high, low], names=_EXAMINED
+    )
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -294,18 +332,8 @@ def repeated_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     return _repeated(_cut(docs, least_words))
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, stop, first_doc_id, removed) for every passage that repeats.
-
-    A passage is a stretch of at least ``least_words`` words that another document has too, given
-    as a range of code points; stretches that meet are one. ``first_doc_id`` is the smallest id
-    that every part of it was found under, and the other documents' copies are ``removed``: what
-    is removed stands whole in earlier documents.
-    Documents without such a passage have no row. Null and empty texts hold none. Rows that share
-    an id are versions of one document: what repeats only among them is not reported, and an exact
-    repeat of a row adds nothing. Rows without an id cannot be named and are left out. Columns
-    besides doc_id and text are not read.
-    """
+def _spans(docs: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, version, start, stop, earliest): stretches of each text that other documents hold."""
     cut = _cut(docs, least_words)
     in_text = Window.partitionBy("doc_id", "version").orderBy("chunk")
     fresh = F.when(F.col("chunk") - F.lag("chunk").over(in_text) == 1, 0).otherwise(1)
@@ -340,29 +368,71 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     examined = (
         _identified(docs)
         .join(marks, ["doc_id", "version"])
-        .select("doc_id", "text", "marks")
+        .select("doc_id", "version", "text", "marks")
         .mapInArrow(_examined(least_words), ", ".join(f"{n} bigint" for n in _EXAMINED))
     )
     examined = durable(examined, "examined")
-    long_ = examined.filter("high IS NULL").select("doc_id", "start", "stop", "earliest")
+    place = ["doc_id", "version", "start", "stop"]
+    long_ = examined.filter("high IS NULL").select(*place, "earliest")
     windows = examined.filter("high IS NOT NULL").drop("earliest").union(
-        cut.filter("high IS NOT NULL").select("doc_id", "start", "stop", "high", "low")
+        cut.filter("high IS NOT NULL").select(*place, "high", "low")
+    )
+    return long_.union(_confirmed(windows).select(*place, "earliest"))
+
+
+def _confirmed(windows: DataFrame) -> DataFrame:
+    """Windows that several documents have, with the smallest of these ids.
+
+    A window that very many texts hold would be one key of the join. Those that make up at least
+    one in ``HOT_WINDOWS`` of all rows, no more than so many, are joined by broadcast instead.
+    """
+    shared = (
+        windows.groupBy("high", "low")
+        .agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("n"))
+        .filter("earliest < latest")
     )
-    confirmed = windows.join(_shared(windows, "high", "low"), ["high", "low"]).select(
-        "doc_id", "start", "stop", "earliest"
+    shared = durable(
+        shared.select("high", "low", "earliest", (F.col("n") * HOT_WINDOWS >= windows.count()).alias("hot")),
+        "shared-windows",
     )
-    found = long_.union(confirmed)
-    in_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
-    reached = F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    hot = shared.filter("hot").drop("hot")
+    tried = windows.join(F.broadcast(hot), ["high", "low"], "left")
+    cold = tried.filter("earliest IS NULL").drop("earliest").join(shared.filter("NOT hot").drop("hot"), ["high", "low"])
+    return tried.filter("earliest IS NOT NULL").unionByName(cold)
+
+
+def _merged(found: DataFrame, among: Column) -> DataFrame:
+    """Spans of a text that meet as one: doc_id, version, start, stop, first_doc_id.
+
+    ``among`` says which spans count.
+    """
+    in_text = Window.partitionBy("doc_id", "version").orderBy("start", "stop")
+    reached = F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reached >= F.col("start"), 0).otherwise(1)
     return (
-        found.withColumn("fresh", fresh)
-        .withColumn("passage", F.sum("fresh").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "passage")
+        found.filter(among)
+        .withColumn("fresh", fresh)
+        .withColumn("passage", F.sum("fresh").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "version", "passage")
         .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("earliest").alias("first_doc_id"))
-        .select(
-            "doc_id", "start", "stop", "first_doc_id", (F.col("first_doc_id") < F.col("doc_id")).alias("removed")
-        )
+        .drop("passage")
+    )
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, start, stop, first_doc_id, removed) for every passage that repeats.
+
+    A passage is a stretch of at least ``least_words`` words that another document has too, given
+    as a range of code points; stretches that meet are one. ``first_doc_id`` is the smallest id
+    that every part of it was found under, and the other documents' copies are ``removed``: what
+    is removed stands whole in earlier documents.
+    Documents without such a passage have no row. Null and empty texts hold none. Rows that share
+    an id are versions of one document, each with passages of its own: what repeats only among them
+    is not reported, and an exact repeat of a row adds nothing. Rows without an id cannot be named
+    and are left out. Columns besides doc_id and text are not read.
+    """
+    return _merged(_spans(docs, least_words), F.lit(True)).select(
+        "doc_id", "start", "stop", "first_doc_id", (F.col("first_doc_id") < F.col("doc_id")).alias("removed")
     )
 
 
@@ -387,12 +457,18 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with each repeated passage left in its first document only; rows and columns stay."""
+    """``docs`` with each repeated passage left in its first document only; rows and columns stay.
+
+    Of a passage that meets one first seen here, what earlier documents hold is cut. Each text of
+    rows that share an id loses its own passages only.
+    """
+    columns = docs.columns
+    docs = plain_names(docs, "doc_id", "text")
     cuts = (
-        repeated_passages(docs, least_words)
-        .filter("removed")
-        .groupBy(F.col("doc_id").alias("_id"))
+        _merged(_spans(docs, least_words), F.col("earliest") < F.col("doc_id"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
     )
-    joined = docs.join(cuts, docs["doc_id"] == cuts["_id"], "left").drop("_id")
-    return joined.mapInArrow(_without, docs.schema)
+    same = (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
+    joined = docs.join(cuts, same, "left").drop("_id", "_version")
+    return joined.mapInArrow(_without, docs.schema).toDF(*columns)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import grouped_texts, ship
+from fathom.llm.rolling import BASES, Powers, mixed, word_hashes
 from fathom.sources.scratch import durable
 
 SUPPORT = 10
@@ -42,10 +43,6 @@ CUT_CHARS = 2_000_000
 HOT_PARTS = 1000
 UNKNOWN = "und"
 
-_FIXED = np.random.default_rng(20_260)
-_LETTER_CODES = _FIXED.integers(1, 1 << 63, (2, 256), np.uint64)
-_BASES = [int(b) | 1 for b in _FIXED.integers(1 << 40, 1 << 62, 2)]
-_WORD = (1 << 64) - 1
 _FOLD = bytes.maketrans(
     bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" "
 )
@@ -53,28 +50,6 @@ _END, _SPACE = 10, 32
 _SHARD_BITS = 3
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as asked for."""
-
-    def __init__(self, base: int):
-        self.bases = (base, pow(base, -1, 1 << 64))
-        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-    def upto(self, n: int) -> list[np.ndarray]:
-        if len(self.tables[0]) < n:
-            for i, base in enumerate(self.bases):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                self.tables[i] = np.cumprod(steps, dtype=np.uint64)
-        return self.tables
-
-
 @dataclass
 class Words:
     """The words of a group of texts: where they stand and hashes of their letters.
@@ -94,7 +69,7 @@ class Cutter:
     """Cuts texts into pieces and words, all texts of a group at once."""
 
     def __init__(self, hashes: int = 1):
-        self.powers = [_Powers(b) for b in _BASES[:hashes]]
+        self.powers = [Powers(b) for b in BASES[:hashes]]
 
     def __call__(self, texts: list[str]) -> Words:
         held = [t.encode() for t in texts]
@@ -106,19 +81,15 @@ class Cutter:
         piece = np.cumsum(ends_piece, dtype=np.int64)[starts]
         limits = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)
         hashes = []
-        for codes, powers in zip(_LETTER_CODES, self.powers):
-            power, inverse = powers.upto(len(letters))
-            sums = np.zeros(len(letters) + 1, np.uint64)
-            np.cumsum(codes[letters] * power[: len(letters)], out=sums[1:])
-            own = (sums[ends] - sums[starts]) * inverse[starts]
-            hashes.append(_mixed(own + (ends - starts).astype(np.uint64)))
+        for which, powers in enumerate(self.powers):
+            hashes.append(word_hashes(letters, starts, ends, which, powers))
         follows = piece[1:] == piece[:-1]
         return Words(raw, starts, ends, np.searchsorted(limits, starts, "right"), follows, hashes)
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of a phrase from those of its first words and its last one; not symmetric."""
-    return _mixed(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))))
+    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))))
 
 
 def _with_shard(codes: np.ndarray, shards: np.ndarray) -> np.ndarray:

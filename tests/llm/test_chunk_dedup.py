@@ -108,3 +108,49 @@ def test_texts_under_one_id_stay_apart(make_docs):
     frame = make_docs(docs)
     assert cd._identified(frame).select("version").distinct().count() == len(docs)
     assert {r.doc_id for r in cd.repeated_passages(frame).collect()} == {1, 2}
+
+
+def test_a_text_loses_its_own_passages_only(make_docs):
+    rng = random.Random(14)
+    shared, other = words(rng, 50), words(rng, 200)
+    docs = make_docs(
+        [(1, f"{shared} {words(rng, 20)}"), (2, f"{words(rng, 5)} {shared}"), (2, other), (2, None), (None, shared)],
+        extra=["_spans", "_id", "_version", "version"],
+    )
+    kept = cd.without_repeats(docs)
+    assert kept.columns == docs.columns
+    texts = [(r.doc_id, r.text, r._version) for r in kept.collect()]
+    assert (2, other, "own _version") in texts and (2, None, "own _version") in texts
+    assert (None, shared, "own _version") in texts
+    assert sorted(len(t.split()) for i, t, _ in texts if i == 2 and t) == [5, 200]
+
+
+def test_what_earlier_documents_hold_is_cut_up_to_its_border(make_docs):
+    """The second passage of document 2 is first seen there, and stays beside the cut."""
+    rng = random.Random(15)
+    old, new = words(rng, 60), words(rng, 60)
+    docs = make_docs([(1, f"{old} {words(rng, 30)}"), (2, f"{old} {new}"), (3, f"{words(rng, 9)} {new}")])
+    kept = {r.doc_id: r.text for r in cd.without_repeats(docs).collect()}
+    # Whole chunks are cut; a few words at the ends of a passage may stay.
+    assert kept[2].endswith(new) and len(kept[2].split()) < 60 + 20
+    assert 9 <= len(kept[3].split()) < 9 + 20
+    assert kept[1].startswith(old)
+
+
+def test_hot_windows_give_the_same(make_docs, monkeypatch):
+    rng = random.Random(16)
+    passage = words(rng, 55)
+    docs = [(n, f"{words(rng, 30)} {passage} {words(rng, 30)}") for n in range(40)]
+    docs += [(100 + n, words(rng, 60)) for n in range(20)]
+    want = sharing(docs)
+    for hot in (1, 1000, 10**9):
+        monkeypatch.setattr(cd, "HOT_WINDOWS", hot)
+        assert {r.doc_id for r in cd.repeated_passages(make_docs(docs)).collect()} == want
+
+
+def test_window_digests_depend_on_words_alone():
+    a = np.frombuffer(b"\0one two  three four\nfive\0", np.uint8)
+    b = np.frombuffer(b"\0zero one\ttwo three\0four five six\0", np.uint8)
+    first, second = cd.window_digests(a, np.arange(3), 3), cd.window_digests(b, np.arange(5), 3)
+    assert (first[0] == second[1]).all() and (first[2] == second[3]).all()
+    assert len(np.unique(np.concatenate([first, second]), axis=0)) == 5
