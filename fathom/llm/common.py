@@ -62,6 +62,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def plain_names(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all columns but the ``used`` ones numbered, so that none meets a helper column.
+
+    ``toDF(*docs.columns)`` gives the names back, as long as the columns keep their order.
+    """
+    return docs.toDF(*(c if c in used else f"c{i}" for i, c in enumerate(docs.columns)))
+
+
 def crc32_of_id() -> Column:
     """crc32 of the id's decimal text; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string"))

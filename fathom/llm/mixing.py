@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fathom.llm.common import plain_names
 from fathom.operators.ordering import running_totals
 from fathom.sources.scratch import durable
 
@@ -162,7 +163,8 @@ def mixed_documents(
     ``n_chars``, where present, is the length of what is taken. Documents without words are left
     out where their source is taken less than once, else repeated as often as it is taken whole.
     """
-    numbered = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
+    own = plain_names(docs, "doc_id", "source", "text", "n_chars")
+    numbered = durable(own.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
     plan = _plan(numbered, weights, max_epochs, seed, also=["_row"]).select("_row", "size", "whole", "extra")
     part = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
     times = (F.col("whole") + (F.col("extra") > 0).cast("bigint")).cast("int")
@@ -176,10 +178,10 @@ def mixed_documents(
     head = F.array_join(F.slice(words, F.lit(1), F.col("extra").cast("int")), "")
     text = F.when(F.col("_part"), head).otherwise(F.col("text"))
     out = {"text": text}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
+    if "n_chars" in own.columns:
+        kind = own.schema["n_chars"].dataType
         out["n_chars"] = F.when(F.col("_part"), F.char_length(head)).otherwise(F.col("n_chars")).cast(kind)
-    return rows.withColumns(out).select(*docs.columns)
+    return rows.withColumns(out).select(*own.columns).toDF(*docs.columns)
 
 
 ORACLE = r"""

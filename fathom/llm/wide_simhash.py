@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import forget, grouped_texts, ship
+from fathom.llm.common import forget, grouped_texts, plain_names, ship
 from fathom.llm.components import connected_components
 from fathom.sources.scratch import durable
 
@@ -277,6 +277,7 @@ def deduplicate(docs: DataFrame, least: float = LEAST) -> DataFrame:
     if least < LEAST:
         raise ValueError(f"the index is made for a likeness of {LEAST} or more")
     columns = docs.columns
+    docs = plain_names(docs, "doc_id", "text")
     marked = durable(_with_marks(docs).withColumn("_row", F.monotonically_increasing_id()), "marked")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
     sets = marked.groupBy("_words", "_set").agg(F.min(order).alias("best"))
@@ -306,4 +307,4 @@ def deduplicate(docs: DataFrame, least: float = LEAST) -> DataFrame:
         .agg(F.min("best").alias("best"))
         .select(F.col("best")["_row"].alias("_row"))
     )
-    return marked.join(kept, "_row", "left_semi").select(*columns)
+    return marked.join(kept, "_row", "left_semi").select(*docs.columns).toDF(*columns)

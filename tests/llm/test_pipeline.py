@@ -52,3 +52,15 @@ def test_benchmark_and_mixing_stages_take_odd_rows(spark, sf_dir, make_docs, odd
     docs = make_docs(odd_rows, extra=["taken"])
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_columns_named_like_helper_columns_come_through(spark, sf_dir, make_docs, small_documents):
+    """Every stage gives back the values of further columns, whatever their names."""
+    names = ["size", "extra", "whole", "taken", "_row", "_time", "_part", "_words", "_set", "score", "_own_score", "c0", "node", "lang_pred"]
+    rows = [(r[0], r[1], r[2], r[3]) for r in small_documents[:40]]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = make_docs(rows, extra=names)
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        found = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in found] == [tuple(f"own {n}" for n in names)], name
