@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import decontaminate, language_crf, mixing, token_files, wide_simhash
-from fathom.llm.common import documents
+from fathom.llm.common import documents, plain_names
 from fathom.sources.scratch import durable
 
 # A document whose largest language has less than this expected share of its words has no main one.
@@ -31,15 +31,12 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language, by a model learned from the stage's own input."""
-    named = language_crf.with_language(docs.withColumnsRenamed(_CLASHES), language_crf.train(docs))
+    own = plain_names(docs, "doc_id", "text", "lang")
+    named = language_crf.with_language(own, language_crf.train(docs))
     known = named.filter(
         (named["lang_pred"] != language_crf.UNDETERMINED) & (named["score"] >= LEAST_SHARE)
     )
-    return known.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in _CLASHES.items()})
-
-
-# Columns of the input that would be lost behind the ones the first stage adds.
-_CLASHES = {"lang_pred": "_own_lang_pred", "score": "_own_score"}
+    return known.select(*own.columns).toDF(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
