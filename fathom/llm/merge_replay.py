@@ -30,7 +30,9 @@ from fathom.llm.common import grouped_texts, kept, ship
 from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text
 
 # Bytes of distinct words replayed together; bounds the memory of an index.
-REPLAY_BYTES = 2_000_000
+REPLAY_BYTES = 400_000
+# Pairs of tokens whose merge is remembered.
+KNOWN_PAIRS = 400_000
 # Ids decoded together.
 DECODE_IDS = 2_000_000
 _NONE = -1
@@ -49,15 +51,16 @@ class Vocabulary:
         single = [bytes([b]) for b in range(256)]
         self.byte = np.array([self.ranks[b] for b in single], np.int64)
         self.byte_pairs = np.array([[self.ranks.get(a + b, _NONE) for b in single] for a in single], np.int64)
-        self.known_pairs: dict[tuple[int, int], int] = {}
+        self.known_pairs: dict[int, int] = {}
 
-    def rank_of(self, pair: tuple[int, int]) -> int:
-        """Rank of the merge of two tokens, -1 where there is none; remembered up to a bound."""
+    def rank_of(self, pair: int) -> int:
+        """Rank of the merge of two tokens (first << 32 | second), -1 where there is none."""
         rank = self.known_pairs.get(pair)
         if rank is None:
-            if len(self.known_pairs) >= 4 * REMEMBERED:
+            if len(self.known_pairs) >= KNOWN_PAIRS:
                 self.known_pairs.clear()
-            rank = self.known_pairs[pair] = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]], _NONE)
+            rank = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], _NONE)
+            self.known_pairs[pair] = rank
         return rank
 
 
@@ -93,7 +96,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     after, before = after.tolist(), before.tolist()
     rank_of, known = vocabulary.rank_of, vocabulary.known_pairs
 
-    def file(position: int, pair: tuple[int, int]) -> int:
+    def file(position: int, pair: int) -> int:
         rank = known.get(pair)
         if rank is None:
             rank = rank_of(pair)
@@ -117,7 +120,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
             if symbol < 0:
                 continue
             right = after[at]
-            if right < 0 or rank_of((symbol, symbols[right])) != rank:
+            if right < 0 or rank_of(symbol << 32 | symbols[right]) != rank:
                 continue
             if interrupted and bisect_right(starts, at) in interrupted:
                 waiting.append(at)
@@ -128,9 +131,9 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
             lower = False
             if beyond >= 0:
                 before[beyond] = at
-                lower = 0 <= file(at, (rank, symbols[beyond])) < rank
+                lower = 0 <= file(at, rank << 32 | symbols[beyond]) < rank
             if left >= 0:
-                lower = 0 <= file(left, (symbols[left], rank)) < rank or lower
+                lower = 0 <= file(left, symbols[left] << 32 | rank) < rank or lower
             if lower:
                 interrupted.add(bisect_right(starts, at))
         if waiting:
