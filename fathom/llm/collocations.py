@@ -36,9 +36,9 @@ SHARDS = 4
 # Bits of a map of frequent phrases, as a power of two: 8 MB.
 MAP_BITS = 26
 # Distinct phrases a task sums before it hands them on.
-TALLY_ROWS = 2_000_000
+TALLY_ROWS = 500_000
 # Letters of texts cut into words together.
-CUT_CHARS = 2_000_000
+CUT_CHARS = 1_000_000
 # Parts of phrases with at least this share of all words are joined by broadcast: at most as many rows.
 HOT_PARTS = 1000
 UNKNOWN = "und"

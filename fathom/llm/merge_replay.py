@@ -32,7 +32,7 @@ from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text
 # Bytes of distinct words replayed together; bounds the memory of an index.
 REPLAY_BYTES = 400_000
 # Pairs of tokens whose merge is remembered.
-KNOWN_PAIRS = 400_000
+KNOWN_PAIRS = 800_000
 # Ids decoded together.
 DECODE_IDS = 2_000_000
 _NONE = -1
