@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fathom import domain
 from fathom.functions import derived
 from fathom.functions.codes import encode_grade
-from fathom.operators.splitting import with_fold
+from fathom.operators.splitting import key_slot, with_fold
 from fathom.sources.scratch import durable
 
 STATUS_LABEL, GRADE_LABEL = "loan_status", "grade_label"
@@ -324,30 +324,23 @@ def grid(**values: Sequence) -> list[dict]:
     return combos
 
 
-def cross_validate(
-    df: DataFrame,
-    plan: ModelPlan,
-    seed: int,
+def _measured(
+    rows: DataFrame,
+    label: str,
+    made: list,
+    learned: list,
     folds: int,
-    settings: Sequence[dict] = ({},),
-    evaluator: Evaluator | None = None,
-    key: str = "id",
-    parallelism: int = 1,
-) -> tuple[DataFrame, dict]:
-    """Metric per (setting, fold) and the setting with the best mean.
-
-    A row's fold follows from its key and the seed, so folds do not move with the partitioning.
-    Feature stages are fitted without the fold they are measured on.
-    """
-    evaluator = evaluator or (status_evaluator() if plan.layout == "status" else grade_evaluator())
-    made, learned = plan.stages()
-    rows = with_fold(training_rows(df, plan, key), seed, folds, key)
+    settings: Sequence[dict],
+    evaluator: Evaluator,
+    parallelism: int,
+) -> list[tuple[int, int, float]]:
+    """(setting, fold, metric) of every setting on every fold of ``rows`` (with ``fold``)."""
 
     def run(fold: int) -> list[tuple[int, int, float]]:
         """All settings on one fold; its feature stages and vectors are made once."""
         maker = Pipeline(stages=made).fit(rows.filter(F.col("fold") != fold))
         vector = maker.stages[-1].getOutputCol()
-        vectors = maker.transform(rows).select(vector, plan.label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = maker.transform(rows).select(vector, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             learner = _learner(learned, maker, vectors)
             classifier = learner.getStages()[-1]
@@ -362,7 +355,29 @@ def cross_validate(
             vectors.unpersist()
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = [r for found in pool.map(run, range(folds)) for r in found]
+        return [r for found in pool.map(run, range(folds)) for r in found]
+
+
+def cross_validate(
+    df: DataFrame,
+    plan: ModelPlan,
+    seed: int,
+    folds: int,
+    settings: Sequence[dict] = ({},),
+    evaluator: Evaluator | None = None,
+    key: str = "id",
+    parallelism: int = 1,
+) -> tuple[DataFrame, dict]:
+    """Metric per (setting, fold) and the setting with the best mean.
+
+    A row's fold follows from its key and the seed, so folds do not move with the partitioning.
+    Feature stages are fitted without the fold they are measured on.
+    """
+    evaluator = evaluator or (status_evaluator() if plan.layout == "status" else grade_evaluator())
+    made, learned = plan.stages()
+    rows = with_fold(training_rows(df, plan, key), seed, folds, key)
+
+    results = _measured(rows, plan.label, made, learned, folds, settings, evaluator, parallelism)
     frame = df.sparkSession.createDataFrame(
         [(json.dumps(settings[p], sort_keys=True), f, float(m)) for p, f, m in results],
         "setting string, fold int, metric double",
@@ -372,6 +387,53 @@ def cross_validate(
     return frame, settings[means.index(pick(means))]
 
 
+def successive_halving(
+    df: DataFrame,
+    plan: ModelPlan,
+    seed: int,
+    folds: int,
+    settings: Sequence[dict],
+    keep: int = 2,
+    evaluator: Evaluator | None = None,
+    key: str = "id",
+    parallelism: int = 1,
+) -> tuple[DataFrame, dict]:
+    """Search that tries all settings on few rows and only the better ones on more.
+
+    On each rung every setting left is cross-validated; one in ``keep`` of them, by the mean metric,
+    goes on to a rung with ``keep`` times the rows. The last rung has all rows. Rows belong to a
+    rung by their key's hash, so larger rungs hold the smaller ones, and folds are the same on all
+    of them. Returns (setting, rung, fraction, fold, metric) and the best setting of the last rung.
+    Equal means go by the order of ``settings``.
+    """
+    if keep < 2:
+        raise ValueError("keep must be at least 2")
+    evaluator = evaluator or (status_evaluator() if plan.layout == "status" else grade_evaluator())
+    made, learned = plan.stages()
+    rows = with_fold(training_rows(df, plan, key), seed, folds, key)
+    rungs, left = 0, len(settings)
+    while left > 1:
+        rungs, left = rungs + 1, -(-left // keep)
+    slots = 1 << 20
+    # Other numbers than the folds' decide about rungs.
+    slot = key_slot(key, seed + 7919, slots)
+    open_, measures = list(range(len(settings))), []
+    for rung in range(rungs + 1):
+        fraction = 1.0 / keep ** (rungs - rung)
+        some = rows.filter(slot < int(fraction * slots))
+        chosen = [settings[p] for p in open_]
+        found = _measured(some, plan.label, made, learned, folds, chosen, evaluator, parallelism)
+        measures += [(json.dumps(chosen[p], sort_keys=True), rung, fraction, f, float(m)) for p, f, m in found]
+        means = [sum(m for p, _, m in found if p == place) / folds for place in range(len(chosen))]
+        sign = -1 if evaluator.isLargerBetter() else 1
+        ranked = sorted(range(len(chosen)), key=lambda place: (sign * means[place], place))
+        open_ = [open_[p] for p in ranked[: -(-len(open_) // keep)]]
+    frame = df.sparkSession.createDataFrame(
+        measures, "setting string, rung int, fraction double, fold int, metric double"
+    )
+    return frame, settings[open_[0]]
+
+
 @dataclass(frozen=True)
 class TunedModel:
     """A model refitted with the best setting of a search, and the metric of each (setting, fold)."""

@@ -34,3 +34,14 @@ def write_predictions(scored: DataFrame, path: str, key: str = "id", fmt: str =
 def as_json(df: DataFrame, column: str = "json", keep: list[str] | None = None) -> DataFrame:
     """Each row as one JSON text, built by the executors."""
     return df.select(*(keep or []), F.to_json(F.struct(*df.columns)).alias(column))
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "id", buckets: int = 64) -> DataFrame:
+    """Write ``df`` as a catalog table whose files hold the rows of one bucket of the key each.
+
+    Joins and aggregates on the key over tables with the same number of buckets need no exchange.
+    Rows are dealt to the buckets before they are written, so that a bucket is one file.
+    """
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
