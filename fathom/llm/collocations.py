@@ -21,11 +21,13 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import grouped_texts, ship
 from fathom.llm.rolling import BASES, Powers, mixed, word_hashes
+from fathom.operators.ordering import running_totals
 from fathom.sources.scratch import durable
 
 SUPPORT = 10
@@ -230,54 +232,142 @@ def _phrase_tallies(length: int, known):
     return work
 
 
+class PhraseTally:
+    """Counts of phrases with their letters, summed over groups of texts.
+
+    Phrases are told apart by 128 bits: a hash that orders them and a second one that is compared.
+    Letters are copied once for each phrase.
+    """
+
+    def __init__(self):
+        self.langs: dict[str, int] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.codes = self.checks = none.view(np.uint64)
+        self.counts = self.lang = self.size = self.place = none
+        self.letters: list[pa.Array] = []
+        self.rows = 0
+
+    def add(self, words: Words, langs: np.ndarray, length: int, first: np.ndarray, code: np.ndarray, check: np.ndarray) -> bool:
+        """Add phrases of ``length`` words that start at the words ``first``; ``langs`` are those of
+        the texts. False, and nothing added, if two phrases share the first 64 bits."""
+        if not len(first):
+            return True
+        order = np.argsort(code)
+        code, check, first = code[order], check[order], first[order]
+        fresh = np.ones(len(code), bool)
+        fresh[1:] = code[1:] != code[:-1]
+        if (~fresh[1:] & (check[1:] != check[:-1])).any():
+            return False
+        at = np.flatnonzero(fresh)
+        counts = np.diff(np.append(at, len(code)))
+        code, check, first = code[at], check[at], first[at]
+        place = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+        known = self.codes[place] == code if len(self.codes) else np.zeros(len(code), bool)
+        if (self.checks[place[known]] != check[known]).any():
+            return False
+        self.counts[place[known]] += counts[known]
+        new = ~known
+        first = first[new]
+        self.letters.append(_spelled(words, first, length))
+        parts = (
+            (self.codes, code[new]),
+            (self.checks, check[new]),
+            (self.counts, counts[new]),
+            (self.lang, langs[words.text[first]]),
+            (self.size, np.full(len(first), length)),
+            (self.place, self.rows + np.arange(len(first))),
+        )
+        self.rows += len(first)
+        joined = [np.concatenate(p) for p in parts]
+        order = np.argsort(joined[0])
+        self.codes, self.checks, self.counts, self.lang, self.size, self.place = (x[order] for x in joined)
+        return True
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, words, n) of all phrases; the sums start anew."""
+        if self.rows:
+            names = pa.array(list(self.langs), pa.string())
+            letters = pa.concat_arrays(self.letters)
+            for at in range(0, self.rows, 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        names.take(pa.array(self.lang[part])),
+                        letters.take(pa.array(self.place[part])),
+                        pa.array(self.size[part].astype(np.int32)),
+                        pa.array(self.counts[part]),
+                    ],
+                    names=_COUNTED,
+                )
+        self._clear()
+
+
+_COUNTED = ["lang", "phrase", "words", "n"]
+
+
+def _spelled(words: Words, first: np.ndarray, length: int) -> pa.Array:
+    """The phrases from the words ``first`` on, with single spaces."""
+    last = first + (length - 1)
+    starts, ends = words.starts[first], words.ends[last]
+    apart = np.zeros(len(words.starts), np.int64)
+    apart[1:] = words.starts[1:] - words.ends[:-1] - 1
+    wide = np.zeros(len(first), bool)
+    for step in range(1, length):
+        wide |= apart[first + step] > 0
+    sizes = np.where(wide, 0, ends - starts)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+    letters = np.frombuffer(words.raw, np.uint8)[at]
+    plain = pa.StringArray.from_buffers(
+        len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))
+    )
+    if not wide.any():
+        return plain
+    # More than one space between words: joined one by one.
+    own = words.raw
+    joined = [
+        b" ".join([own[words.starts[j] : words.ends[j]] for j in range(i, i + length)]).decode() if w else None
+        for i, w in zip(first.tolist(), wide.tolist())
+    ]
+    return pc.if_else(pa.array(wide), pa.array(joined, pa.string()), plain)
+
+
+def _by_letters(words: Words, langs: list[str], length: int, first: np.ndarray) -> pa.RecordBatch:
+    """The same counts without hashes."""
+    phrases = _spelled(words, first, length).to_pylist()
+    exact: dict = {}
+    for key in zip((langs[t] for t in words.text[first].tolist()), phrases):
+        exact[key] = exact.get(key, 0) + 1
+    rows = [(lang, phrase, length, n) for (lang, phrase), n in exact.items()]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_COUNTED)
+
+
 def _candidate_counts(known):
-    """(lang, phrase, words, n) of every occurrence of a candidate, summed in groups of texts."""
+    """(lang, phrase, words, n) of every occurrence of a candidate, summed in a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, bits = Cutter(hashes=2), np.frombuffer(known.value, np.uint8)
+        cut, bits, tally = Cutter(hashes=2), np.frombuffer(known.value, np.uint8), PhraseTally()
         for langs, _, texts in _groups(batches):
             words = cut(texts)
             own = _lang_codes(langs)
-            out: dict[str, list] = {"lang": [], "phrase": [], "words": [], "n": []}
+            numbers = np.array([tally.langs.setdefault(x, len(tally.langs)) for x in langs], np.int64)
             for length, ((first, code), (_, check)) in enumerate(zip(_chains(words, own), _chains(words, own, 1)), 1):
                 kept = _seen(bits, code << np.uint64(_SHARD_BITS))
                 first, code, check = first[kept], code[kept], check[kept]
-                _, shown, of, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-                spelled = _spelled(words, length)
-                if (check != check[shown][of]).any():
-                    # Two phrases share 64 bits: count this group by its letters.
-                    exact: dict = {}
-                    for i in first.tolist():
-                        key = (langs[words.text[i]], spelled(i))
-                        exact[key] = exact.get(key, 0) + 1
-                    for (lang, phrase), n in exact.items():
-                        out["lang"].append(lang)
-                        out["phrase"].append(phrase)
-                        out["n"].append(n)
-                else:
-                    at = first[shown].tolist()
-                    out["lang"].extend([langs[t] for t in words.text[first[shown]].tolist()])
-                    out["phrase"].extend(map(spelled, at))
-                    out["n"].extend(counts.tolist())
-                out["words"].extend([length] * (len(out["n"]) - len(out["words"])))
-            kinds = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "n": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
+                if not tally.add(words, numbers, length, first, code, check):
+                    yield _by_letters(words, langs, length, first)
+            if tally.rows > TALLY_ROWS:
+                yield from tally.take()
+                tally.langs = {}
+        yield from tally.take()
 
     return work
 
 
-def _spelled(words: Words, length: int):
-    """A function from a first word to the phrase with single spaces."""
-    raw, starts, ends = words.raw, words.starts.tolist(), words.ends.tolist()
-
-    def phrase(i: int) -> str:
-        if length == 1:
-            return raw[starts[i] : ends[i]].decode()
-        return b" ".join([raw[starts[j] : ends[j]] for j in range(i, i + length)]).decode()
-
-    return phrase
-
-
 def _bit_map(codes: DataFrame) -> bytes:
     """A map of fixed size with a bit for the highest ``MAP_BITS`` bits of each hash.
 
@@ -423,19 +513,13 @@ def collocations(
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
         .select("lang", "phrase", "a", "c.l", "c.r", "c.score")
     )
-    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    if top is not None:
-        # A language may hold nearly all phrases: each of 64 parts gives its own first ones.
-        part = F.pmod(F.xxhash64("phrase"), F.lit(64))
-        among = F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))
-        weakest = weakest.withColumn("_among", among).filter(F.col("_among") <= top).drop("_among")
-    ranked = weakest.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")
-    )
+    order = ["lang", F.desc("score"), F.desc("a"), "phrase"]
+    # Places in one sorted pass over all languages, none of which needs to fit into one task.
+    placed = running_totals(weakest, order, {"place": F.lit(1).cast("bigint")})
+    ahead = placed.groupBy("lang").agg((F.min("place") - 1).alias("ahead"))
+    ranked = placed.join(ahead, "lang").withColumn("rank", F.col("place") - F.col("ahead"))
     ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
-    return ranked.join(F.broadcast(counts.totals), "lang", "left").select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
-    )
+    return ranked.join(counts.totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = """

@@ -136,3 +136,21 @@ def test_no_documents(spark):
 def test_shards_are_bounded(spark):
     with pytest.raises(ValueError):
         collocations.count_phrases(spark.createDataFrame([], SCHEMA), shards=9)
+
+
+def test_phrases_that_share_a_hash_are_counted_by_letters():
+    cut = Cutter(hashes=2)
+    words = cut(["one two  one\ttwo", "two one"])
+    tally = collocations.PhraseTally()
+    langs = np.array([0, 0])
+    first = np.arange(len(words.starts))
+    same = np.zeros(len(first), np.uint64)
+    assert not tally.add(words, langs, 1, first, same, words.hashes[1])
+    assert tally.add(words, langs, 1, first, words.hashes[0], words.hashes[1])
+    assert not tally.add(words, langs, 1, first[:1], words.hashes[0][:1], words.hashes[1][:1] + np.uint64(1))
+    tally.langs = {"en": 0}
+    (batch,) = tally.take()
+    assert sorted(zip(*(c.to_pylist() for c in batch.columns))) == [("en", "one", 1, 3), ("en", "two", 1, 3)]
+    exact = collocations._by_letters(words, ["en", "en"], 2, np.array([0, 2, 4]))
+    assert sorted(zip(*(c.to_pylist() for c in exact.columns))) == [("en", "one two", 2, 2), ("en", "two one", 2, 1)]
+    assert collocations._spelled(words, np.array([0, 1, 2]), 2).to_pylist() == ["one two", "two one", "one two"]
