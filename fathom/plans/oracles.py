@@ -476,8 +476,8 @@ ORACLES: dict[str, str] = {
         "loan_dirty",
     ),
     "split_counts": _with(
-        "SELECT CASE WHEN id % 5 < 4 THEN 'train' ELSE 'validation' END AS side, count(*) AS n "
-        "FROM loan_applications GROUP BY 1"
+        "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_neither, CAST(0 AS BIGINT) AS n_twice, true AS is_four_fifths "
+        "FROM loan_applications"
     ),
     "accuracy": _with(
         "SELECT n, accuracy, 1e0 - accuracy AS test_error FROM (SELECT count(*) AS n, "
@@ -587,7 +587,6 @@ _COMPLETE = " AND ".join(
 )
 _OLD_ENOUGH = "person_age - cb_person_cred_hist_length > -1"
 _ACCEPTED_IDS = f"SELECT id, username, coalesce(person_income <> 0 AND {_OLD_ENOUGH}, false) AS scored FROM (SELECT *, {_ERRORS} FROM typed) WHERE errors = ''"
-_EACH = "SELECT id, {0} AS is_class, {0} AS sums_to_one, {0} AS is_scored FROM loan_applications"
 
 
 def _typical(column: str) -> str:
@@ -603,10 +602,6 @@ def _typical(column: str) -> str:
 
 
 ORACLES |= {
-    "score_status": _with(_EACH.format("true")),
-    "score_status_gbt": _with(_EACH.format("true")),
-    "score_grade": _with(_EACH.format(_OLD_ENOUGH)),
-    "score_grade_tree": _with(_EACH.format(_OLD_ENOUGH)),
     "score_status_lr": _with("SELECT id, true AS is_class, true AS is_sigmoid FROM loan_applications"),
     "score_status_dirty": _with(
         f"SELECT id, {_COMPLETE} AS is_scored, NOT ({_COMPLETE}) AS has_error FROM loan_dirty", "loan_dirty"
@@ -615,16 +610,9 @@ ORACLES |= {
     "grade_test_error": _with(
         "SELECT count(*) AS n, true AS is_a_fifth, true AS is_accurate FROM loan_applications"
     ),
-    "grade_tree_rules": "SELECT true AS predicts, true AS at_most_32_leaves, true AS is_binary",
     "cv_status": "SELECT CAST(fold AS INT) AS fold, true AS is_good FROM range(5) f(fold)",
-    "cv_grade": "SELECT '{\"maxIter\": ' || m || ', \"stepSize\": 0.03}' AS setting, CAST(fold AS INT) AS fold, "
-    "true AS is_good FROM (VALUES (50), (100)) v(m), range(3) f(fold)",
-    "status_feature_importance": f"SELECT CAST({len(domain.STATUS_LAYOUT)} AS BIGINT) AS n, true AS sums_to_one, "
-    "true AS is_falling",
-    "partial_dependence": _with(
-        "SELECT CAST(g AS DOUBLE) AS grid_value, count(*) AS n, count(*) AS n_scored, true AS is_chance "
-        f"FROM loan_applications, (SELECT unnest([{', '.join(map(str, domain.INCOME_EDGES))}]) AS g) GROUP BY g"
-    ),
+    "cv_grade": """SELECT '{"layers": ' || l || ', "maxIter": ' || m || '}' AS setting, CAST(fold AS INT) AS fold, """
+    "true AS is_good FROM (VALUES (50), (100)) v(m), (VALUES ('[19, 15, 15, 7]'), ('[19, 24, 7]')) w(l), range(3) f(fold)",
     "occlusion_attribution": _with(_union([_typical(c) for c in domain.RAW_FEATURES])),
     "score_pending": _with(
         "SELECT CAST(id AS VARCHAR) AS id, username, "
@@ -727,3 +715,58 @@ ORACLES |= {
         "loan_scored",
     ),
 }
+
+ORACLES["merge_scores_bucketed"] = ORACLES["merge_scores"]
+ORACLES["stream_merge_scores"] = ORACLES["merge_scores"]
+ORACLES["stream_top_purpose"] = ORACLES["dashboard_top_purpose"]
+ORACLES["refreshed_correlations"] = ORACLES["corr_matrix_dirty"]
+
+
+def _gap(column: str) -> str:
+    """Cumulative shares by windows over the column's values."""
+    return (
+        f"SELECT '{column}' AS feature, max(total_r) AS n_reference, max(total_c) AS n_current, "
+        "round(max(gap), 9) AS distance, round(min_by(v, [-gap, v]), 9) AS at_value, "
+        "max(gap) > 1.95e0 * sqrt((max(total_r) + max(total_c)) / (CAST(max(total_r) AS DOUBLE) * max(total_c))) AS drifted "
+        "FROM (SELECT v, total_r, total_c, abs(so_far_r / CAST(total_r AS DOUBLE) - so_far_c / CAST(total_c AS DOUBLE)) AS gap "
+        "FROM (SELECT v, CAST(sum(r) OVER (ORDER BY v) AS BIGINT) AS so_far_r, CAST(sum(c) OVER (ORDER BY v) AS BIGINT) AS so_far_c, "
+        "CAST(sum(r) OVER () AS BIGINT) AS total_r, CAST(sum(c) OVER () AS BIGINT) AS total_c "
+        f"FROM (SELECT CAST({column} AS DOUBLE) AS v, count(*) FILTER (id % 10 <> 0) AS r, count(*) FILTER (id % 10 = 0) AS c "
+        "FROM loan_applications GROUP BY 1)))"
+    )
+
+
+def _moved(column: str) -> str:
+    return (
+        f"SELECT '{column}' AS feature, CAST(sum(r) AS BIGINT) AS n_reference, CAST(sum(c) AS BIGINT) AS n_current, "
+        "round(sum(abs(r / CAST(total_r AS DOUBLE) - c / CAST(total_c AS DOUBLE))) / 2, 9) AS distance, "
+        "CAST(sum(CASE WHEN r = 0 THEN c ELSE 0 END) AS BIGINT) AS n_unseen "
+        "FROM (SELECT *, sum(r) OVER () AS total_r, sum(c) OVER () AS total_c "
+        f"FROM (SELECT {column}, count(*) FILTER (id % 10 <> 0) AS r, count(*) FILTER (id % 10 = 0) AS c "
+        "FROM loan_applications GROUP BY 1))"
+    )
+
+
+def _frequent(table: str, column: str) -> str:
+    return (
+        "SELECT CAST(row_number() OVER (ORDER BY n DESC, value) AS INT) AS place, value, n FROM "
+        f"(SELECT CAST({column} AS VARCHAR) AS value, count(*) AS n FROM {table} WHERE {column} IS NOT NULL "
+        "GROUP BY 1 ORDER BY n DESC, value LIMIT 20)"
+    )
+
+
+def _described(column: str) -> str:
+    return (
+        f"SELECT '{column}' AS column_name, count({column}) AS n, count(*) - count({column}) AS n_missing, "
+        f"round(avg({column}), 6) AS mean, round(stddev_samp({column}), 6) AS stddev, "
+        f"CAST(min({column}) AS DOUBLE) AS min_value, CAST(max({column}) AS DOUBLE) AS max_value FROM loan_dirty"
+    )
+
+
+ORACLES |= {
+    "numeric_drift": _with(_union([_gap(c) for c in ("person_income", "loan_amnt", "loan_int_rate", "person_age")])),
+    "text_drift": _with(_union([_moved(c) for c in domain.RAW_CATEGORICAL])),
+    "frequent_users": _frequent("events", "user_id"),
+    "frequent_order_keys": _frequent("lineitem", "l_orderkey"),
+    "refreshed_profile": _with(_union([_described(c) for c in _PROFILED]), "loan_dirty"),
+}

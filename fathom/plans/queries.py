@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -16,12 +17,15 @@ from fathom.operators import (
     calibration,
     correlation,
     dashboard,
+    drift,
     encoding,
     evaluation,
     explain,
     features,
+    frequent,
     modeling,
     outliers,
+    profile_states,
     profiling,
     scoring,
     splitting,
@@ -31,6 +35,7 @@ from fathom.plans.rules import APPROVAL_RULES, RESPONSE_GRID
 from fathom.sources import derived_tables as tables
 from fathom.sources import readers, writers
 from fathom.sources.scratch import scratch_path
+from fathom.streaming import lifecycle
 from fathom.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +45,7 @@ QUERIES: dict[str, Query] = {}
 SEED = 7
 OUTLIER_COLUMNS = ["person_income", "loan_amnt", "loan_percent_income"]
 HISTOGRAM_COLUMNS = ["loan_amnt", "loan_int_rate", "person_age"]
+DRIFT_COLUMNS = ["person_income", "loan_amnt", "loan_int_rate", "person_age"]
 IMPUTED = ["person_income", "loan_int_rate", "loan_percent_income"]
 STATUS_SHOWN = [*domain.STATUS_NUMERIC]
 GRADE_SHOWN = [*domain.GRADE_NUMERIC, *domain.GRADE_DERIVED]
@@ -325,7 +331,22 @@ def assemble_skip_count(spark, sf_dir):
 
 @query
 def split_counts(spark, sf_dir):
-    return splitting.split_counts(_loans(spark, sf_dir), F.col("id") % 5, 4)
+    """Both sides of the split: every row on one of them, four in five to learn from, within 2 %
+    and what chance adds in a small table."""
+    loans = _loans(spark, sf_dir).select("id")
+    seen, held_out = splitting.split(loans, SEED)
+    sides = loans.select("id", F.lit(0).alias("learned"), F.lit(0).alias("held")).unionByName(
+        seen.select("id", F.lit(1).alias("learned"), F.lit(0).alias("held"))
+    ).unionByName(held_out.select("id", F.lit(0).alias("learned"), F.lit(1).alias("held")))
+    each = sides.groupBy("id").agg(F.sum("learned").alias("learned"), F.sum("held").alias("held"))
+    n = F.count(F.lit(1))
+    off = F.abs(F.sum("learned") / n - 0.8)
+    return each.agg(
+        n.alias("n"),
+        F.count(F.when(F.col("learned") + F.col("held") == 0, 1)).alias("n_neither"),
+        F.count(F.when(F.col("learned") + F.col("held") > 1, 1)).alias("n_twice"),
+        (off <= 0.02 + 1.0 / F.sqrt(n)).alias("is_four_fifths"),
+    )
 
 
 @query
@@ -468,6 +489,77 @@ def merge_scores(spark, sf_dir):
     )
 
 
+@query
+def merge_scores_bucketed(spark, sf_dir):
+    """The merge over tables bucketed by id."""
+    scored = tables.loan_scored(spark, sf_dir).select(
+        "id", "username", "status", "loan_grade", "prediction", "grade_prediction"
+    )
+    new = apps.pending(scored).select(
+        "id",
+        codes.decode_status("prediction").alias("status"),
+        codes.decode_grade("grade_prediction").alias("loan_grade"),
+    )
+    name = f"loans_{uuid.uuid4().hex}"
+    sides = []
+    for part, rows in (("a", scored.drop("prediction", "grade_prediction")), ("s", new)):
+        sides.append(writers.write_bucketed(rows, f"{name}_{part}", scratch_path(spark, "bucketed"), "id", 16))
+    return apps.merge_scores(*sides)
+
+
+@query
+def numeric_drift(spark, sf_dir):
+    """Pending loans beside the decided ones, number by number."""
+    loans = _loans(spark, sf_dir)
+    new = F.col("id") % 10 == 0
+    moved = drift.numeric_drift(loans.filter(~new), loans.filter(new), DRIFT_COLUMNS)
+    return moved.withColumns({"distance": F.round("distance", 9), "at_value": F.round("at_value", 9)})
+
+
+@query
+def text_drift(spark, sf_dir):
+    loans = _loans(spark, sf_dir)
+    new = F.col("id") % 10 == 0
+    moved = drift.text_drift(loans.filter(~new), loans.filter(new), list(domain.RAW_CATEGORICAL))
+    return moved.withColumn("distance", F.round("distance", 9))
+
+
+@query
+def frequent_users(spark, sf_dir):
+    """The users with most events, from bounded counters and one exact pass."""
+    return frequent.frequent_values(tables.driver_table(spark, sf_dir, "events"), "user_id", 20)
+
+
+@query
+def frequent_order_keys(spark, sf_dir):
+    """A column of very many values, few of them frequent."""
+    return frequent.frequent_values(tables.driver_table(spark, sf_dir, "lineitem"), "l_orderkey", 20)
+
+
+def _arrivals(spark, sf_dir):
+    """The state of the profile after three folders of loans have come, and a fourth has come and gone."""
+    rows = tables.loan_dirty(spark, sf_dir).drop("id")
+    rows = tables.loan_dirty(spark, sf_dir).select((F.col("id") % 3).alias("part"), *rows.columns)
+    folders = [scratch_path(spark, f"arrival-{i}") for i in range(4)]
+    state = None
+    for i, folder in enumerate(folders):
+        rows.filter(F.col("part") == i % 3).drop("part").write.parquet(folder)
+        state = profile_states.refresh(spark, folders[: i + 1], state)
+    return profile_states.refresh(spark, folders[:3], state)
+
+
+@query
+def refreshed_profile(spark, sf_dir):
+    shown = profile_states.described(_arrivals(spark, sf_dir))
+    return shown.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
+
+
+@query
+def refreshed_correlations(spark, sf_dir):
+    pairs = profile_states.correlations(_arrivals(spark, sf_dir))
+    return pairs.withColumn("correlation", F.round("correlation", 6))
+
+
 @query
 def dashboard_rates(spark, sf_dir):
     return dashboard.rates(tables.loan_scored(spark, sf_dir))
@@ -521,23 +613,21 @@ def _fitted(spark, sf_dir: str, plan: str) -> modeling.PipelineModel:
     return _MODELS[key]
 
 
-def _scored(spark, sf_dir: str, plan: str, classes: int) -> DataFrame:
-    """id of every row, and whether it has a prediction that is a class, probabilities that sum to
-    one and no error; a row with a feature that cannot be derived has none of them."""
-    loans = _loans(spark, sf_dir)
-    scored = modeling.score(loans.select("id", *domain.RAW_FEATURES), _fitted(spark, sf_dir, plan))
-    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+def _scored(spark, sf_dir: str, plan: str) -> DataFrame:
+    """id, prediction, the probability of the predicted class and the error of every row."""
+    loans = _loans(spark, sf_dir).select("id", *domain.RAW_FEATURES)
+    scored = modeling.score(loans, _fitted(spark, sf_dir, plan))
     return scored.select(
         "id",
-        F.coalesce(F.col("prediction").isin([float(i) for i in range(classes)]), F.lit(False)).alias("is_class"),
-        F.coalesce(F.abs(total - 1) < 1e-9, F.lit(False)).alias("sums_to_one"),
-        F.col("error").isNull().alias("is_scored"),
+        F.col("prediction").cast("int").alias("prediction"),
+        F.array_max("probabilities").alias("max_probability"),
+        "error",
     )
 
 
 @query
 def score_status(spark, sf_dir):
-    return _scored(spark, sf_dir, "forest", 2)
+    return _scored(spark, sf_dir, "forest")
 
 
 @query
@@ -556,17 +646,17 @@ def score_status_lr(spark, sf_dir):
 
 @query
 def score_status_gbt(spark, sf_dir):
-    return _scored(spark, sf_dir, "boosted", 2)
+    return _scored(spark, sf_dir, "boosted")
 
 
 @query
 def score_grade(spark, sf_dir):
-    return _scored(spark, sf_dir, "perceptron", 7)
+    return _scored(spark, sf_dir, "perceptron")
 
 
 @query
 def score_grade_tree(spark, sf_dir):
-    return _scored(spark, sf_dir, "tree_by_frequency", 7)
+    return _scored(spark, sf_dir, "tree_by_frequency")
 
 
 @query
@@ -614,14 +704,8 @@ def grade_test_error(spark, sf_dir):
 
 @query
 def grade_tree_rules(spark, sf_dir):
-    """Of the tree's text: that it predicts, and is a binary tree no deeper than five."""
-    rules = explain.tree_rules(_fitted(spark, sf_dir, "tree"), spark)
-    leaf = F.col("rule").contains("Predict")
-    return rules.agg(
-        F.max(leaf).alias("predicts"),
-        (F.count(F.when(leaf, 1)) <= 32).alias("at_most_32_leaves"),
-        (F.count(F.when(F.col("rule").contains("If ("), 1)) == F.count(F.when(leaf, 1)) - 1).alias("is_binary"),
-    )
+    """The tree's text, line by line."""
+    return explain.tree_rules(_fitted(spark, sf_dir, "tree"), spark)
 
 
 @query
@@ -629,41 +713,38 @@ def cv_status(spark, sf_dir):
     """Every fold of the full forest, and whether its area under the curve is above a bar."""
     plan = modeling.status_forest(SEED)
     folds = modeling.cross_validate(_loans(spark, sf_dir), plan, SEED, 5, parallelism=4)[0]
-    return folds.select("fold", (F.col("metric") >= 0.75).alias("is_good"))
+    return folds.select("fold", (F.col("metric") >= 0.9).alias("is_good"))
 
 
 @query
 def cv_grade(spark, sf_dir):
     """The perceptron's grid of iterations over three folds."""
     plan = modeling.grade_perceptron()
-    settings = modeling.grid(maxIter=[50, 100], stepSize=[0.03])
+    settings = modeling.grid(maxIter=[50, 100], layers=[[19, 15, 15, 7], [19, 24, 7]])
     folds = modeling.cross_validate(_loans(spark, sf_dir), plan, SEED, 3, settings, parallelism=3)[0]
-    return folds.select("setting", "fold", (F.col("metric") >= 0.4).alias("is_good"))
+    return folds.select("setting", "fold", (F.col("metric") >= 0.85).alias("is_good"))
+
+
+@query
+def search_grade(spark, sf_dir):
+    """Depths of the grade tree by successive halving: every setting, rung and fold with its accuracy."""
+    settings = modeling.grid(maxDepth=[1, 2, 3, 5, 7, 9])
+    plan = modeling.grade_tree(SEED)
+    return modeling.successive_halving(_loans(spark, sf_dir), plan, SEED, 3, settings, parallelism=3)[0]
 
 
 @query
 def status_feature_importance(spark, sf_dir):
-    """All places, in falling order, and their sum."""
-    loans = _loans(spark, sf_dir)
-    ranked = explain.feature_importance(_fitted(spark, sf_dir, "forest"), loans)
-    pairs = F.sort_array(F.collect_list(F.struct("place", "importance")))
-    listed = F.transform(pairs, lambda p: p["importance"])
-    return ranked.agg(
-        F.count("*").alias("n"),
-        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
-        (listed == F.reverse(F.array_sort(listed))).alias("is_falling"),
-    )
+    """All features by importance, strongest first."""
+    return explain.feature_importance(_fitted(spark, sf_dir, "forest"), _loans(spark, sf_dir))
 
 
 @query
 def partial_dependence(spark, sf_dir):
-    """All rows count at every value, and the chance falls from the lowest to the highest income."""
+    """Mean chance of approval at each income, over all rows."""
     loans = _loans(spark, sf_dir)
     incomes = [float(v) for v in domain.INCOME_EDGES]
-    means = explain.partial_dependence(loans, _fitted(spark, sf_dir, "forest"), "person_income", incomes)
-    return means.select(
-        "grid_value", "n", "n_scored", F.col("mean_probability").between(0.0, 1.0).alias("is_chance")
-    )
+    return explain.partial_dependence(loans, _fitted(spark, sf_dir, "forest"), "person_income", incomes)
 
 
 @query
@@ -789,3 +870,43 @@ def stream_dashboard_rates(spark, sf_dir):
     scored = tables.scored_from(spark, _application_stream(spark, sf_dir))
     path = streaming.run_once(streaming.update_to, streaming.running_counts(scored), "rates")
     return streaming.latest_rates(spark, path)
+
+
+@query
+def stream_top_purpose(spark, sf_dir):
+    """The leading purposes of the running state after all loans have come."""
+    scored = tables.scored_from(spark, _application_stream(spark, sf_dir))
+    events = scored.select("username", "id", "intent", "status", F.current_timestamp().alias("event_time"))
+    with lifecycle.rocksdb_state(spark):
+        path = streaming.run_once(streaming.update_to, lifecycle.follow(events), "purposes")
+    return lifecycle.latest_purposes(spark, path)
+
+
+@query
+def stream_merge_scores(spark, sf_dir):
+    """Applications and decisions joined as they arrive; a closing row ends the wait of the others."""
+    scored = tables.loan_scored(spark, sf_dir)
+    # Not from the epoch on: a stream takes that as late.
+    hour = F.col("id") % 500 + 24
+    submitted = F.timestamp_seconds(hour * 3600).alias("submitted_at")
+    decided = F.timestamp_seconds((hour + 2) * 3600).alias("decided_at")
+    stored = scored.select("id", "username", "status", "loan_grade", submitted)
+    made = apps.pending(scored).select(
+        "id",
+        codes.decode_status("prediction").alias("status"),
+        codes.decode_grade("grade_prediction").alias("loan_grade"),
+        decided,
+    )
+    closing = "timestamp_seconds(1000000000)"
+    sides = [
+        (stored, f"SELECT -1L AS id, '' AS username, '-' AS status, '-' AS loan_grade, {closing} AS submitted_at"),
+        (made, f"SELECT -1L AS id, '-' AS status, '-' AS loan_grade, {closing} AS decided_at"),
+    ]
+    streams = []
+    for rows, last in sides:
+        folder = scratch_path(spark, "merge-stream")
+        rows.unionByName(spark.sql(last)).write.parquet(folder)
+        streams.append(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder))
+    merged = lifecycle.merge_decisions(*streams, wait="10 days")
+    path = streaming.run_once(streaming.append_to, merged, "merged")
+    return spark.read.schema(merged.schema).parquet(path).filter("id >= 0").drop("submitted_at")
