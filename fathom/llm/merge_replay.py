@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import heapq
 import unicodedata
 from bisect import bisect_right
@@ -30,10 +31,11 @@ from fathom.llm.common import grouped_texts, kept, ship
 from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text
 
 # Bytes of distinct words replayed together; bounds the memory of an index.
-REPLAY_BYTES = 400_000
+REPLAY_BYTES = 500_000
 # Pairs of tokens whose merge is remembered.
-KNOWN_PAIRS = 800_000
-# Ids decoded together.
+KNOWN_PAIRS = 500_000
+# Letters of texts encoded together, and ids decoded together.
+ENCODE_CHARS = 2_000_000
 DECODE_IDS = 2_000_000
 _NONE = -1
 
@@ -241,7 +243,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         encoder = kept(("replay", ranks_path, pattern), lambda: ReplayEncoder(ranks_path, pattern))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, group in grouped_texts(texts):
+            for start, group in grouped_texts(texts, ENCODE_CHARS):
                 gc.disable()  # millions of short-lived strings and no cycles among them
                 ids = encoder(group)
                 gc.enable()
@@ -252,6 +254,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {kind}, ids binary")
 
 
+def decoded_bytes(raw: bytes, tokens: list[bytes]) -> bytes:
+    """The bytes that little-endian 32-bit ids stand for."""
+    return b"".join([tokens[t] for t in np.frombuffer(raw, "<u4").tolist()])
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """The columns doc_id and ``ids`` of ``encode`` with ``n_tokens`` and ``decoded``, the bytes.
 
@@ -265,10 +272,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             start, held, counts, decoded = 0, 0, [], []
             for i, raw in enumerate(batch.column(1)):
-                ids = np.frombuffer(raw.as_py(), "<u4")
-                counts.append(len(ids))
-                decoded.append(b"".join([tokens[t] for t in ids.tolist()]))
-                held += len(ids)
+                ids = raw.as_py()
+                counts.append(len(ids) // 4)
+                decoded.append(decoded_bytes(ids, tokens))
+                held += counts[-1]
                 if held >= DECODE_IDS or i + 1 == batch.num_rows:
                     part = batch.slice(start, i + 1 - start)
                     columns = [*part.columns, pa.array(counts, pa.int64()), pa.array(decoded, pa.binary())]
@@ -280,10 +287,29 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, from the ids and their decoding."""
-    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, from the ids and their decoding.
+
+    One worker encodes, decodes what it encoded and hashes both, so that neither ids nor decoded
+    bytes leave it. Rows are treated as by ``encode`` and ``decode``.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept(("replay", ranks_path, pattern), lambda: ReplayEncoder(ranks_path, pattern))
+        tokens = encoder.vocabulary.tokens
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start, group in grouped_texts(texts, ENCODE_CHARS):
+                gc.disable()
+                ids = encoder(group)
+                gc.enable()
+                counts = [len(x) // 4 for x in ids]
+                digests = [hashlib.sha256(x).hexdigest() for x in ids]
+                decoded = [hashlib.sha256(decoded_bytes(x, tokens)).hexdigest() for x in ids]
+                keys = batch.column(0).slice(start, len(group))
+                columns = [keys, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -94,3 +94,21 @@ def test_an_unknown_id_is_an_error(spark):
         merge_replay.decode(encoded, PATH).collect()
     none = spark.createDataFrame([(1, None)], "doc_id bigint, ids binary")
     assert merge_replay.decode(none, PATH).first().n_tokens == 0
+
+
+def test_encode_and_decode_are_inverse(spark, make_docs, odd_rows):
+    docs = make_docs(odd_rows, extra=["ids"])
+    encoded = merge_replay.encode(docs, PATH, PATTERN)
+    decoded = merge_replay.decode(encoded, PATH).collect()
+    theirs = library()
+    got = sorted((r.doc_id or 0, bytes(r.ids), r.n_tokens, bytes(r.decoded)) for r in decoded)
+    want = []
+    for i, text, *_ in odd_rows:
+        ids = theirs.encode_ordinary(text or "")
+        want.append((i or 0, raw(ids), len(ids), (text or "").encode()))
+    assert got == sorted(want)
+    one = merge_replay.round_trip(docs, PATH, PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    two = merge_replay.decode(encoded, PATH).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
