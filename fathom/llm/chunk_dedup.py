@@ -38,6 +38,8 @@ CLOSE = 8
 # Runs of repeated chunks below this many bytes are chance repeats of a few words.
 LEAST_RUN = 24
 WINDOW = 32
+# Letters of texts that are cut together.
+CUT_CHARS = 1_000_000
 # A window of words with at least this part of all windows is joined by broadcast.
 HOT_WINDOWS = 1000
 # From this many bytes on, cuts in a passage do not depend on what stands before it.
@@ -149,7 +151,7 @@ def _cut_texts(batch: pa.RecordBatch, least_words: int) -> Iterator[pa.RecordBat
     if batch.num_rows:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         version = batch.column(1).to_numpy(zero_copy_only=False)
-        for start, texts in grouped_texts(batch.column(2).to_pylist()):
+        for start, texts in grouped_texts(batch.column(2).to_pylist(), CUT_CHARS):
             joined, bounds = chunk_bounds(texts)
             counts = np.fromiter((len(b) - 1 for b in bounds), np.int64, len(bounds))
             values = np.fromiter(
@@ -241,7 +243,7 @@ def _examined(least_words: int):
         for batch in batches:
             ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             marks = batch.column(3).to_pylist()
-            for start, texts in grouped_texts(batch.column(2).to_pylist()):
+            for start, texts in grouped_texts(batch.column(2).to_pylist(), CUT_CHARS):
                 rows = slice(start, start + len(texts))
                 yield from _examine(ids[rows], versions[rows], texts, marks[rows], least_words)
 
