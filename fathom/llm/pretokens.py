@@ -16,6 +16,10 @@ from itertools import compress
 from operator import not_
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 ALONE = "\0"
 # Units remembered by a worker process: two generations of at most this many each.
 REMEMBERED = 400_000
@@ -55,10 +59,7 @@ def units(text: str, specials: tuple[str, ...] = ()) -> list[str]:
     """Keys of the parts of ``text`` that are tokenized on their own."""
     if not text:
         return []
-    flat = text.replace("\n", " ")
-    # Of all white space only the space is printable.
-    plain = flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
-    if not plain or any(s in text for s in specials):
+    if not _plain(text, specials):
         return [ALONE + text]
     parts = text.replace("\n", " \n").split(" ")
     parts[0] = ALONE + parts[0]
@@ -82,6 +83,53 @@ def per_text(texts: list[str], specials: tuple[str, ...], memory: Recent, comput
     return values
 
 
+def _plain(text: str, specials: tuple[str, ...]) -> bool:
+    """Is all white space in the text single spaces and line feeds between other characters?"""
+    flat = text.replace("\n", " ")
+    # Of all white space only the space is printable.
+    plain = flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
+    return plain and not any(s in text for s in specials)
+
+
+def gathered(
+    texts: list[str], specials: tuple[str, ...], memory: Recent, compute, dtype: np.dtype
+) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts one after another, and where each text's end.
+
+    ``compute`` gives a unit's numbers as bytes, never empty. Texts are cut and their units made
+    distinct by columns: Python only sees each distinct unit of a group once, and the texts are
+    put together by one gather.
+    """
+    plain = np.fromiter((bool(t) and _plain(t, specials) for t in texts), bool, len(texts))
+    marked = [ALONE + t.replace("\n", " \n") for t, p in zip(texts, plain.tolist()) if p]
+    cut = pc.split_pattern(pa.array(marked, pa.string()), " ")
+    coded = cut.values.dictionary_encode()
+    keys = coded.dictionary.to_pylist()
+    alone = [ALONE + t for t, p in zip(texts, plain.tolist()) if t and not p]
+    counts = np.fromiter(map(bool, texts), np.int64, len(texts))
+    counts[plain] = np.diff(cut.offsets.to_numpy())
+    units = np.empty(counts.sum(), np.int64)
+    from_plain = np.repeat(plain, counts)
+    units[from_plain] = coded.indices.to_numpy()
+    units[~from_plain] = len(keys) + np.arange(len(alone))
+    keys += alone
+    values = list(map(memory.get, keys))
+    missing = set(compress(keys, map(not_, values)))
+    if missing:
+        extra = memory.learn(missing, compute)
+        known = memory.get
+        for i in list(compress(range(len(keys)), map(not_, values))):
+            values[i] = known(keys[i]) or extra[keys[i]]
+    memory.age()
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
+    flat = np.frombuffer(b"".join(values), dtype)
+    starts = np.cumsum(sizes) - sizes
+    lengths = sizes[units]
+    ends = np.cumsum(lengths)
+    at = np.repeat(starts[units] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    return flat[at], np.append(0, ends)[np.cumsum(counts)]
+
+
 # Letters up to here are letters in every version of Unicode.
 LAST_LETTER = "\u00ff"
 _spelled: dict[int, str] = {}

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fathom.llm.common import grouped_texts, kept, ship
-from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text, split_units, values_of
+from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, gathered, split_units, values_of
 from fathom.sources.scratch import durable, scratch_path
 
 END_ID = 0
@@ -106,8 +106,14 @@ class Encoder:
             raw[i] = self._raw(self.tokenizer.encode(units[i][1:], add_special_tokens=False).ids)
         return raw
 
+    def gathered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's end."""
+        return gathered(texts, self.specials, self.units, self._encode_units, self.dtype)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in per_text(texts, self.specials, self.units, self._encode_units)]
+        ids, ends = self.gathered(texts)
+        starts = np.append(0, ends[:-1])
+        return [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 def encoder(path: str) -> Encoder:
@@ -201,6 +207,68 @@ def _unpacked(raw: bytes) -> tuple[dict[str, np.ndarray], dict]:
     return arrays, head["note"]
 
 
+# --- access to one key by places in the files -----------------------------------------------
+
+
+def _opened(folder: str, name: str):
+    store, root = _store(folder)
+    return store.open_input_file(f"{root}/{name}")
+
+
+def _numbers(file, at: int, dtype: str, count: int) -> np.ndarray:
+    return np.frombuffer(file.read_at(count * np.dtype(dtype).itemsize, at), dtype, count)
+
+
+def _bucket_of(doc_id: int | None, buckets: int) -> int:
+    """The bucket that ``pmod(xxhash64(doc_id), buckets)`` gives; a null hashes to its seed."""
+    import xxhash
+
+    value = 42
+    if doc_id is not None:
+        value = xxhash.xxh64_intdigest((doc_id & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed=42)
+    value -= (value >> 63) << 64
+    return value % buckets
+
+
+def _place_in(file, doc_id: int | None) -> list[int] | None:
+    """(shard, row, copies) of a key: one bit word for each level it is tried on, then one count,
+    one fingerprint and one place."""
+    size = int(_numbers(file, 0, "<u8", 1)[0])
+    head, at = json.loads(file.read_at(size, 8)), 8 + size
+    if doc_id is None:
+        return head["note"]["null"]
+    starts: dict[str, tuple[int, str, list[int]]] = {}
+    for name, dtype, shape in head["arrays"]:
+        starts[name] = (at, dtype, shape)
+        at += int(np.prod(shape)) * np.dtype(dtype).itemsize
+    key = np.array([doc_id], np.int64).view(np.uint64)
+    base = 0
+    levels, dtype, shape = starts["sizes"]
+    for level, length in enumerate(_numbers(file, levels, dtype, shape[0]).tolist()):
+        bit = int(_mixed(key, level)[0]) % length
+        word = base + (bit >> 6)
+        value = int(_numbers(file, starts["bits"][0] + 8 * word, "<u8", 1)[0])
+        if value >> (bit & 63) & 1:
+            below = (value & ((1 << (bit & 63)) - 1)).bit_count()
+            slot = int(_numbers(file, starts["before"][0] + 8 * word, "<i8", 1)[0]) + below
+            if _numbers(file, starts["checks"][0] + 4 * slot, "<u4", 1)[0] != _check(key)[0]:
+                return None
+            return _numbers(file, starts["places"][0] + 24 * slot, "<i8", 3).tolist()
+        base += length >> 6
+    return None
+
+
+def _rows_in(file, row: int, copies: int) -> list[np.ndarray]:
+    head = file.read_at(8, 0)
+    if head[:4] != MAGIC:
+        raise ValueError("not a shard of token ids")
+    end = file.size()
+    rows = int(_numbers(file, end - 16, "<u8", 1)[0])
+    offsets = _numbers(file, end - 16 - 8 * (rows + 1) + 8 * row, "<u8", copies + 1).astype(np.int64)
+    ids = _numbers(file, 8 + int(offsets[0]) * head[5], f"<u{head[5]}", int(offsets[-1] - offsets[0]))
+    return [ids[a - offsets[0] : b - offsets[0]] for a, b in zip(offsets, offsets[1:])]
+
+
 # --- shards ---------------------------------------------------------------------------------
 
 
@@ -227,7 +295,6 @@ def _write_shards(tokenizer_path: str, folder: str, end_id: int):
         from pyspark import TaskContext
 
         encode = encoder(tokenizer_path)
-        end = np.array([end_id], encode.dtype).tobytes()
         shard = TaskContext.get().partitionId()
         keys: list[int | None] = []
         lengths: list[int] = []
@@ -237,9 +304,9 @@ def _write_shards(tokenizer_path: str, folder: str, end_id: int):
             for batch in batches:
                 keys.extend(batch.column(0).to_pylist())
                 for _, texts in grouped_texts(batch.column(1).to_pylist()):
-                    for raw in encode(texts):
-                        lengths.append(len(raw) // encode.dtype.itemsize + 1)
-                        yield raw + end
+                    ids, ends = encode.gathered(texts)
+                    yield np.insert(ids, ends, end_id).tobytes()
+                    lengths.extend((np.diff(ends, prepend=0) + 1).tolist())
             offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype("<u8")
             yield offsets.tobytes()
             yield np.array([len(lengths), offsets[-1]], "<u8").tobytes()
@@ -339,14 +406,20 @@ class TokenFiles:
             "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
         )
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
-        """The ids of one key's rows, by one index file and one shard; empty for an unknown key."""
-        spark = self.shards.sparkSession
-        place = self.places(spark.createDataFrame([(doc_id,)], "doc_id bigint")).first()
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of one key's rows; empty for an unknown key.
+
+        Reads a few numbers of one index file and of one shard by their place, whatever the size of
+        the files: no Spark job, and nothing whole.
+        """
+        bucket = _bucket_of(doc_id, self.buckets)
+        with _opened(self.folder, index_name(bucket)) as index:
+            place = _place_in(index, doc_id)
         if place is None:
             return []
-        shard = Shard(_read_file(self.folder, shard_name(place["shard"])))
-        return [shard.row(i) for i in range(place["row"], place["row"] + place["copies"])]
+        number, row, copies = place
+        with _opened(self.folder, shard_name(number)) as shard:
+            return _rows_in(shard, row, copies)
 
 
 def write_token_files(
