@@ -104,7 +104,7 @@ def gathered(
     marked = [ALONE + t.replace("\n", " \n") for t, p in zip(texts, plain.tolist()) if p]
     cut = pc.split_pattern(pa.array(marked, pa.string()), " ")
     coded = cut.values.dictionary_encode()
-    keys = coded.dictionary.to_pylist()
+    keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     alone = [ALONE + t for t, p in zip(texts, plain.tolist()) if t and not p]
     counts = np.fromiter(map(bool, texts), np.int64, len(texts))
     counts[plain] = np.diff(cut.offsets.to_numpy())
@@ -135,7 +135,7 @@ LAST_LETTER = "\u00ff"
 _spelled: dict[int, str] = {}
 
 
-def _letters(splitter) -> dict[int, str]:
+def spelled_letters(splitter) -> dict[int, str]:
     """How the splitter writes the bytes of the letters beyond ASCII, for ``str.translate``."""
     if not _spelled:
         codes = [c for c in range(0x80, ord(LAST_LETTER) + 1) if chr(c).isalpha()]
@@ -152,7 +152,7 @@ def split_units(splitter, keys: list[str]) -> list[list[str]]:
     """
     found: list[list[str]] = [[] for _ in keys]
     held: list[tuple[list[str], str]] = []
-    letters = _letters(splitter)
+    letters = spelled_letters(splitter)
     space, feed = (splitter.pre_tokenize_str(c)[0][0] for c in " \n")
     chars = 0
 

@@ -23,6 +23,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fathom.llm.common import grouped_texts, kept, ship
-from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, gathered, split_units, values_of
+from fathom.llm.pretokens import ALONE, JOINED_CHARS, LAST_LETTER, REMEMBERED, Recent, gathered, spelled_letters
 from fathom.sources.scratch import durable, scratch_path
 
 END_ID = 0
@@ -76,36 +77,79 @@ def index_name(bucket: int) -> str:
 
 
 class Encoder:
-    """Ids of texts as raw bytes; units and pre-tokens seen before come from memory."""
+    """Ids of texts as raw bytes; units seen before come from memory."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.splitter, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             self.specials = tuple(t["content"] for t in json.load(file)["added_tokens"])
         width = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if width <= 1 << 16 else "<u4")
         self.units, self.pieces = Recent(), Recent(REMEMBERED // 2)
-
-    def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        tokenize, size, order = self.model.tokenize, self.dtype.itemsize, "little"
-        return [b"".join([t.id.to_bytes(size, order) for t in tokenize(p)]) for p in pieces]
+        self.pack = "H" if self.dtype.itemsize == 2 else "I"
+        splitter, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.letters = spelled_letters(splitter)
+        self.space, feed = (splitter.pre_tokenize_str(c)[0][0] for c in " \n")
+        ids = {c: array(self.pack, [t.id for t in model.tokenize(c)]).tobytes() for c in (feed, ",", ".")}
+        self.feed, self.marks = ids[feed], {c: ids[c] for c in ",."}
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        """Only a whole text can have strings of special tokens; the library encodes it as it is."""
-        special = [i for i, u in enumerate(units) if u[0] == ALONE and any(t in u for t in self.specials)]
-        skipped = set(special)
-        pieces = split_units(self.splitter, [ALONE if i in skipped else u for i, u in enumerate(units)])
-        raw = list(map(b"".join, values_of(pieces, self.pieces, self._encode_pieces)))
-        for i in special:
-            raw[i] = self._raw(self.tokenizer.encode(units[i][1:], add_special_tokens=False).ids)
+        """Words of plain letters, alone or before a comma or full stop, are one pre-token with their
+        space and go to the library's model, once for each word. Other units after a space or line
+        feed are joined for few calls of the library, and cut apart by where its tokens start; no
+        token crosses a joint. The rest is encoded as it is."""
+        raw: list[bytes] = [b""] * len(units)
+        held: list[int] = []
+        chars = 0
+        pieces, known, older = self.pieces, self.pieces.get, self.pieces.old.get
+        space, feed, marks, letters = self.space, self.feed, self.marks, self.letters
+        tokenize, pack = self.tokenizer.model.tokenize, self.pack
+        for i, unit in enumerate(units):
+            first = unit[0]
+            if first == ALONE:
+                ids = self.tokenizer.encode(unit[1:], add_special_tokens=False).ids
+                raw[i] = array(pack, ids).tobytes()
+                continue
+            word = unit[1:] if first == "\n" else unit
+            mark = marks.get(word[-1])
+            core = word if mark is None else word[:-1]
+            if core.isalpha() and (core.isascii() or max(core) <= LAST_LETTER):
+                piece = core if core.isascii() else core.translate(letters)
+                if first != "\n":
+                    piece = space + piece
+                value = known(piece)
+                if value is None:
+                    value = older(piece) or array(pack, [t.id for t in tokenize(piece)]).tobytes()
+                    pieces[piece] = value
+                if first == "\n":
+                    value = feed + value
+                raw[i] = value if mark is None else value + mark
+                continue
+            held.append(i)
+            chars += len(unit) + 1
+            if chars >= JOINED_CHARS:
+                self._encode_joined(units, held, raw)
+                held, chars = [], 0
+        self._encode_joined(units, held, raw)
+        pieces.age()
         return raw
 
+    def _encode_joined(self, units: list[str], held: list[int], raw: list[bytes]) -> None:
+        if not held:
+            return
+        parts = [units[i] if units[i][0] == "\n" else " " + units[i] for i in held]
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        found = self.tokenizer.encode("".join(parts), add_special_tokens=False)
+        ids = np.array(found.ids, self.dtype).tobytes()
+        of = np.searchsorted(starts, np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+        ends = (np.cumsum(np.bincount(of, minlength=len(parts))) * self.dtype.itemsize).tolist()
+        for i, a, b in zip(held, [0, *ends], ends):
+            raw[i] = ids[a:b]
+
     def gathered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's end."""
         return gathered(texts, self.specials, self.units, self._encode_units, self.dtype)
