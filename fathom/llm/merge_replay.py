@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import grouped_texts, kept, ship
-from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, per_text
+from fathom.llm.pretokens import ALONE, REMEMBERED, Recent, gathered
 
 # Bytes of distinct words replayed together; bounds the memory of an index.
 REPLAY_BYTES = 500_000
@@ -224,7 +224,8 @@ class ReplayEncoder:
         return raw
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in per_text(texts, (), self.units, self._encode_units)]
+        ids, ends = gathered(texts, (), self.units, self._encode_units, np.dtype("<u4"))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
