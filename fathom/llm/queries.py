@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import (
@@ -27,6 +26,13 @@ from fathom.llm.common import documents
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _tokenizer(name: str) -> str:
+    """Only the queries that ask for a vocabulary need the package that has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(documents(spark, sf_dir))
 
@@ -42,7 +48,7 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
-        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")
+        documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json")
     )
 
 
@@ -56,7 +62,7 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_rows(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_rows(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +84,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_replay.round_trip(
-        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    )
+    import public_tokenizers
+
+    ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    return merge_replay.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fathom.sources.scratch import durable
 
 # Words of a paragraph's piece, and of the piece that opens a text.
-PIECE_WORDS = 64
+PIECE_WORDS = 16
 OPENING_WORDS = 8
 # Cells of each of the three parts of a sketch.
 WIDTH = 5
@@ -82,37 +82,47 @@ def subtracted(mine: str, other: str) -> str:
     return f"zip_with({mine}, {other}, (p, q) -> {cell})"
 
 
-def peeled(cells: str) -> str:
-    """SQL for the number of digests that peeling recovers, -1 if some stay hidden."""
+def peeled(cells: str, keep: bool = False) -> str:
+    """SQL for the number of digests that peeling recovers, -1 if some stay hidden.
+
+    With ``keep`` it is the digests themselves as (c, k), c being 1 for a digest of the first
+    version and -1 for one of the second; null if some stay hidden.
+    """
     places = ", ".join(f"'p{j}', cast({_place('c.k', j)} + {j * WIDTH} as int)" for j in range(PARTS))
     alone = f"filter(s.cells, c -> abs(c.c) = 1 AND c.x = {_check('c.k')})"
     pure = f"array_distinct(transform({alone}, c -> named_struct('c', c.c, 'k', c.k, {places})))"
     hit = " OR ".join(f"p.p{j} = i" for j in range(PARTS))
     less = f"(a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'x', a.x ^ {_check('p.k')})"
     rest = f"transform(s.cells, (c, i) -> aggregate(filter(pure, p -> {hit}), c, {less}))"
-    step = _let(
-        "pure", pure, f"if(size(pure) = 0, s, named_struct('cells', {rest}, 'n', s.n + size(pure)))"
-    )
+    more = "concat(s.n, transform(pure, p -> named_struct('c', p.c, 'k', p.k)))" if keep else "s.n + size(pure)"
+    step = _let("pure", pure, f"if(size(pure) = 0, s, named_struct('cells', {rest}, 'n', {more}))")
+    none = f"cast(array() AS {_FOUND})" if keep else "0"
     empty = "forall(s.cells, c -> c.c = 0 AND c.k = 0 AND c.x = 0)"
     return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'n', 0), (s, r) -> {step}, "
-        f"s -> if({empty}, s.n, -1))"
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'n', {none}), (s, r) -> {step}, "
+        f"s -> if({empty}, s.n, {'NULL' if keep else '-1'}))"
     )
 
 
+_FOUND = "array<struct<c: int, k: bigint>>"
+
+
 def _power_of_two(number: str) -> str:
     return f"cast(pow(2, ceil(log2(greatest(1.0D, {number})))) as int)"
 
 
-def _dealt(mine: str, other: str, growth: str) -> str:
-    """SQL for the differing digests found by many small sketches, -1 if one of them fails."""
+def _dealt(mine: str, other: str, growth: str, keep: bool = False) -> str:
+    """SQL for the number of differing digests that many small sketches find, -1 if one of them
+    fails; with ``keep`` for the digests, null if one fails."""
     small = _let(
         "u",
         "named_struct('a', filter(one, e -> e.s % n = t), 'b', filter(two, e -> e.s % n = t))",
-        peeled(subtracted(sketch("u.a"), sketch("u.b"))),
+        peeled(subtracted(sketch("u.a"), sketch("u.b")), keep),
     )
     wanted = f"least(8192, {growth} * {_power_of_two(f'(size(one) + size(two)) / {LOAD}.0D')})"
     total = "if(exists(found, y -> y < 0), -1, aggregate(found, 0, (a, y) -> a + y))"
+    if keep:
+        total = "if(exists(found, y -> y IS NULL), NULL, flatten(found))"
     within = _let("n", wanted, _let("found", f"transform(sequence(0, n - 1), t -> {small})", total))
     large = f"size({mine}) + size({other})"
     parts = f"if({large} < {LARGE}, 1, least(4096, {_power_of_two(f'sqrt({large})')}))"
@@ -135,6 +145,38 @@ def differing(mine: str, other: str, cells: str, other_cells: str) -> str:
     return _let("v0", larger, f"if(v0 >= 0, v0, {exact})")
 
 
+def recovered(mine: str, other: str, cells: str, other_cells: str) -> str:
+    """SQL for the digests that only one of two versions has, as (c, k) like in ``peeled``."""
+    retries = f"array({', '.join(map(str, GROWTH))})"
+    first = peeled(subtracted(cells, other_cells), True)
+    larger = f"aggregate({retries}, {first}, (v, g0) -> if(v IS NOT NULL, v, {_dealt(mine, other, 'g0', True)}))"
+    sides = (
+        f"transform(filter({a}, e -> NOT exists({b}, f -> f.d = e.d)), e -> named_struct('c', {c}, 'k', e.d))"
+        for a, b, c in ((mine, other, 1), (other, mine, -1))
+    )
+    return _let("v0", larger, f"if(v0 IS NOT NULL, v0, concat({', '.join(sides)}))")
+
+
+def changed_paragraphs(df: DataFrame, old: str, new: str) -> DataFrame:
+    """``df`` with ``removed`` and ``added``: ascending digests of the paragraphs that only the text
+    column ``old`` or only ``new`` has, recovered from the difference of their sketches.
+
+    Null texts are empty; both arrays are empty for texts with the same paragraphs. Other columns
+    pass, but for former ones of these names.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("removed", "added")]
+    found = recovered("pa", "pb", "sa", "sb")
+    found = _let("sa", sketch("pa"), _let("sb", sketch("pb"), found))
+    found = _let("pa", prepared(digests(f"`{old}`")), _let("pb", prepared(digests(f"`{new}`")), found))
+    sides = (
+        F.array_sort(F.expr(f"transform(filter(_changes, e -> e.c = {c}), e -> e.k)")).alias(name)
+        for name, c in (("removed", 1), ("added", -1))
+    )
+    names = [c for c in df.columns if c not in ("removed", "added")]
+    whole = df.select(F.struct(*kept).alias("_row"), F.expr(found).alias("_changes"))
+    return whole.select(*(F.col("_row")[c].alias(c) for c in names), *sides)
+
+
 def _as_text(cells: str) -> str:
     cell = "concat(lower(hex(c.c)), '.', lower(hex(c.k)), '.', lower(hex(c.x)))"
     return f"array_join(transform({cells}, c -> {cell}), '-')"

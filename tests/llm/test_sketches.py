@@ -8,7 +8,7 @@ from fathom.llm import sketches
 
 
 def paragraphs(text):
-    return set(re.findall(r"\A(?:[^ \n]+ ?){1,8}|(?:[^ \n]+ ?){1,64}", text))
+    return set(re.findall(r"\A(?:[^ \n]+ ?){1,8}|(?:[^ \n]+ ?){1,16}", text))
 
 
 def likeness(a, b):
@@ -71,3 +71,23 @@ def test_peeling_counts_what_differs(spark, sizes):
     assert row.n == left + right
     assert row.small in (left + right, -1)
     assert row.dealt in (left + right, -1)
+
+
+def test_differing_digests_are_recovered(spark, small_documents):
+    """Small and large differences, by the first sketch and by dealt ones."""
+    texts = [r[1] for r in small_documents[:12]]
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))]
+    rows += [(100, texts[0], texts[0]), (101, None, ""), (102, "a b c", None), (103, "x\n" * 3 + "y", "y\nz")]
+    long_ = "\n".join(f"line {i}" for i in range(700))
+    rows += [(104, long_, long_.replace("line 3", "lime 3")), (105, long_, long_ + "\nlast")]
+    df = spark.createDataFrame(rows, "removed int, old string, new string")
+    digest = lambda c: F.expr(sketches.digests(c))
+    wanted = df.select(
+        F.array_sort(F.array_except(digest("old"), digest("new"))).alias("removed"),
+        F.array_sort(F.array_except(digest("new"), digest("old"))).alias("added"),
+    )
+    found = sketches.changed_paragraphs(df, "old", "new")
+    assert found.columns == ["old", "new", "removed", "added"]
+    pairs = list(zip(found.collect(), wanted.collect()))
+    assert all((f.removed, f.added) == (w.removed, w.added) for f, w in pairs)
+    assert max(len(f.removed) for f, _ in pairs) > 100
