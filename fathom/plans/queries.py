@@ -753,16 +753,10 @@ def occlusion_attribution(spark, sf_dir):
     loans = _loans(spark, sf_dir)
     typical = explain.typical_values(loans)
     deltas = explain.occlusion_attribution(loans, _fitted(spark, sf_dir, "forest"), typical)
-    cells = (F.struct(F.lit(c).alias("feature"), F.col(c).eqNullSafe(F.lit(v)).alias("usual")) for c, v in typical.items())
-    usual = loans.select("id", F.inline(F.array(*cells)))
-    return (
-        deltas.join(usual, ["id", "feature"])
-        .groupBy("feature")
-        .agg(
-            F.count("delta").alias("n"),
-            F.count(F.when(F.col("usual"), 1)).alias("n_usual"),
-            F.count(F.when(F.col("usual") & (F.col("delta") == 0), 1)).alias("n_usual_unchanged"),
-        )
+    return deltas.groupBy("feature").agg(
+        F.count("delta").alias("n"),
+        F.count(F.when(F.col("was_typical"), 1)).alias("n_usual"),
+        F.count(F.when(F.col("was_typical") & (F.col("delta") == 0), 1)).alias("n_usual_unchanged"),
     )
 
 
