@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import forget, grouped_texts, ship
 from fathom.operators.ordering import running_totals
+from fathom.sources.scratch import durable
 
 # Edits allowed per letter of an item: pieces are about 1 / ERROR_RATE letters long.
 ERROR_RATE = 0.04
@@ -66,6 +67,13 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _stands_alone(text: str, start: int, stop: int) -> bool:
+    """Is the stretch no part of longer words?"""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    after = stop < len(text) and text[stop].isalnum() and text[stop - 1].isalnum()
+    return not (before or after)
+
+
 class Searcher:
     """Finds a block of items in texts."""
 
@@ -91,7 +99,9 @@ class Searcher:
         starts: dict[int, set[int]] = {}
         for end, (size, wanted) in self.automaton.iter(text):
             for n, offset in wanted:
-                starts.setdefault(n, set()).add(end + 1 - size - offset)
+                start = end + 1 - size - offset
+                if self.items[n][2] or _stands_alone(text, start, start + len(self.items[n][1])):
+                    starts.setdefault(n, set()).add(start)
         found = []
         for n, places in sorted(starts.items()):
             _, item, budget = self.items[n]
@@ -162,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 
     One row per document row and item: the least number of edits and where the first such passage
     ends in the normalized text. Items and texts that are null or have no word match nothing; an
-    item shorter than 1 / ``error_rate`` letters must appear exactly. Items that repeat are found
+    item shorter than 1 / ``error_rate`` letters must appear exactly, as whole words. Items that repeat are found
     under each of their ids, rows that repeat a document each give their matches; items without an
     id are not searched for, documents without one keep their null. Columns besides doc_id, text
     and item_id, text are not read. Empty tables give no rows.
@@ -185,10 +195,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
     """The rows of ``docs``, all columns, that hold no test item.
 
     Rows are judged by themselves, not by id: of rows that share a doc_id only those with a
-    passage go. One pass over the documents for each block of items, without a shuffle.
+    passage go. One pass over the documents for each block of items, without a shuffle; what a
+    pass keeps is written before the next one, so that a task holds one block at a time.
     """
     ship(docs.sparkSession)
-    kept = docs
+    kept, before = docs, 0
     for shared in _blocks(benchmark):
+        kept = durable(kept, "clean") if before else kept
         kept = kept.mapInArrow(_keep_clean(shared, error_rate), docs.schema)
+        before += 1
     return kept

@@ -79,3 +79,22 @@ def test_empty_tables(spark, make_docs):
     assert dc.contaminated(make_docs([(1, "a b")]), none).count() == 0
     assert dc.decontaminate(make_docs([(1, "a b")]), none).count() == 1
     assert dc.contaminated(make_docs([]), spark.createDataFrame([(1, "a b")], none.schema)).count() == 0
+
+
+def test_a_short_item_is_no_part_of_a_longer_word(spark, make_docs):
+    bench = spark.createDataFrame([(1, "cat"), (2, "Cat sat")], "item_id bigint, text string")
+    docs = make_docs([(1, "concatenate"), (2, "The cat."), (3, "cat"), (4, "bobcat, cat sat"), (5, "a cat satin"), (6, "cats")])
+    found = {(r.doc_id, r.item_id, r.distance) for r in dc.contaminated(docs, bench).collect()}
+    assert found == {(2, 1, 0), (3, 1, 0), (4, 1, 0), (4, 2, 0), (5, 1, 0)}
+    assert sorted(r.doc_id for r in dc.decontaminate(docs, bench).collect()) == [1, 6]
+
+
+def test_blocks_take_turns(spark, make_docs, monkeypatch):
+    """Three blocks, of which a task holds one at a time."""
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 8)
+    bench = spark.createDataFrame([(i, f"item number {i}") for i in range(3)], "item_id bigint, text string")
+    docs = make_docs([(i, f"here is item number {i}") for i in range(5)], extra=["_x"])
+    kept = dc.decontaminate(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
