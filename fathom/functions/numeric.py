@@ -27,16 +27,5 @@ def fixed(value: Column, digits: int, suffix: str = "") -> Column:
     return F.when(value.isNotNull(), F.format_string(f"%.{digits}f{suffix}", value.cast("double")))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation over the rows where both sides are known; null if either is constant.
-
-    ``corr`` itself divides by zero on a constant column under ANSI mode.
-    """
-    both_a = F.when(b.isNotNull(), a)
-    both_b = F.when(a.isNotNull(), b)
-    spread = F.stddev_pop(both_a) * F.stddev_pop(both_b)
-    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
-
-
 def is_numeric(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.NumericType)

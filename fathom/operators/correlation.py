@@ -1,4 +1,4 @@
-"""Pairwise correlations in one pass."""
+"""Pairwise correlations from one aggregate, after a pass for the means."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.numeric import pearson
 from fathom.operators.profiling import numeric_columns
 
 
 # A correlation this close to one is perfect but for rounding in its sums.
 PERFECT = 1 - 1e-12
+# Values whose squares about their own mean are this small beside those about the column's mean are equal.
+SAME = 1e-12
 
 
 def finite(df: DataFrame, column: str) -> Column:
@@ -22,27 +23,60 @@ def finite(df: DataFrame, column: str) -> Column:
 
 
 def _pairs(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
-    """One row per pair.
+    """One row per pair, from one aggregate of plain sums.
 
-    Each row is fanned out to its pairs and combined at once on the map side into one buffer per
-    pair. One wide aggregate over all pairs would grow past what the JVM compiles well.
+    A first pass finds means and whether columns have gaps. Values are then taken from their mean,
+    so that sums of products lose no digits. Pairs of columns without gaps share the sums of each
+    column; a pair with gaps has its own, over the rows that have both.
     """
     pairs = list(pairs)
-    cells = [
-        F.struct(
-            F.lit(i).alias("pair"),
-            finite(df, a).alias("x"),
-            finite(df, b).alias("y"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    measured = (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("pair")
-        .agg(pearson(F.col("x"), F.col("y")).alias("correlation"))
+    columns = sorted({c for pair in pairs for c in pair})
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column1 string, column2 string, correlation double")
+    known = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *(m for i, c in enumerate(columns) for m in (F.avg(finite(df, c)).alias(f"m{i}"), F.count(finite(df, c)).alias(f"n{i}"))),
+    ).first()
+    place = {c: i for i, c in enumerate(columns)}
+    whole = {c for c in columns if known[f"n{place[c]}"] == known["rows"]}
+    centred = df.select(
+        *((finite(df, c) - F.lit(float(known[f"m{i}"] or 0.0))).alias(f"x{i}") for i, c in enumerate(columns))
     )
-    names = F.array(*(F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2")) for a, b in pairs))
-    return measured.withColumn("names", names[F.col("pair")]).select("names.*", "correlation")
+    x = [F.col(f"x{i}") for i in range(len(columns))]
+    sums = {"n": F.count(F.lit(1))}
+    for c in sorted(whole):
+        i = place[c]
+        sums |= {f"s{i}": F.sum(x[i]), f"q{i}": F.sum(x[i] * x[i])}
+    cells = []
+    for number, (a, b) in enumerate(pairs):
+        i, j = place[a], place[b]
+        sums[f"p{number}"] = F.sum(x[i] * x[j])
+        if a in whole and b in whole:
+            names = ("n", f"s{i}", f"s{j}", f"q{i}", f"q{j}")
+        else:
+            both = x[i].isNotNull() & x[j].isNotNull()
+            one, two = F.when(both, x[i]), F.when(both, x[j])
+            names = tuple(f"{k}{number}" for k in ("cn", "cs", "ct", "cq", "cr"))
+            sums |= dict(zip(names, (F.count(F.when(both, 1)), F.sum(one), F.sum(two), F.sum(one * one), F.sum(two * two))))
+        n, s, t, q, r = map(F.col, names)
+        cells.append(
+            F.struct(
+                F.lit(a).alias("column1"),
+                F.lit(b).alias("column2"),
+                ((F.col(f"p{number}") - s * t / n) / F.sqrt(_spread(n, s, q) * _spread(n, t, r))).alias("correlation"),
+            )
+        )
+    # Divisions by no rows give null.
+    measured = centred.agg(*(v.alias(k) for k, v in sums.items()))
+    counts = [k for k in sums if k == "n" or k.startswith("cn")]
+    measured = measured.withColumns({k: F.nullif(F.col(k), F.lit(0)) for k in counts})
+    return measured.select(F.inline(F.array(*cells)))
+
+
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """Sum of squares about the mean; null for values that are equal but for rounding."""
+    about = squares - total * total / n
+    return F.when(about > SAME * squares, about)
 
 
 def correlation_matrix(

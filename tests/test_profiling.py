@@ -93,3 +93,10 @@ def test_schema_and_preview(loans):
     assert {(r["n_rows"], r["n_columns"]) for r in shape} == {(1500, 13)}
     assert [r["column_name"] for r in readers.schema_frame(loans).orderBy("position").collect()] == loans.columns
     assert [r["id"] for r in readers.preview(loans, 3, F.col("id").desc()).collect()] == [1499, 1498, 1497]
+
+
+def test_correlations_come_from_aggregates_without_fanning_out(spark, loans):
+    """Rows are aggregated as they are; only the one row of sums is dealt out to the pairs."""
+    plan = correlation.correlation_matrix(loans)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :]
+    assert "Generate" not in below and plan.count("Generate") == 1
