@@ -35,8 +35,8 @@ LONGEST = 3
 COVERED_PERCENT = 50
 TOP = 2000
 SHARDS = 4
-# Bits of a map of frequent phrases, as a power of two: 8 MB.
-MAP_BITS = 26
+# Bits of a map of frequent phrases, as a power of two: 16 MB.
+MAP_BITS = 27
 # Distinct phrases a task sums before it hands them on.
 TALLY_ROWS = 500_000
 # Letters of texts cut into words together.
@@ -357,7 +357,12 @@ def _candidate_counts(known):
             numbers = np.array([tally.langs.setdefault(x, len(tally.langs)) for x in langs], np.int64)
             for length, ((first, code), (_, check)) in enumerate(zip(_chains(words, own), _chains(words, own, 1)), 1):
                 kept = _seen(bits, code << np.uint64(_SHARD_BITS))
+                if length > 1:
+                    # A frequent phrase has frequent parts.
+                    kept &= candidate[first] & candidate[first + 1]
                 first, code, check = first[kept], code[kept], check[kept]
+                candidate = np.zeros(len(words.starts) + 1, bool)
+                candidate[first] = True
                 if not tally.add(words, numbers, length, first, code, check):
                     yield _by_letters(words, langs, length, first)
             if tally.rows > TALLY_ROWS:
