@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import NULL_ROWS, TEST_ROWS, TRAIN_ROWS
+from loan_rows import NULL_ROWS, TEST_ROWS, TRAIN_ROWS
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
