@@ -7,8 +7,11 @@ watermark's delay.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -39,43 +42,67 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
+# What a slot holds of a loan: [state, ms], with the time it was submitted or is to be forgotten.
+WAITING, TOLD, COUNTED = 0, 1, 2
+# Slots of a user, and the most rows worked on before their slots are written.
+SLOTS, HELD_ROWS = 1024, 100_000
+
+
 class Lifecycle(StatefulProcessor):
     """State of one user.
 
     ``counts``: decided loans by status and purpose, as many entries as there are purposes.
-    ``waiting``: pending loans, until they are decided or forgotten.
-    ``decided``: ids that were counted, so that repeats are not; forgotten after a time.
+    ``loans``: by slot of the id's hash, the ids of pending loans, until they are decided or
+    forgotten, and those that were counted, so that repeats are not; forgotten after a time.
+
+    A slot is read and written once for many rows: each access is a message to the state server.
     """
 
-    def __init__(self, timeout_ms: int, remember_ms: int):
+    def __init__(self, timeout_ms: int, remember_ms: int, slots: int = SLOTS, held_rows: int = HELD_ROWS):
         self.timeout_ms, self.remember_ms = timeout_ms, remember_ms
+        self.slots, self.held_rows = slots, held_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.counts = handle.getMapState("counts", "status string, intent string", "n bigint")
-        self.waiting = handle.getMapState("waiting", "id string", "since bigint, told boolean")
-        self.decided = handle.getMapState("decided", "id string", "until bigint")
+        self.loans = handle.getMapState("loans", "slot int", "held string")
+
+    def _note(self, rows: list[Row], more: dict[tuple, int], timers: set[int]) -> None:
+        """Bring the slots of the rows up to date, in the order of the rows."""
+        by_slot: dict[int, list[Row]] = {}
+        for row in rows:
+            by_slot.setdefault(zlib.crc32(row.id.encode()) % self.slots, []).append(row)
+        for slot, some in by_slot.items():
+            text = self.loans.getValue((slot,))
+            loans = json.loads(text[0]) if text else {}
+            changed = False
+            for row in some:
+                known = loans.get(row.id)
+                if known and known[0] == COUNTED:
+                    continue
+                if row.status == domain.PENDING:
+                    if not known:
+                        loans[row.id] = [WAITING, row.event_ms]
+                        timers |= {row.event_ms + self.timeout_ms, row.event_ms + self.remember_ms}
+                        changed = True
+                elif row.status in DECIDED:
+                    loans[row.id] = [COUNTED, row.event_ms + self.remember_ms]
+                    timers.add(row.event_ms + self.remember_ms)
+                    of = (row.status, row.intent)
+                    more[of] = more.get(of, 0) + 1
+                    changed = True
+            if changed:
+                self.loans.updateValue((slot,), (json.dumps(loans),))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         more: dict[tuple, int] = {}
-        for row in rows:
-            known = (row.id,)
-            if self.decided.containsKey(known):
-                continue
-            if row.status == domain.PENDING:
-                if not self.waiting.containsKey(known):
-                    self.waiting.updateValue(known, (row.event_ms, False))
-                    self.handle.registerTimer(row.event_ms + self.timeout_ms)
-                    self.handle.registerTimer(row.event_ms + self.remember_ms)
-            elif row.status in DECIDED:
-                if self.waiting.containsKey(known):
-                    self.waiting.removeKey(known)
-                self.decided.updateValue(known, (row.event_ms + self.remember_ms,))
-                self.handle.registerTimer(row.event_ms + self.remember_ms)
-                of = (row.status, row.intent)
-                more[of] = more.get(of, 0) + 1
+        timers: set[int] = set()
+        while some := list(islice(rows, self.held_rows)):
+            self._note(some, more, timers)
+        for ms in timers:
+            self.handle.registerTimer(ms)
         for of, n in more.items():
-            held = self.counts.getValue(of) if self.counts.containsKey(of) else None
+            held = self.counts.getValue(of)
             self.counts.updateValue(of, (n + (held[0] if held else 0),))
         best: dict[str, tuple] = {}
         for of, n in self.counts.iterator():
@@ -88,21 +115,25 @@ class Lifecycle(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        late, gone = [], []
-        for known, held in self.waiting.iterator():
-            since, told = held[0], held[1]
-            if since + self.remember_ms <= now:
-                gone.append(known[0])
-            if since + self.timeout_ms <= now and not told:
-                late.append((known[0], since))
-        for loan, since in late:
-            if loan not in gone:
-                self.waiting.updateValue((loan,), (since, True))
-            yield Row(username=key[0], kind="overdue", id=loan, accepted_purpose=None, rejected_purpose=None)
-        for loan in gone:
-            self.waiting.removeKey((loan,))
-        for loan in [known[0] for known, until in self.decided.iterator() if until[0] <= now]:
-            self.decided.removeKey((loan,))
+        changed = {}
+        for slot, text in self.loans.iterator():
+            loans = json.loads(text[0])
+            kept, late = {}, []
+            for loan, (state, ms) in loans.items():
+                if state == WAITING and ms + self.timeout_ms <= now:
+                    late.append(loan)
+                    state = TOLD
+                if (ms if state == COUNTED else ms + self.remember_ms) > now:
+                    kept[loan] = [state, ms]
+            for loan in late:
+                yield Row(username=key[0], kind="overdue", id=loan, accepted_purpose=None, rejected_purpose=None)
+            if kept != loans:
+                changed[slot[0]] = json.dumps(kept) if kept else None
+        for slot, text in changed.items():
+            if text:
+                self.loans.updateValue((slot,), (text,))
+            else:
+                self.loans.removeKey((slot,))
 
     def close(self) -> None:
         pass
@@ -124,7 +155,7 @@ def follow(
     comes after its decision changes nothing. Events behind the watermark are dropped by Spark.
 
     State per user: counts by purpose, ids of pending loans, and ids decided within
-    ``remember_ms``. Write the result in update mode, under ``rocksdb_state``.
+    ``remember_ms``, in slots that are read and written once for many rows. Write the result in update mode, under ``rocksdb_state``.
     """
     ship(events.sparkSession)
     timed = events.select(

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fathom.operators import applications as apps
@@ -123,3 +124,66 @@ def test_columns_must_be_known(spark):
         lifecycle.merge_decisions(
             spark.createDataFrame([], APPLICATION), spark.createDataFrame([], DECISION).withColumn("more", F.lit(1))
         )
+
+
+class Held:
+    """A map state that counts the messages it would send."""
+
+    def __init__(self):
+        self.values, self.messages = {}, 0
+
+    def getValue(self, key):
+        self.messages += 1
+        return self.values.get(key)
+
+    containsKey = getValue
+
+    def updateValue(self, key, value):
+        self.messages += 1
+        self.values[key] = value
+
+    def removeKey(self, key):
+        self.messages += 1
+        del self.values[key]
+
+    def iterator(self):
+        return iter(list(self.values.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Held())
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_many_loans_of_a_user_need_few_messages_to_the_state():
+    handle, processor = Handle(), lifecycle.Lifecycle(10, 30)
+    processor.init(handle)
+    statuses = ("ACCEPTED", "REJECTED", "-")
+    rows = [Row(id=str(i), intent="MEDICAL", status=statuses[i % 3], event_ms=5) for i in range(30_000)]
+    first = list(processor.handleInputRows(("u",), iter(rows + rows[:1000]), None))
+    assert [(r.kind, r.accepted_purpose) for r in first] == [("purpose", "MEDICAL")]
+    assert sum(s.messages for s in handle.states.values()) < 3000 and sorted(handle.timers) == [15, 35]
+    assert handle.states["counts"].values == {("ACCEPTED", "MEDICAL"): (10_000,), ("REJECTED", "MEDICAL"): (10_000,)}
+    late = list(processor.handleExpiredTimer(("u",), None, Expired(15)))
+    assert len(late) == 10_000 == len({r.id for r in late})
+    assert list(processor.handleExpiredTimer(("u",), None, Expired(20))) == []
+    # Counted ones are still known, and late ones may be decided, until all are forgotten.
+    again = [Row(id=str(i), intent="VENTURE", status="ACCEPTED", event_ms=6) for i in (0, 1, 2)]
+    list(processor.handleInputRows(("u",), iter(again), None))
+    assert handle.states["counts"].values[("ACCEPTED", "VENTURE")] == (1,)
+    list(processor.handleExpiredTimer(("u",), None, Expired(36)))
+    assert handle.states["loans"].values == {}
+
+
+class Expired:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
