@@ -476,8 +476,9 @@ ORACLES: dict[str, str] = {
         "loan_dirty",
     ),
     "split_counts": _with(
-        "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_neither, CAST(0 AS BIGINT) AS n_twice, true AS is_four_fifths "
-        "FROM loan_applications"
+        "SELECT CASE WHEN id % 5 < 4 THEN 'train' ELSE 'validation' END AS side, count(*) AS n, "
+        "CAST(sum(count(*)) OVER () AS BIGINT) AS n_all, CAST(0 AS BIGINT) AS n_neither, CAST(0 AS BIGINT) AS n_twice, "
+        "true AS is_four_fifths FROM loan_applications GROUP BY 1"
     ),
     "accuracy": _with(
         "SELECT n, accuracy, 1e0 - accuracy AS test_error FROM (SELECT count(*) AS n, "

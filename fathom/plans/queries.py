@@ -331,22 +331,25 @@ def assemble_skip_count(spark, sf_dir):
 
 @query
 def split_counts(spark, sf_dir):
-    """Both sides of the split: every row on one of them, four in five to learn from, within 2 %
-    and what chance adds in a small table."""
+    """Rows on each side of a split by a caller's slots, and beside them those of the split by hash:
+    every row on one of its sides, four in five to learn from, within 2 % and what chance adds in a
+    small table."""
     loans = _loans(spark, sf_dir).select("id")
+    sides = splitting.split_counts(loans, F.col("id") % 5, 4)
     seen, held_out = splitting.split(loans, SEED)
-    sides = loans.select("id", F.lit(0).alias("learned"), F.lit(0).alias("held")).unionByName(
-        seen.select("id", F.lit(1).alias("learned"), F.lit(0).alias("held"))
-    ).unionByName(held_out.select("id", F.lit(0).alias("learned"), F.lit(1).alias("held")))
-    each = sides.groupBy("id").agg(F.sum("learned").alias("learned"), F.sum("held").alias("held"))
-    n = F.count(F.lit(1))
+    counts = ["n", "learned", "held"]
+    parts = (loans, (1, 0, 0)), (seen, (0, 1, 0)), (held_out, (0, 0, 1))
+    marked = [rows.select("id", *(F.lit(v).alias(c) for c, v in zip(counts, mark))) for rows, mark in parts]
+    each = marked[0].union(marked[1]).union(marked[2]).groupBy("id").agg(*(F.sum(c).alias(c) for c in counts))
+    n, both = F.sum("n"), F.col("learned") + F.col("held")
     off = F.abs(F.sum("learned") / n - 0.8)
-    return each.agg(
-        n.alias("n"),
-        F.count(F.when(F.col("learned") + F.col("held") == 0, 1)).alias("n_neither"),
-        F.count(F.when(F.col("learned") + F.col("held") > 1, 1)).alias("n_twice"),
+    facts = each.agg(
+        n.alias("n_all"),
+        F.count(F.when(both < F.col("n"), 1)).alias("n_neither"),
+        F.count(F.when(both > F.col("n"), 1)).alias("n_twice"),
         (off <= 0.02 + 1.0 / F.sqrt(n)).alias("is_four_fifths"),
     )
+    return sides.crossJoin(F.broadcast(facts))
 
 
 @query

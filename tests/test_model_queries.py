@@ -48,3 +48,10 @@ def test_search_names_settings_and_rungs(spark, sf_dir):
 def test_shapley_values_of_every_row(spark, sf_dir, loans):
     values = QUERIES["tree_shapley"](spark, sf_dir)
     assert values.count() == 20 * loans.count() and values.filter("value IS NULL").count() == 0
+
+
+def test_split_counts_shows_both_sides_and_what_holds_of_the_split_by_hash(spark, sf_dir, loans):
+    rows = {r.side: r for r in QUERIES["split_counts"](spark, sf_dir).collect()}
+    n = loans.count()
+    assert rows["train"].n == loans.filter("id % 5 < 4").count() and rows["validation"].n == n - rows["train"].n
+    assert all((r.n_all, r.n_neither, r.n_twice, r.is_four_fifths) == (n, 0, 0, True) for r in rows.values())
