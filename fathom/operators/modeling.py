@@ -260,6 +260,15 @@ def train(df: DataFrame, plan: ModelPlan) -> PipelineModel:
 # --- prediction ----------------------------------------------------------------
 
 
+def spread(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """The rows dealt evenly over the session's cores.
+
+    A table of one file, or of a few large row groups, is read by a few tasks. Work that costs more
+    for each row than a shuffle, as a walk through a forest does, should not be left to them.
+    """
+    return df.repartition(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def keep_invalid(model: PipelineModel) -> PipelineModel:
     """A copy of the model that scores rows with missing features instead of dropping them."""
     copy = model.copy()

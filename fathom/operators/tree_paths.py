@@ -8,7 +8,8 @@ row's own value, the share ``z`` for an open one. Everything here follows from t
 * Shapley values: the weight of a feature's change is a sum over all subsets of the others. Subsets
   of the same size have the same weight, so the sum is read off the coefficients of the polynomial
   of the other features' factors ``z + o t``. Rows only differ in which conditions they meet, so
-  each pattern of met conditions is worked out once for all rows of a batch.
+  each pattern of met conditions is worked out once for all rows of a batch, and a row adds up the
+  entries of its patterns.
 * Response to one feature: all others stay open, so it follows from the nodes alone, without rows.
 
 Node tables have (tree, node, feature, threshold, categories, left, right, value, cover); a leaf
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,13 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, categories array<double>, "
     "left int, right int, value double, cover double"
 )
-# Rows whose patterns are worked out together.
-BATCH_ROWS = 20_000
+# Rows for which the patterns are worked out once, and those whose patterns are named together.
+BATCH_ROWS = 100_000
+CHUNK_ROWS = 1_000
+# Leaves with more conditions have only the patterns worked out that rows have.
+LISTED_CONDITIONS = 10
+# Fewer rows have only their own patterns worked out.
+LISTED_ROWS = 1_000
 
 
 def node_table(model: PipelineModel, df: DataFrame, target: int = 1) -> DataFrame:
@@ -147,50 +154,114 @@ def _changes(leaf: Leaf, met: np.ndarray) -> np.ndarray:
     return leaf.value * (own - share) * (others @ np.array(sizes))
 
 
+def _every_pattern(leaf: Leaf) -> np.ndarray:
+    """``_changes`` of all patterns, bit i for condition i.
+
+    The weighted sum over subsets is the integral over t of the product of ``z + t (o - z)`` over the
+    other features: a polynomial, so a sum over few places is exact.
+    """
+    m = len(leaf.conditions)
+    bits = np.arange(1 << m)[:, None] >> np.arange(m) & 1
+    share = np.array([c.share for c in leaf.conditions])
+    if not share.all():
+        return _changes(leaf, bits == 1)
+    at, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
+    t = (at + 1) / 2
+    whole = weight[None, :] * (leaf.value / 2)
+    for z in share:
+        whole = np.concatenate([whole * (z - t * z), whole * (z + t * (1 - z))])
+    off, on = share[:, None] * (1 - t), share[:, None] + t * (1 - share[:, None])
+    changes = np.empty((1 << m, m))
+    for i, z in enumerate(share):
+        own = bits[:, i] == 1
+        changes[:, i] = np.where(own, (1 - z) * (whole @ (1 / on[i])), -z * (whole @ (1 / off[i])))
+    return changes
+
+
 class Attribution:
     """Shapley values of all features over a whole model."""
 
     def __init__(self, found: list[Leaf], features: int):
         self.features = features
         self.trees = len({leaf.tree for leaf in found}) or 1
-        self.leaves = [leaf for leaf in found if leaf.conditions]
         self.base = sum(leaf.value * math.prod(c.share for c in leaf.conditions) for leaf in found) / self.trees
+        found = [leaf for leaf in found if leaf.conditions]
         # A feature's values only matter by where they lie between the model's borders.
         self.borders: list[np.ndarray] = []
-        for f in range(features):
-            used = [c for leaf in self.leaves for c in leaf.conditions if c.feature == f]
+        of: list[list[Condition]] = [[] for _ in range(features)]
+        for leaf in found:
+            for c in leaf.conditions:
+                of[c.feature].append(c)
+        for used in of:
             edges = {e for c in used for e in (c.low, c.high) if math.isfinite(e)}
             # A category is the interval that ends at it; the next number starts another one.
             marks = {x for c in used for some in (*c.inside, *c.outside) for x in some}
             self.borders.append(np.array(sorted(edges | marks | {np.nextafter(x, -math.inf) for x in marks})))
-        # For each condition, whether it is met in each interval.
-        self.tables = [[self._table(c) for c in leaf.conditions] for leaf in self.leaves]
+        self.listed: dict[int, list[Leaf]] = {}
+        for leaf in found:
+            if len(leaf.conditions) <= LISTED_CONDITIONS:
+                self.listed.setdefault(leaf.tree, []).append(leaf)
+        self.long = [leaf for leaf in found if len(leaf.conditions) > LISTED_CONDITIONS]
 
     def _table(self, condition: Condition) -> np.ndarray:
+        """Whether the condition is met in each interval of its feature."""
         borders = self.borders[condition.feature]
         beyond = np.nextafter(borders[-1], math.inf) if len(borders) else 0.0
         return condition.met(np.append(borders, beyond))
 
+    def _add_tree(self, some: list[Leaf], place: list[np.ndarray], total: np.ndarray) -> None:
+        """Add the leaves of one tree: every pattern has a row of a table, and each row of ``place``
+        adds up one table row for each leaf."""
+        sizes = [1 << len(leaf.conditions) for leaf in some]
+        starts = np.cumsum([0, *sizes])
+        table = np.zeros((starts[-1], self.features))
+        # By feature and interval, what a row in it adds to the number of each leaf's pattern.
+        parts: dict[int, np.ndarray] = {}
+        for n, leaf in enumerate(some):
+            columns = [c.feature for c in leaf.conditions]
+            table[starts[n] : starts[n + 1], columns] = _every_pattern(leaf)
+            for i, c in enumerate(leaf.conditions):
+                if c.feature not in parts:
+                    parts[c.feature] = np.zeros((len(self.borders[c.feature]) + 1, len(some)), np.int16)
+                parts[c.feature][:, n] = self._table(c).astype(np.int16) << i
+        # Places are within range; "clip" spares a copy through a buffer.
+        take = partial(np.take, axis=0, mode="clip")
+        for begin in range(0, len(total), CHUNK_ROWS):
+            rows = slice(begin, begin + CHUNK_ROWS)
+            own = total[rows]
+            pattern, part = np.zeros((2, len(own), len(some)), np.int16)
+            for feature, adds in parts.items():
+                take(adds, place[feature][rows], out=part)
+                pattern += part
+            entry, values = pattern.T + starts[:-1, None], np.empty_like(own)
+            for n in range(len(some)):
+                take(table, entry[n], out=values)
+                own += values
+
+    def _add_leaf(self, leaf: Leaf, place: list[np.ndarray], total: np.ndarray) -> None:
+        """Add a leaf of many conditions: only the patterns that rows have are worked out."""
+        pattern = np.zeros(len(total), np.int64)
+        for i, c in enumerate(leaf.conditions):
+            pattern |= (self._table(c).astype(np.int64) << i)[place[c.feature]]
+        seen, of = np.unique(pattern, return_inverse=True)
+        met = seen[:, None] >> np.arange(len(leaf.conditions)) & 1 == 1
+        changes = _changes(leaf, met)
+        for i, c in enumerate(leaf.conditions):
+            total[:, c.feature] += changes[:, i][of]
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Values (rows, features) of the rows of ``x``."""
         place = [np.searchsorted(b, x[:, f], "left") for f, b in enumerate(self.borders)]
-        total = np.zeros((self.features, len(x)))
-        for leaf, tables in zip(self.leaves, self.tables):
-            pattern = np.zeros(len(x), np.int64)
-            for i, (condition, table) in enumerate(zip(leaf.conditions, tables)):
-                pattern |= (table.astype(np.int64) << i)[place[condition.feature]]
-            if len(leaf.conditions) <= 12:  # patterns are few: count them instead of sorting rows
-                seen = np.flatnonzero(np.bincount(pattern, minlength=1 << len(leaf.conditions)))
-                of = np.zeros(1 << len(leaf.conditions), np.int64)
-                of[seen] = np.arange(len(seen))
-                of = of[pattern]
+        total = np.zeros((len(x), self.features))
+        for some in self.listed.values():
+            if len(x) >= LISTED_ROWS:
+                self._add_tree(some, place, total)
             else:
-                seen, of = np.unique(pattern, return_inverse=True)
-            met = seen[:, None] >> np.arange(len(leaf.conditions)) & 1 == 1
-            changes = _changes(leaf, met)
-            for i, condition in enumerate(leaf.conditions):
-                total[condition.feature] += changes[:, i][of]
-        return total.T / self.trees
+                for leaf in some:
+                    self._add_leaf(leaf, place, total)
+        for leaf in self.long:
+            self._add_leaf(leaf, place, total)
+        return total / self.trees
 
 
 def shapley_of(df: DataFrame, nodes: DataFrame, features: Sequence[str], key: str = "id") -> DataFrame:

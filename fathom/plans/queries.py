@@ -769,13 +769,13 @@ def occlusion_attribution(spark, sf_dir):
 @query
 def tree_shapley(spark, sf_dir):
     """Exact Shapley values of the full forest for every row and feature."""
-    return tree_paths.tree_shapley(_loans(spark, sf_dir), _fitted(spark, sf_dir, "forest"))
+    return tree_paths.tree_shapley(modeling.spread(_loans(spark, sf_dir), 1), _fitted(spark, sf_dir, "forest"))
 
 
 @query
 def tree_shapley_sums(spark, sf_dir):
     """Whether base and values of a row add up to the forest's probability."""
-    sums = tree_paths.shapley_sums(_loans(spark, sf_dir), _fitted(spark, sf_dir, "forest"))
+    sums = tree_paths.shapley_sums(modeling.spread(_loans(spark, sf_dir), 1), _fitted(spark, sf_dir, "forest"))
     far = F.abs(F.col("probability") - F.col("explained"))
     return sums.select("id", F.coalesce(far < 1e-9, F.lit(False)).alias("adds_up"))
 

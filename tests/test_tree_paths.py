@@ -178,3 +178,26 @@ def test_rule_tree_counts_every_node(spark):
     assert columns == ["a", "b"]
     got = [(r.node, r.feature, r.cover, r.value) for r in nodes.orderBy("node").collect()]
     assert got == [(0, 0, 3.0, 2 / 3), (1, 1, 2.0, 0.5), (2, -1, 1.0, 1.0), (3, -1, 1.0, 0.0), (4, -1, 1.0, 1.0)]
+
+
+def test_rows_by_tables_of_all_patterns_equal_those_by_their_own(monkeypatch):
+    """Also with leaves that no training row came to, and few conditions listed."""
+    rng = np.random.default_rng(9)
+    nodes = [{**n, "tree": t} for t in range(3) for n in random_tree(rng, 6, 6, categories=t == 1)]
+    bottom = next(n for n in reversed(nodes) if n["feature"] < 0)
+    bottom["cover"] = 0.0
+    x = rng.integers(-1, 6, (2500, 6)).astype(float)
+    attribution = Attribution(leaves(nodes), 6)
+    listed = attribution(x)
+    assert listed == pytest.approx(np.concatenate([attribution(part) for part in np.array_split(x, 5)]), abs=1e-12)
+    monkeypatch.setattr(tree_paths, "LISTED_CONDITIONS", 2)
+    assert listed == pytest.approx(Attribution(leaves(nodes), 6)(x), abs=1e-12)
+
+
+def test_every_pattern_of_a_leaf_by_one_integral():
+    rng = np.random.default_rng(3)
+    for m in (1, 2, 5, 8):
+        conditions = tuple(tree_paths.Condition(f, share=float(s)) for f, s in enumerate(rng.uniform(0.01, 1, m)))
+        leaf = tree_paths.Leaf(0, 0.7, conditions)
+        met = (np.arange(1 << m)[:, None] >> np.arange(m) & 1) == 1
+        assert tree_paths._every_pattern(leaf) == pytest.approx(tree_paths._changes(leaf, met), abs=1e-13)
