@@ -253,3 +253,19 @@ def test_command_line(spark, test_rows, tmp_path, capsys):
     assert spark.read.parquet(paths["p1"]).columns == ["id", "loan_status_prediction", "error"]
     assert spark.read.parquet(paths["p2"]).count() == 2
     assert isinstance(jobs.load_pipeline(spark, paths["grade"]), PipelineModel)
+
+
+def test_kept_node_ids_change_no_forest(loans, monkeypatch):
+    plan = modeling.status_forest(7, trees=4, depth=4)
+    kept = modeling.train(loans, plan).stages[-1]
+    monkeypatch.setattr(modeling, "NODE_IDS_ROWS", 0)
+    walked = modeling.train(loans, plan).stages[-1]
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    rules = [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in (kept, walked)]  # without the uid
+    assert rules[0] == rules[1]
+
+
+def test_rows_are_dealt_over_the_cores(spark, loans):
+    dealt = modeling.spread(loans.coalesce(1))
+    assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert dealt.count() == loans.count()
