@@ -6,7 +6,8 @@ into three of a sketch's cells, which hold a count, the exclusive or of their di
 the digests' checks. Cells of two versions subtract: what both have cancels out. A cell left with
 a single digest gives it away; taken out of its other cells it may free more, until the sketch is
 empty and all differing digests are known. If that fails, the sketch was too small: digests are
-dealt to as many small sketches as their number asks for, then to four and sixteen times as many.
+dealt to as many small sketches as their number asks for. Those of a small sketch that fails too are
+dealt to four and then sixteen times as many; all others keep what they found.
 
 Only SQL functions are used. Texts are moved once, to meet their next document in order of ids;
 all the rest is work within a row. Cells are arrays, and peeling is a fold over a few rounds.
@@ -26,7 +27,7 @@ OPENING_WORDS = 8
 WIDTH = 5
 PARTS = 3
 ROUNDS = 6
-# Digests of both versions for each small sketch of the first retry, and growth of the later ones.
+# Digests of both versions for each small sketch, and growth from one retry to the next.
 LOAD = 8
 GROWTH = (1, 4, 16)
 # Pairs with more digests than this are dealt out in two steps.
@@ -82,6 +83,19 @@ def subtracted(mine: str, other: str) -> str:
     return f"zip_with({mine}, {other}, (p, q) -> {cell})"
 
 
+def _difference(mine: str, other: str) -> str:
+    """SQL for the cells of two arrays of prepared digests, one subtracted from the other."""
+    zero = "named_struct('c', 0, 'k', 0L, 'x', 0L)"
+    add = "(a, e) -> named_struct('c', a.c + 1, 'k', a.k ^ e.d, 'x', a.x ^ e.x)"
+    take = "(a, e) -> named_struct('c', a.c - 1, 'k', a.k ^ e.d, 'x', a.x ^ e.x)"
+    cells = []
+    for part in range(PARTS):
+        for cell in range(WIDTH):
+            a, b = (f"filter({side}, e -> e.p{part} = {cell})" for side in (mine, other))
+            cells.append(f"aggregate({b}, aggregate({a}, {zero}, {add}), {take})")
+    return f"array({', '.join(cells)})"
+
+
 def peeled(cells: str, keep: bool = False) -> str:
     """SQL for the number of digests that peeling recovers, -1 if some stay hidden.
 
@@ -90,17 +104,19 @@ def peeled(cells: str, keep: bool = False) -> str:
     """
     places = ", ".join(f"'p{j}', cast({_place('c.k', j)} + {j * WIDTH} as int)" for j in range(PARTS))
     alone = f"filter(s.cells, c -> abs(c.c) = 1 AND c.x = {_check('c.k')})"
-    pure = f"array_distinct(transform({alone}, c -> named_struct('c', c.c, 'k', c.k, {places})))"
+    pure = f"array_distinct(transform({alone}, c -> named_struct('c', c.c, 'k', c.k, 'x', c.x, {places})))"
     hit = " OR ".join(f"p.p{j} = i" for j in range(PARTS))
-    less = f"(a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'x', a.x ^ {_check('p.k')})"
+    less = "(a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'x', a.x ^ p.x)"
     rest = f"transform(s.cells, (c, i) -> aggregate(filter(pure, p -> {hit}), c, {less}))"
     more = "concat(s.n, transform(pure, p -> named_struct('c', p.c, 'k', p.k)))" if keep else "s.n + size(pure)"
-    step = _let("pure", pure, f"if(size(pure) = 0, s, named_struct('cells', {rest}, 'n', {more}))")
+    # A round without a digest is the last one that looks for any.
+    stop = "named_struct('cells', s.cells, 'n', s.n, 'more', false)"
+    step = _let("pure", pure, f"if(size(pure) = 0, {stop}, named_struct('cells', {rest}, 'n', {more}, 'more', true))")
     none = f"cast(array() AS {_FOUND})" if keep else "0"
     empty = "forall(s.cells, c -> c.c = 0 AND c.k = 0 AND c.x = 0)"
     return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'n', {none}), (s, r) -> {step}, "
-        f"s -> if({empty}, s.n, {'NULL' if keep else '-1'}))"
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'n', {none}, 'more', true), "
+        f"(s, r) -> if(s.more, {step}, s), s -> if({empty}, s.n, {'NULL' if keep else '-1'}))"
     )
 
 
@@ -111,50 +127,62 @@ def _power_of_two(number: str) -> str:
     return f"cast(pow(2, ceil(log2(greatest(1.0D, {number})))) as int)"
 
 
-def _dealt(mine: str, other: str, growth: str, keep: bool = False) -> str:
-    """SQL for the number of differing digests that many small sketches find, -1 if one of them
-    fails; with ``keep`` for the digests, null if one fails."""
-    small = _let(
-        "u",
-        "named_struct('a', filter(one, e -> e.s % n = t), 'b', filter(two, e -> e.s % n = t))",
-        peeled(subtracted(sketch("u.a"), sketch("u.b")), keep),
-    )
-    wanted = f"least(8192, {growth} * {_power_of_two(f'(size(one) + size(two)) / {LOAD}.0D')})"
-    total = "if(exists(found, y -> y < 0), -1, aggregate(found, 0, (a, y) -> a + y))"
+def _counted(mine: str, other: str, keep: bool) -> str:
+    """SQL for what ``peeled`` gives, from the prepared digests themselves."""
+    sides = ((mine, other, 1), (other, mine, -1))
+    alone = [(f"filter({a}, e -> NOT exists({b}, f -> f.d = e.d))", c) for a, b, c in sides]
     if keep:
-        total = "if(exists(found, y -> y IS NULL), NULL, flatten(found))"
-    within = _let("n", wanted, _let("found", f"transform(sequence(0, n - 1), t -> {small})", total))
+        told = [f"transform({a}, e -> named_struct('c', {c}, 'k', e.d))" for a, c in alone]
+        return f"concat({', '.join(told)})"
+    return " + ".join(f"size({a})" for a, _ in alone)
+
+
+def _total(found: str, keep: bool) -> str:
+    return f"flatten({found})" if keep else f"aggregate({found}, 0, (a, y) -> a + y)"
+
+
+# What deals a digest in each retry: bits that neither its cells nor another retry depend on.
+_DEALS = ("e.s", "cast(shiftright(e.x, 8) & 4095 as int)", "cast(shiftright(e.x, 20) as int)")
+
+
+def _retried(mine: str, other: str, growth: str, keep: bool, level: int) -> str:
+    """SQL for the differing digests from small sketches, the ones that fail being dealt again; what
+    the smallest ones hide is counted on their digests."""
+    if level == len(_DEALS):
+        return _counted(mine, other, keep)
+    n, t, u, v = (f"{name}{level}" for name in "ntuv")
+    deal = f"{_DEALS[level]} % {n} = {t}"
+    again = _retried(f"{u}.a", f"{u}.b", str(GROWTH[min(level + 1, len(GROWTH) - 1)]), keep, level + 1)
+    one = _let(v, peeled(_difference(f"{u}.a", f"{u}.b"), keep), f"if({v} {'IS NOT NULL' if keep else '>= 0'}, {v}, {again})")
+    one = _let(u, f"named_struct('a', filter({mine}, e -> {deal}), 'b', filter({other}, e -> {deal}))", one)
+    wanted = f"least(8192, {growth} * {_power_of_two(f'(size({mine}) + size({other})) / {LOAD}.0D')})"
+    return _let(n, wanted, _total(f"transform(sequence(0, {n} - 1), {t} -> {one})", keep))
+
+
+def _dealt(mine: str, other: str, growth: str, keep: bool = False) -> str:
+    """SQL for the number of differing digests that many small sketches find; with ``keep`` for the
+    digests."""
     large = f"size({mine}) + size({other})"
     parts = f"if({large} < {LARGE}, 1, least(4096, {_power_of_two(f'sqrt({large})')}))"
     part = "e.g % m = g"
-    one = f"if(m = 1, {mine}, filter({mine}, e -> {part}))"
-    two = f"if(m = 1, {other}, filter({other}, e -> {part}))"
-    each = _let("one", one, _let("two", two, within))
-    return _let("m", parts, _let("found", f"transform(sequence(0, m - 1), g -> {each})", total))
+    sides = (f"if(m = 1, {side}, filter({side}, e -> {part}))" for side in (mine, other))
+    each = _let("w", "named_struct('a', {}, 'b', {})".format(*sides), _retried("w.a", "w.b", growth, keep, 0))
+    return _let("m", parts, _total(f"transform(sequence(0, m - 1), g -> {each})", keep))
 
 
 def differing(mine: str, other: str, cells: str, other_cells: str) -> str:
     """SQL for the number of digests that only one of two versions has.
 
-    The sketches' difference is peeled; larger ones follow where that fails. What the largest
-    leaves hidden, a chance below one in billions, is counted on the digests.
+    The sketches' difference is peeled; small ones follow where that fails.
     """
-    retries = f"array({', '.join(map(str, GROWTH))})"
-    larger = f"aggregate({retries}, {peeled(subtracted(cells, other_cells))}, (v, g0) -> if(v >= 0, v, {_dealt(mine, other, 'g0')}))"
-    exact = f"size(array_except({mine}, {other})) + size(array_except({other}, {mine}))"
-    return _let("v0", larger, f"if(v0 >= 0, v0, {exact})")
+    first = peeled(subtracted(cells, other_cells))
+    return _let("whole", first, f"if(whole >= 0, whole, {_dealt(mine, other, str(GROWTH[0]))})")
 
 
 def recovered(mine: str, other: str, cells: str, other_cells: str) -> str:
     """SQL for the digests that only one of two versions has, as (c, k) like in ``peeled``."""
-    retries = f"array({', '.join(map(str, GROWTH))})"
     first = peeled(subtracted(cells, other_cells), True)
-    larger = f"aggregate({retries}, {first}, (v, g0) -> if(v IS NOT NULL, v, {_dealt(mine, other, 'g0', True)}))"
-    sides = (
-        f"transform(filter({a}, e -> NOT exists({b}, f -> f.d = e.d)), e -> named_struct('c', {c}, 'k', e.d))"
-        for a, b, c in ((mine, other, 1), (other, mine, -1))
-    )
-    return _let("v0", larger, f"if(v0 IS NOT NULL, v0, concat({', '.join(sides)}))")
+    return _let("whole", first, f"if(whole IS NOT NULL, whole, {_dealt(mine, other, str(GROWTH[0]), True)})")
 
 
 def changed_paragraphs(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -165,15 +193,14 @@ def changed_paragraphs(df: DataFrame, old: str, new: str) -> DataFrame:
     pass, but for former ones of these names.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("removed", "added")]
-    found = recovered("pa", "pb", "sa", "sb")
-    found = _let("sa", sketch("pa"), _let("sb", sketch("pb"), found))
-    found = _let("pa", prepared(digests(f"`{old}`")), _let("pb", prepared(digests(f"`{new}`")), found))
+    held = df.select(F.struct(*kept).alias("_row"), *(F.expr(prepared(digests(f"`{c}`"))).alias(n) for n, c in (("pa", old), ("pb", new))))
+    held = held.withColumns({"sa": F.expr(sketch("pa")), "sb": F.expr(sketch("pb"))})
     sides = (
         F.array_sort(F.expr(f"transform(filter(_changes, e -> e.c = {c}), e -> e.k)")).alias(name)
         for name, c in (("removed", 1), ("added", -1))
     )
     names = [c for c in df.columns if c not in ("removed", "added")]
-    whole = df.select(F.struct(*kept).alias("_row"), F.expr(found).alias("_changes"))
+    whole = held.select("_row", F.expr(recovered("pa", "pb", "sa", "sb")).alias("_changes"))
     return whole.select(*(F.col("_row")[c].alias(c) for c in names), *sides)
 
 
@@ -277,18 +304,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         ),
         "versions",
     )
-    result = (
-        f"named_struct('fingerprint', {_as_text('sa')}, 'edited_fingerprint', {_as_text('sb')}, "
-        f"'edits', {differing('pa', 'pb', 'sa', 'sb')}, 'others', {differing('pa', 'pc', 'sa', 'sc')})"
-    )
-    result = _let("sa", sketch("pa"), _let("sb", sketch("pb"), _let("sc", sketch("pc"), result)))
-    result = _let("pa", prepared("a"), _let("pb", prepared("b"), _let("pc", prepared("c"), result)))
-    return versions.withColumn("r", F.expr(result)).select(
+    # A step of its own for each, so that none is written out again in the next.
+    held = versions.withColumns({f"p{c}": F.expr(prepared(c)) for c in "abc"})
+    held = held.withColumns({f"s{c}": F.expr(sketch(f"p{c}")) for c in "abc"})
+    held = held.withColumns({"edits": F.expr(differing("pa", "pb", "sa", "sb")), "others": F.expr(differing("pa", "pc", "sa", "sc"))})
+    return held.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "r.fingerprint",
-        "r.edited_fingerprint",
-        _likeness("(size(a) + size(b))", "r.edits").alias("near_edited"),
-        _likeness("(size(a) + size(c))", "r.others").alias("near_next"),
+        F.expr(_as_text("sa")).alias("fingerprint"),
+        F.expr(_as_text("sb")).alias("edited_fingerprint"),
+        _likeness("(size(a) + size(b))", "edits").alias("near_edited"),
+        _likeness("(size(a) + size(c))", "others").alias("near_next"),
     )

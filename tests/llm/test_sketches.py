@@ -91,3 +91,19 @@ def test_differing_digests_are_recovered(spark, small_documents):
     pairs = list(zip(found.collect(), wanted.collect()))
     assert all((f.removed, f.added) == (w.removed, w.added) for f, w in pairs)
     assert max(len(f.removed) for f, _ in pairs) > 100
+
+
+@pytest.mark.parametrize("growth", ["1", "4"])
+def test_small_sketches_that_fail_are_dealt_alone(spark, growth):
+    """Dealing ends with every digest told apart, whatever hides in one of the small sketches."""
+    sizes = [(left, right) for left in (0, 5, 22, 45) for right in (1, 22, 30)] * 4 + [(300, 280)]
+    rows = [(i, [1000 * i + x for x in range(a)], [1000 * i + 500 + x for x in range(b)]) for i, (a, b) in enumerate(sizes)]
+    frame = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
+    frame = frame.select("i", *(F.transform(c, lambda v: F.xxhash64(v)).alias(c) for c in "ab"))
+    frame = frame.select("i", *(F.expr(sketches.prepared(c)).alias(c) for c in "ab"))
+    found = frame.orderBy("i").select(
+        F.expr(sketches._dealt("a", "b", growth)).alias("n"),
+        F.expr(f"array_sort(transform({sketches._dealt('a', 'b', growth, True)}, c -> c.c))").alias("signs"),
+    )
+    found = [(r.n, r.signs) for r in found.collect()]
+    assert found == [(a + b, [-1] * b + [1] * a) for a, b in sizes]
