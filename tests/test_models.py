@@ -269,3 +269,14 @@ def test_rows_are_dealt_over_the_cores(spark, loans):
     dealt = modeling.spread(loans.coalesce(1))
     assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert dealt.count() == loans.count()
+
+
+def test_boosting_has_few_partitions(spark, loans):
+    """A task's start weighs most in the many short jobs of boosting; small tables are dealt as before."""
+    assert [modeling.boosting_partitions(n) for n in (0, 5000, 49_152, 900_000, 9_000_000)] == [1, 2, 12, 12, 35]
+    n = loans.count()
+    copies = -(-60_000 // n)
+    many = spark.range(copies).crossJoin(loans.drop("id"))
+    dealt = [modeling._counted_rows(many, plan, None)[0] for plan in (modeling.status_boosted(1), modeling.status_forest(1))]
+    assert [rows.rdd.getNumPartitions() for rows in dealt] == [12, modeling.training_partitions(copies * n)]
+    assert modeling.training_partitions(copies * n) > 12
