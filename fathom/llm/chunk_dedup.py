@@ -216,23 +216,40 @@ def _sequences(least_words: int):
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(3)]
-            out: list[tuple] = []
-            for doc_id, version, chunks in zip(*columns):
-                held = np.array([(c["chunk"], c["digest"], c["size"], c["words"]) for c in chunks], np.int64)
-                raw = np.ascontiguousarray(held[:, 1:3]).tobytes()
-                begin = int(held[0, 0])
-                for whole, column, least in ((False, 2, LEAST_RUN), (True, 3, least_words + 1)):
-                    total = np.concatenate(([0], np.cumsum(held[:, column])))
-                    ends = np.searchsorted(total, total[:-1] + least, "left")
-                    for i, j in enumerate(ends.tolist()):
-                        if j < len(total):
-                            value = digest(raw[16 * i : 16 * j])
-                            value -= (value >> 63) << 64
-                            out.append((doc_id, version, begin + i, begin + j - 1, whole, value))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-            arrays = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "version", "from", "to", "whole", "digest"])
+            if not batch.num_rows:
+                continue
+            runs = batch.column(2)
+            ends = runs.offsets.to_numpy().astype(np.int64)
+            # All runs of a batch lie one behind another.
+            first, ends = ends[0], ends - ends[0]
+            held = {
+                n: runs.values.field(n).to_numpy(zero_copy_only=False)[first : first + ends[-1]].astype(np.int64)
+                for n in ("chunk", "digest", "size", "words")
+            }
+            run = np.repeat(np.arange(len(runs)), np.diff(ends))
+            raw = np.stack([held["digest"], held["size"]], axis=1).tobytes()
+            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            for whole, column, least in ((False, "size", LEAST_RUN), (True, "words", least_words + 1)):
+                total = np.concatenate(([0], np.cumsum(held[column])))
+                stops = np.searchsorted(total, total[:-1] + least, "left")
+                begins = np.flatnonzero(stops <= ends[1:][run])
+                stops, of = stops[begins], run[begins]
+                values = np.fromiter(
+                    (digest(raw[16 * i : 16 * j]) for i, j in zip(begins.tolist(), stops.tolist())),
+                    np.uint64,
+                    len(begins),
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[0][of], pa.int64()),
+                        pa.array(ids[1][of], pa.int64()),
+                        pa.array(held["chunk"][begins], pa.int32()),
+                        pa.array(held["chunk"][stops - 1], pa.int32()),
+                        pa.array(np.full(len(begins), whole)),
+                        pa.array(values.view(np.int64)),
+                    ],
+                    names=["doc_id", "version", "from", "to", "whole", "digest"],
+                )
 
     return work
 

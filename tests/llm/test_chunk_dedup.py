@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from fathom.llm import chunk_dedup as cd
 
@@ -154,3 +156,29 @@ def test_window_digests_depend_on_words_alone():
     first, second = cd.window_digests(a, np.arange(3), 3), cd.window_digests(b, np.arange(5), 3)
     assert (first[0] == second[1]).all() and (first[2] == second[3]).all()
     assert len(np.unique(np.concatenate([first, second]), axis=0)) == 5
+
+
+def test_sequences_of_a_run_do_not_reach_into_the_next_one():
+    """All runs of a batch in two tables, one for each kind, whatever their number."""
+    rng = random.Random(5)
+    kind = pa.list_(pa.struct([("chunk", pa.int32()), ("digest", pa.int64()), ("size", pa.int32()), ("words", pa.int32())]))
+    runs = [
+        [{"chunk": 7 * n + i, "digest": rng.getrandbits(63) - 2**62, "size": rng.randint(1, 60), "words": rng.randint(0, 9)} for i in range(length)]
+        for n, length in enumerate([1, 30, 2, 0, 17, 5])
+    ]
+    wanted = []
+    for n, run in enumerate(runs):
+        for i in range(len(run)):
+            for whole, column, least in ((False, "size", cd.LEAST_RUN), (True, "words", 21)):
+                j = next((j for j in range(i + 1, len(run) + 1) if sum(c[column] for c in run[i:j]) >= least), None)
+                if j:
+                    raw = np.array([(c["digest"], c["size"]) for c in run[i:j]], np.int64).tobytes()
+                    digest = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64))
+                    wanted.append((n, -n, run[i]["chunk"], run[j - 1]["chunk"], whole, digest))
+    ids = np.arange(-1, len(runs) + 1)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(-ids), pa.array([runs[1], *runs, runs[1]], kind)], names=["doc_id", "version", "chunks"]
+    )
+    found = list(cd._sequences(20)(iter([rows.slice(1, len(runs)), rows.slice(0, 0)])))
+    assert len(found) == 2
+    assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == sorted(wanted)
