@@ -19,6 +19,7 @@ reach the driver and are sent to the executors.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -40,11 +41,15 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, categories array<double>, "
     "left int, right int, value double, cover double"
 )
-# Rows for which the patterns are worked out once, and those whose patterns are named together.
+# Rows whose long patterns are worked out once, and those whose patterns are named together.
 BATCH_ROWS = 100_000
-CHUNK_ROWS = 1_000
+CHUNK_ROWS = 4_000
 # Leaves with more conditions have only the patterns worked out that rows have.
 LISTED_CONDITIONS = 10
+# Rows of a table that leaves share; at least as many as one listed leaf has patterns, at most 2^15.
+GROUP_STATES = 1_024
+# Bytes of tables that a task keeps from batch to batch; the others are made again.
+KEPT_BYTES = 1 << 28
 # Fewer rows have only their own patterns worked out.
 LISTED_ROWS = 1_000
 
@@ -178,6 +183,10 @@ def _every_pattern(leaf: Leaf) -> np.ndarray:
     return changes
 
 
+def _combinations(states: dict[int, np.ndarray]) -> int:
+    return math.prod(int(state.max()) + 1 for state in states.values())
+
+
 class Attribution:
     """Shapley values of all features over a whole model."""
 
@@ -201,7 +210,32 @@ class Attribution:
         for leaf in found:
             if len(leaf.conditions) <= LISTED_CONDITIONS:
                 self.listed.setdefault(leaf.tree, []).append(leaf)
+        self.groups = {tree: self._grouped(some) for tree, some in self.listed.items()}
         self.long = [leaf for leaf in found if len(leaf.conditions) > LISTED_CONDITIONS]
+        # Tables of trees, for the next batch.
+        self.kept: dict[int, tuple] = {}
+
+    def _grouped(self, some: list[Leaf]) -> list[tuple[list[Leaf], dict[int, np.ndarray]]]:
+        """Neighbouring leaves of a tree that share a table, and for each of their features the state
+        an interval stands for.
+
+        Intervals in which the same leaves have their condition met are one state. A table has a row
+        for each combination of states; leaves near each other share most conditions, so several of
+        them need hardly more rows than one.
+        """
+        groups: list[tuple[list[Leaf], dict[int, np.ndarray]]] = []
+        for leaf in some:
+            met = {c.feature: self._table(c).astype(np.int64) for c in leaf.conditions}
+            states = dict(groups[-1][1]) if groups else {}
+            for feature, own in met.items():
+                finer = own + 2 * states[feature] if feature in states else own
+                states[feature] = np.unique(finer, return_inverse=True)[1]
+            if groups and _combinations(states) <= GROUP_STATES:
+                groups[-1][0].append(leaf)
+                groups[-1] = (groups[-1][0], states)
+            else:
+                groups.append(([leaf], met))
+        return groups
 
     def _table(self, condition: Condition) -> np.ndarray:
         """Whether the condition is met in each interval of its feature."""
@@ -209,34 +243,54 @@ class Attribution:
         beyond = np.nextafter(borders[-1], math.inf) if len(borders) else 0.0
         return condition.met(np.append(borders, beyond))
 
-    def _add_tree(self, some: list[Leaf], place: list[np.ndarray], total: np.ndarray) -> None:
-        """Add the leaves of one tree: every pattern has a row of a table, and each row of ``place``
-        adds up one table row for each leaf."""
-        sizes = [1 << len(leaf.conditions) for leaf in some]
-        starts = np.cumsum([0, *sizes])
-        table = np.zeros((starts[-1], self.features))
-        # By feature and interval, what a row in it adds to the number of each leaf's pattern.
-        parts: dict[int, np.ndarray] = {}
-        for n, leaf in enumerate(some):
-            columns = [c.feature for c in leaf.conditions]
-            table[starts[n] : starts[n + 1], columns] = _every_pattern(leaf)
-            for i, c in enumerate(leaf.conditions):
-                if c.feature not in parts:
-                    parts[c.feature] = np.zeros((len(self.borders[c.feature]) + 1, len(some)), np.int16)
-                parts[c.feature][:, n] = self._table(c).astype(np.int16) << i
+    def _tables(self, groups: list) -> tuple[np.ndarray, np.ndarray, list[int], dict[int, np.ndarray]]:
+        """The tables of a tree's groups below each other, where each begins, the features of their columns,
+        and by feature and interval what a row in it adds to the number of its row in each table."""
+        starts = np.cumsum([0, *(_combinations(states) for _, states in groups)])
+        columns = sorted({f for _, states in groups for f in states})
+        column = {f: i for i, f in enumerate(columns)}
+        table = np.empty((starts[-1], len(columns)))
+        parts = {f: np.zeros((len(self.borders[f]) + 1, len(groups)), np.int16) for f in columns}
+        for n, (some, states) in enumerate(groups):
+            rows = np.arange(starts[n + 1] - starts[n])
+            digits, size = {}, 1
+            for f, state in states.items():
+                parts[f][:, n] = state * size
+                digits[f] = rows // size % (state.max() + 1)
+                size *= state.max() + 1
+            own = np.zeros((len(columns), len(rows)))
+            for leaf in some:
+                pattern = np.zeros(len(rows), np.int64)
+                for i, c in enumerate(leaf.conditions):
+                    bits = np.zeros(states[c.feature].max() + 1, np.int64)
+                    bits[states[c.feature]] = self._table(c)
+                    pattern += (bits << i).take(digits[c.feature])
+                for c, changes in zip(leaf.conditions, np.ascontiguousarray(_every_pattern(leaf).T)):
+                    own[column[c.feature]] += changes.take(pattern)
+            table[starts[n] : starts[n + 1]] = own.T
+        return table, starts, columns, parts
+
+    def _add_tree(self, tree: int, place: list[np.ndarray], total: np.ndarray) -> None:
+        """Add the leaves of one tree: each row of ``place`` adds up one table row for each group."""
+        groups = self.groups[tree]
+        made = self.kept.get(tree) or self._tables(groups)
+        table, starts, columns, parts = made
+        if tree not in self.kept and sum(t[0].nbytes for t in self.kept.values()) + table.nbytes <= KEPT_BYTES:
+            self.kept[tree] = made
         # Places are within range; "clip" spares a copy through a buffer.
         take = partial(np.take, axis=0, mode="clip")
         for begin in range(0, len(total), CHUNK_ROWS):
             rows = slice(begin, begin + CHUNK_ROWS)
-            own = total[rows]
-            pattern, part = np.zeros((2, len(own), len(some)), np.int16)
+            own = np.zeros((len(total[rows]), len(columns)))
+            at, part = np.zeros((2, len(own), len(groups)), np.int16)
             for feature, adds in parts.items():
                 take(adds, place[feature][rows], out=part)
-                pattern += part
-            entry, values = pattern.T + starts[:-1, None], np.empty_like(own)
-            for n in range(len(some)):
+                at += part
+            entry, values = at.T + starts[:-1, None], np.empty_like(own)
+            for n in range(len(groups)):
                 take(table, entry[n], out=values)
                 own += values
+            total[rows, columns] += own
 
     def _add_leaf(self, leaf: Leaf, place: list[np.ndarray], total: np.ndarray) -> None:
         """Add a leaf of many conditions: only the patterns that rows have are worked out."""
@@ -253,9 +307,9 @@ class Attribution:
         """Values (rows, features) of the rows of ``x``."""
         place = [np.searchsorted(b, x[:, f], "left") for f, b in enumerate(self.borders)]
         total = np.zeros((len(x), self.features))
-        for some in self.listed.values():
+        for tree, some in self.listed.items():
             if len(x) >= LISTED_ROWS:
-                self._add_tree(some, place, total)
+                self._add_tree(tree, place, total)
             else:
                 for leaf in some:
                     self._add_leaf(leaf, place, total)
@@ -294,29 +348,31 @@ def tree_shapley(
 def _attributed(rows: DataFrame, nodes: DataFrame, names: list[str], key: str) -> DataFrame:
     spark = rows.sparkSession
     ship(spark)
-    found = leaves(nodes.collect())
-    tables = spark.sparkContext.broadcast(found)
     width = len(names)
+    shared = spark.sparkContext.broadcast(Attribution(leaves(nodes.collect()), width))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attribution = Attribution(tables.value, width)
+        # A task's own tables go with it.
+        attribution = copy.copy(shared.value)
+        attribution.kept = {}
 
         def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             x = np.full((len(table), width), np.nan)
-            for i, row in enumerate(table["_x"].to_pylist()):
-                if row is not None:
-                    x[i] = [np.nan if v is None else v for v in row]
+            lists = table["_x"].combine_chunks()
+            x[lists.is_valid().to_numpy(zero_copy_only=False)] = (
+                lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            )
             whole = ~np.isnan(x).any(axis=1)
             flat = np.full(x.shape, np.nan)
             if whole.any():
                 flat[whole] = attribution(x[whole])
             missing = pa.array(np.repeat(~whole, width))
             values = pa.array(flat.ravel(), mask=missing.to_numpy(zero_copy_only=False))
-            lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, width, dtype=np.int32), values)
+            found = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, width, dtype=np.int32), values)
             base = pa.array(np.full(len(table), attribution.base))
             return pa.RecordBatch.from_arrays(
-                [table[key].combine_chunks(), base, lists], names=[key, "base", "values"]
+                [table[key].combine_chunks(), base, found], names=[key, "base", "values"]
             )
 
         held: list[pa.RecordBatch] = []

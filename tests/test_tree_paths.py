@@ -201,3 +201,47 @@ def test_every_pattern_of_a_leaf_by_one_integral():
         leaf = tree_paths.Leaf(0, 0.7, conditions)
         met = (np.arange(1 << m)[:, None] >> np.arange(m) & 1) == 1
         assert tree_paths._every_pattern(leaf) == pytest.approx(tree_paths._changes(leaf, met), abs=1e-13)
+
+
+@pytest.mark.parametrize("states, kept", [(2**10, 2**28), (2**11, 0), (1, 5_000)])
+@pytest.mark.parametrize("categories", [False, True])
+def test_leaves_that_share_a_table_give_what_each_gives_alone(monkeypatch, states, kept, categories):
+    monkeypatch.setattr(tree_paths, "GROUP_STATES", states)
+    monkeypatch.setattr(tree_paths, "KEPT_BYTES", kept)
+    monkeypatch.setattr(tree_paths, "CHUNK_ROWS", 700)
+    rng = np.random.default_rng(8)
+    nodes = [dict(n, tree=t) for t in range(3) for n in random_tree(rng, 6, 7, categories)]
+    x = rng.integers(-1, 6, (1_500, 6)).astype(float)
+    attribution = Attribution(leaves(nodes), 6)
+    n_leaves = sum(map(len, attribution.listed.values()))
+    n_tables = sum(map(len, attribution.groups.values()))
+    assert n_tables == n_leaves if states == 1 else n_tables < n_leaves / 3
+    monkeypatch.setattr(tree_paths, "LISTED_ROWS", 2_000)
+    alone = attribution(x)
+    monkeypatch.setattr(tree_paths, "LISTED_ROWS", 1_000)
+    for _ in range(2):  # tables made, then kept as far as they may
+        assert np.abs(attribution(x) - alone).max() < 1e-12
+        assert sum(t[0].nbytes for t in attribution.kept.values()) <= kept
+
+
+def test_batches_and_gaps(spark, monkeypatch):
+    """Rows of several batches, some without a vector or a number of it."""
+    nodes = random_tree(np.random.default_rng(9), 3, 4)
+    frame = spark.createDataFrame(
+        [tuple(n[c] for c in ("tree", "node", "feature", "threshold", "categories", "left", "right", "value", "cover")) for n in nodes],
+        tree_paths.NODE_SCHEMA,
+    )
+    rows = [(i, float(i % 7), None if i % 11 == 0 else float(i % 5), float("nan") if i % 13 == 0 else 2.0) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double").coalesce(1)
+    by_number = {n["node"]: n for n in nodes}
+    sums = tree_paths.shapley_of(df, frame, ["a", "b", "c"]).groupBy("id").agg(
+        F.max("base").alias("base"), F.sum("value").alias("gain"), F.count("value").alias("n")
+    )
+    found = {r.id: r for r in sums.collect()}
+    assert len(found) == 3_000
+    for i, *x in rows:
+        if i % 11 == 0 or i % 13 == 0:
+            assert found[i].n == 0
+        else:
+            assert found[i].n == 3
+            assert found[i].base + found[i].gain == pytest.approx(walk(by_number, x, {0, 1, 2}), abs=1e-12)
